@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, order_minhash, packing, quality_classifier, quality_rules, toxicity
+from . import decontamination, language_id, line_dedup, order_minhash, packing, quality_classifier, quality_rules, toxicity
 from .common import held_out, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
@@ -19,6 +23,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -46,11 +55,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE: dict[str, str] = {"op7_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL}
