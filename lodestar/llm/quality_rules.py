@@ -65,25 +65,25 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     """host, n, failures, and the rate shrunk by the beta prior; at least one pseudo-document each way.
 
     The prior's strength is ``m (1 - m) / v - 1`` for mean m and variance v of the hosts' rates,
-    between 2 and 10,000 (a variance of zero: 10,000).
+    between 2 and 10,000 (a variance of zero: 10,000). These two numbers alone come to the driver.
     """
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_n"), F.sum(any_failed().cast("long")).alias("host_failures"))
+    hosts = cut(rows.groupBy("host").agg(F.count("*").alias("host_n"), F.sum(any_failed().cast("long")).alias("host_failures")))
     rate = F.col("host_failures") / F.col("host_n")
-    moments = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
-    strength = F.greatest(F.lit(2.0), F.least(F.lit(10_000.0), F.when(F.col("v") > 1e-12, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(10_000.0)))
-    prior = moments.select(F.lit(1).alias("one"), F.col("m"), strength.alias("s"))
-    joined = hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one")
-    return joined.select("host", "host_n", "host_failures", ((F.col("host_failures") + F.col("m") * F.col("s")) / (F.col("host_n") + F.col("s"))).alias("host_rate"))
+    m, v = hosts.agg(F.coalesce(F.avg(rate), F.lit(0.0)), F.coalesce(F.var_pop(rate), F.lit(0.0))).first()
+    s = max(2.0, min(10_000.0, m * (1 - m) / v - 1 if v > 1e-12 else 10_000.0))
+    return hosts.select("host", "host_n", "host_failures", ((F.col("host_failures") + m * s) / (F.col("host_n") + s)).alias("host_rate"))
 
 
-def apply_rules(docs: DataFrame, host: str = "source", worst: float = 0.5, width: int = 8) -> DataFrame:
+def apply_rules(docs: DataFrame, host: str = "source", worst: float = 0.5, width: int = 8, salts: int = 64) -> DataFrame:
     """Each document's measures, base_failed, host_rate and kept.
 
     ``kept`` is false if a base rule fails or the host's shrunk rate exceeds ``worst``. Empty and null
-    texts have no words and fail. Repeated rows count as often as they occur.
+    texts have no words and fail. Repeated rows count as often as they occur. Verdicts are joined back
+    by host and one of ``salts`` numbers, so a host with very many documents meets many tasks.
     """
     rows = cut(measures(docs, host, width))
-    out = rows.join(host_verdicts(rows), "host", "left")
+    verdicts = host_verdicts(rows).select("host", "host_rate", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(salts)).cast("int")).join(verdicts, ["host", "salt"], "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & (F.col("host_rate") <= worst)).alias("kept"), F.col("host_rate"))
 
 

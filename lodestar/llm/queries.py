@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, order_minhash, packing, quality_classifier, quality_rules, toxicity
+from . import decontamination, language_id, license_scan, line_dedup, order_minhash, packing, quality_classifier, quality_rules, toxicity
 from .common import held_out, table
 
 
@@ -47,6 +47,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), host="source").drop("host_rate")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL, "op9_license_scan": license_scan.oracle_sql()}
