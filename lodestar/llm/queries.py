@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, line_dedup, order_minhash, packing, quality_classifier, quality_rules, toxicity
+from . import decontamination, language_id, license_scan, line_dedup, order_minhash, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
 from .common import held_out, table
 
 
@@ -47,6 +47,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), host="source").drop("host_rate")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
