@@ -50,6 +50,17 @@ def _slug(prefix: str, term: Column) -> Column:
     return _join(prefix, F.replace(F.lower(term), F.lit(" "), F.lit("_")))
 
 
+def with_features(cvs: DataFrame) -> DataFrame:
+    """Adds what scoring takes from a CV's text alone, so that it is worked out once for all its pairs."""
+    text = F.col("cv_text")
+    parts = F.concat(role_headers(text), skill_lines(text))
+    rows = cvs.select("*", F.lower(text).alias("cv_lower"), current_role(text).alias("cv_role"), parts.alias("cv_parts"))
+    return rows.select("*", domain_text(F.concat(F.array("cv_role"), F.col("cv_parts"))).alias("cv_domain"))
+
+
+FEATURES = ("cv_lower", "cv_role", "cv_parts", "cv_domain")
+
+
 def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """One scored row for each pair; the CV text itself is left behind.
 
@@ -63,15 +74,23 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
         if name not in have:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     p, m, v = F.col("profile"), F.col("llm"), F.col("v")
-    role = F.coalesce(or_null(p["current_role"]), current_role(F.col("cv_text")))
-    texts = F.concat(F.array("cv_text"), _or_none(p["core_skills"]), _or_none(p["inferred_skills"]), _or_none(p["professional_domains"]), F.array(p["current_role"]), _or_none(p["education_domains"]), _or_none(p["certifications"]))
+    if not have.issuperset(FEATURES):
+        rows = with_features(rows)
+    enriched = bool({"profile", "llm"} & have)
+    lower, role, parts, domain = map(F.col, FEATURES)
+    if enriched:
+        role = F.coalesce(or_null(p["current_role"]), role)
+        added = F.concat(_or_none(p["core_skills"]), _or_none(p["inferred_skills"]), _or_none(p["professional_domains"]), F.array(p["current_role"]), _or_none(p["education_domains"]), _or_none(p["certifications"]))
+        lower = F.concat_ws(" ", lower, or_null(F.lower(F.array_join(F.filter(added, lambda x: x != ""), " "))))
+        known = F.concat(F.array(role, p["current_role"]), _or_none(p["core_skills"]), _or_none(p["inferred_skills"]), _or_none(p["professional_domains"]), _or_none(m["inferred_skills"]), _or_none(m["matched_skills"]))
+        domain = domain_text(F.concat(known, parts))
     rows = rows.select(
         *[c for c in rows.columns if c not in ("candidate_experience",)],
         F.coalesce(F.col("candidate_experience").cast("double"), p["relevant_experience_years"]).alias("candidate_experience"),
         role.alias("_current"),
-        F.lower(F.array_join(F.filter(texts, lambda x: x.isNotNull() & (x != "")), " ")).alias("_text"),
+        lower.alias("_text"),
+        domain.alias("_domain_text"),
     )
-    domain_parts = F.concat(F.array("_current", p["current_role"]), _or_none(p["core_skills"]), _or_none(p["inferred_skills"]), _or_none(p["professional_domains"]), _or_none(m["inferred_skills"]), _or_none(m["matched_skills"]), role_headers(F.col("cv_text")), skill_lines(F.col("cv_text")))
     required, preferred = _or_none(v["required_skills"]), _or_none(v["preferred_keywords"])
     rows = rows.select(
         "*",
@@ -79,7 +98,6 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
         missing_terms(F.col("_text"), required).alias("_missing"),
         matched_terms(F.col("_text"), preferred).alias("matched_keywords"),
         missing_terms(F.col("_text"), preferred).alias("missing_keywords"),
-        domain_text(domain_parts).alias("_domain_text"),
     )
     extra = _or_none(m["matched_skills"])
     added = F.array_distinct(F.filter(extra, lambda x: ~F.array_contains(F.col("_matched"), x)))
@@ -225,7 +243,7 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
         "potential": "Potential match — HR review recommended.",
         "weak": "Significant requirements missing — Manual HR review required (never auto-rejected).",
     }
-    internal = {"_current", "_text", "_matched", "_missing", "_domain_text", "_absent", "_ids", "_all", "_raw", "_coverage", "v", "cv_text", "profile", "llm", "score", *(f"_{c}" for c in COMPONENTS)}
+    internal = {"_current", "_text", "_matched", "_missing", "_domain_text", "_absent", "_ids", "_all", "_raw", "_coverage", "v", "cv_text", *FEATURES, "profile", "llm", "score", *(f"_{c}" for c in COMPONENTS)}
     made = {"matched_skills", "missing_skills", "matched_keywords", "missing_keywords", "mandatory_requirements", "preferred_requirements", "matched_criteria", "mandatory_failures", "career_transition_detected", "career_transition_note"}
     carried = [c for c in rows.columns if c not in internal | made]
     return rows.select(

@@ -11,7 +11,7 @@ from ..functions.text import or_null, strip
 from ..operators.catalog import conform
 from ..operators.prefilter import all_pairs, prefilter
 from ..operators.rank import analyses, gate, ranked
-from ..operators.score import score_pairs
+from ..operators.score import score_pairs, with_features
 
 
 def as_cvs(cvs: DataFrame) -> DataFrame:
@@ -33,12 +33,12 @@ def checked(cvs: DataFrame) -> DataFrame:
 
 def match_rules(cvs: DataFrame, vacancies: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """Every CV against every vacancy by rules alone, ranked."""
-    return ranked(score_pairs(all_pairs(as_cvs(cvs), conform(vacancies)), config))
+    return ranked(score_pairs(all_pairs(with_features(as_cvs(cvs)), conform(vacancies)), config))
 
 
 def match_prefiltered(cvs: DataFrame, vacancies: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """Every CV against its most promising vacancies by rules alone, ranked."""
-    return ranked(score_pairs(prefilter(as_cvs(cvs), conform(vacancies), config.prefilter_k), config))
+    return ranked(score_pairs(prefilter(with_features(as_cvs(cvs)), conform(vacancies), config.prefilter_k), config))
 
 
 def match_two_stage(cvs: DataFrame, vacancies: DataFrame, config: MatchConfig = MatchConfig(), answers: DataFrame | None = None, enricher: Enricher | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def match_two_stage(cvs: DataFrame, vacancies: DataFrame, config: MatchConfig =
     an answer are scored again.
     """
     valid = checked(as_cvs(cvs)).where("cv_error is null").drop("cv_error")
-    pairs = prefilter(valid, conform(vacancies), config.prefilter_k)
+    pairs = prefilter(with_features(valid), conform(vacancies), config.prefilter_k)
     rules = ranked(score_pairs(pairs, config))
     skipped = gate(rules, config)
     if answers is None and enricher is None:
