@@ -395,7 +395,7 @@ def repeated_contexts(docs: DataFrame, length: int = 100) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(_scan(length, 64 * parts), "bucket long, first boolean, rows binary")
+    rows = texts.mapInArrow(_scan(length, 2 * parts), "bucket long, first boolean, rows binary")
     decided = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(length), "doc long, a long, n int, h long")
     return decided
 
