@@ -46,7 +46,7 @@ _KIND[[0, 11, 12, 13, 28, 29, 30, 31, 39, 127]] = 4
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-_TABLE_BITS = 22
+_TABLE_BITS = 20
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -63,7 +63,7 @@ class WordEncoder:
     ``cache`` words stay in memory; further words are encoded again whenever they occur.
     """
 
-    def __init__(self, path: str, cache: int = 1_500_000):
+    def __init__(self, path: str, cache: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
