@@ -6,9 +6,9 @@ if its shingle sequences align with similarity 0.8 or more: matched shingles in
 of both. Links make classes by connected components.
 
 Equal texts are one candidate. A bucket of up to ``small`` texts gives all its pairs; in a larger one
-each text meets a pivot, another in each bucket, so pairs grow in line with texts. Then texts of
-different classes that still share such a bucket meet a second pivot. Two texts of similarity 0.8 share
-about 13 buckets: they are linked by any small one, or by way of any of some 26 pivots.
+each text meets a pivot, another in each bucket, and texts of different classes that still share such a
+bucket meet a second pivot. This joins large classes at few pairs. Then all pairs of different classes
+that still share a bucket meet, in blocks of bounded size, so no pair that shares a bucket is left out.
 Pairs that agree in fewer than three of 40 sketches aren't aligned: at similarity 0.8 about 13 agree,
 and under three with a probability of about 1e-5.
 """
@@ -161,6 +161,66 @@ def _pairs(rows: DataFrame, small: int, least: float, turn: int) -> DataFrame:
     return found.select(F.least("x.doc", "y.doc").alias("u"), F.greatest("x.doc", "y.doc").alias("v")).distinct()
 
 
+def _meeting(key: int, side: np.ndarray, doc: np.ndarray, n: np.ndarray, root: np.ndarray, keys: np.ndarray, cross: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs u < v of one block of a bucket, each in the bucket of the first sketch in which it agrees."""
+    step = max(1, (1 << 22) // max(1, keys.size))
+    for a in range(0, len(doc), step):
+        x = slice(a, a + step)
+        agree = keys[x, None, :] == keys[None, :, :]
+        near = np.minimum(n[x, None], n[None, :]) >= least * np.maximum(n[x, None], n[None, :])
+        good = (doc[x, None] < doc[None, :]) & (root[x, None] != root[None, :]) & near & (agree.sum(axis=2) >= AGREE)
+        good &= np.take_along_axis(keys[x], agree.argmax(axis=2), axis=1) == key
+        if cross:
+            good &= side[x, None] != side[None, :]
+        u, v = np.nonzero(good)
+        yield doc[a + u], doc[v]
+
+
+def _all_pairs(rows: DataFrame, sketches: DataFrame, least: float, block: int = 512) -> DataFrame:
+    """All candidate pairs (u < v) of different classes in the buckets of ``rows`` (key, doc, n, root).
+
+    A bucket is dealt to blocks of about ``block`` texts by a hash of the id, and every two blocks meet
+    in a place of their own, so a task holds two blocks at a time however large the bucket.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = rows.join(sizes.hint("merge"), "key").join(sketches.select("doc", "keys").hint("merge"), "doc")
+    own = own.withColumn("side", F.pmod(F.xxhash64(F.lit("block"), "doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "n", "root", "keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+            key, i, j, side, doc, n, root = (table.column(c).to_numpy() for c in range(7))
+            keys = table.column(7).combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                for u, v in _meeting(key[a], side[a:b], doc[a:b], n[a:b], root[a:b], keys[a:b], bool(i[a] != j[a]), least):
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*rest, batch])
+            key, i, j = (table.column(c).to_numpy() for c in range(3))
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            if len(edge):
+                yield from pairs(table.slice(0, edge[-1]), np.concatenate([[0], edge]))
+                table = table.slice(edge[-1])
+            rest = table.to_batches()
+        if rest:
+            table = pa.Table.from_batches(rest)
+            yield from pairs(table, np.array([0, table.num_rows]))
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
+
+
+def _mixed(shared: DataFrame, roots: DataFrame, small: int) -> DataFrame:
+    """Texts and classes of the buckets of more than ``small`` texts that hold several classes."""
+    relabelled = shared.join(roots.hint("merge"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    spread = relabelled.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return cut(relabelled.join(spread.where((F.col("low") < F.col("high")) & (F.col("c") > small)).select("key").hint("merge"), "key", "left_semi"))
+
+
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, small: int = 8) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class, for each row of ``docs``.
 
@@ -177,10 +237,13 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, small: in
     sequences = cut(_sequences(docs, shared.select("doc").distinct()))
     links = cut(_links(_pairs(shared.withColumn("root", F.col("doc")), small, least, 0), distinct, sequences, least))
     roots = cut(components(links))
-    relabelled = shared.join(roots.hint("merge"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    spread = relabelled.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = cut(relabelled.join(spread.where((F.col("low") < F.col("high")) & (F.col("c") > small)).select("key").hint("merge"), "key", "left_semi"))
+    mixed = _mixed(shared, roots, small)
     found = cut(_links(_pairs(mixed, 0, least, 1), distinct, sequences, least))
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        roots = cut(components(links))
+        mixed = _mixed(mixed.drop("root"), roots, small)
+    found = cut(_links(_all_pairs(mixed, distinct, least), distinct, sequences, least))
     if not found.isEmpty():
         roots = cut(components(links.unionByName(found)))
     label = roots.select(F.col("doc").alias("rep"), "root")

@@ -166,6 +166,29 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == set(got.values())
 
 
+def test_near_duplicates_of_a_star(spark):
+    """Versions that are near to their original alone share its buckets with each other."""
+    rng = random.Random(11)
+    base = prose(rng, 200).split()
+    texts = [" ".join(base)]
+    for k in range(400):
+        own = list(base)
+        for at in range(rng.randrange(5, 45), 200, 50):
+            own[at] = f"v{k}x{at}"
+        texts.append(" ".join(own))
+    seq = [order_minhash._sequence(t) for t in texts]
+    assert all(order_minhash.aligned(seq[0], s) >= 0.8 for s in seq)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.class_id for r in order_minhash.near_duplicate_classes(rows).collect()} == {0}
+    docs = np.arange(30)
+    keys = np.random.default_rng(0).integers(0, 3, (30, 40)) + np.arange(40) * 10
+    table = spark.createDataFrame([(int(d), 9, keys[d].tolist()) for d in docs], "doc long, n int, keys array<long>")
+    dealt = table.select("doc", "n", F.explode("keys").alias("key")).withColumn("root", F.col("doc"))
+    got = [tuple(r) for r in order_minhash._all_pairs(dealt, table, 0.8, block=4).collect()]
+    want = {(a, b) for b in range(30) for a in range(b) if (keys[a] == keys[b]).sum() >= order_minhash.AGREE}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_components_in_many_partitions(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)]
