@@ -1,10 +1,9 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Each partition best-fits its own pieces; nearly full bins are final at once. The others climb a tree:
-fewer and fewer partitions best-fit the underfull bins of their children as if these were items. A
-task keeps the lengths of its own pieces in memory, never texts of other tasks, and passes at most
-``carry`` bins upwards, the emptiest first; what it can't pass on becomes final as it is, so the root
-sees a bounded number of bins at any input size and no piece is lost.
+Each partition best-fits its own pieces; nearly full bins are final at once. The pieces of all others
+are numbered by length, and only how many there are of each length goes to the root, which best-fits
+these counts and sends back which bin each number of a length belongs to. So the root sees at most
+``capacity`` counts at any input size, and every piece left takes part.
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -253,16 +253,50 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(items: list[list[dict]], used: list[int], capacity: int, slack: int, carry: int, last: bool) -> Iterator[pa.RecordBatch]:
-    bins = [(sum(used[k] for k in own), [x for k in own for x in items[k]]) for own in best_fit(used, capacity)]
-    bins.sort(key=lambda b: b[0])
-    limit = 0 if last else carry
-    out = [(not (k < limit and total < capacity - slack), total, rows) for k, (total, rows) in enumerate(bins)]
-    for at in range(0, len(out), 2000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 2000]), _BINS)], schema=_BINS)
+def best_fit_counts(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """``best_fit`` of so many items of each length, as runs: length, first item, items, first bin, items a bin.
 
-
-def pack(pieces: DataFrame, capacity: int = 4096, slack: int = 16, carry: int = 4096, fan_in: int = 8) -> DataFrame:
+    Items of a length and bins are numbered from 0 on. Bins of equal contents are handled together, so
+    time and memory depend on the number of lengths, not of items.
+    """
+    runs: list[tuple[int, int, int, int, int]] = []
+    groups: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left: (first bin, bins)
+    mask = opened = 0
+
+    def leave(left: int, first: int, bins: int) -> None:
+        nonlocal mask
+        if left and bins:
+            groups[left].append((first, bins))
+            mask |= 1 << left
+
+    for size in sorted(counts, reverse=True):
+        at, k = 0, counts[size]
+        while at < k:
+            fits = mask >> size
+            if fits:
+                left = size + (fits & -fits).bit_length() - 1
+                first, bins = groups[left].pop()
+                if not groups[left]:
+                    mask &= ~(1 << left)
+            else:
+                left, first, bins = capacity, opened, -(-(k - at) // (capacity // size))
+                opened += bins
+            each = left // size
+            full = min(bins, (k - at) // each)
+            if full:
+                runs.append((size, at, full * each, first, each))
+                leave(left - each * size, first, full)
+                at += full * each
+            if full < bins and at < k:
+                rest = k - at
+                runs.append((size, at, rest, first + full, rest))
+                leave(left - rest * size, first + full, 1)
+                at, full = k, full + 1
+            leave(left, first + full, bins - full)
+    return np.array(runs, dtype=np.int64).reshape(-1, 5)
+
+
+def pack(pieces: DataFrame, capacity: int = 4096, slack: int = 16) -> DataFrame:
     """Place every piece: the columns of ``pieces`` with sequence_id and offset.
 
     ``pieces`` needs doc_id, piece and length (1 to ``capacity``), and is computed once. Ties between
@@ -270,23 +304,49 @@ def pack(pieces: DataFrame, capacity: int = 4096, slack: int = 16, carry: int =
     """
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [x for b in batches for x in b.to_pylist()]
-        yield from _pack([[x] for x in rows], [x["length"] for x in rows], capacity, slack, carry, False)
-
-    def merge(last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [x for b in batches for x in b.to_pylist()]
-            yield from _pack([x["items"] for x in rows], [x["used"] for x in rows], capacity, slack, carry, last)
+        out = []
+        for own in best_fit([x["length"] for x in rows], capacity):
+            total = sum(rows[k]["length"] for k in own)
+            if total >= capacity - slack:
+                out.append((True, total, [rows[k] for k in own]))
+            else:
+                out += [(False, rows[k]["length"], [rows[k]]) for k in own]
+        for at in range(0, len(out), 2000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 2000]), _BINS)], schema=_BINS)
 
-        return run
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        for batch in batches:
+            used = batch.column(1).to_numpy()
+            order = np.argsort(used, kind="stable")
+            ranked = used[order]
+            rank = np.empty(len(used), dtype=np.int64)
+            rank[order] = np.arange(len(used)) - np.searchsorted(ranked, ranked) + seen[ranked]
+            seen += np.bincount(used, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), part, dtype=np.int32)), batch.column(1), pa.array(rank), batch.column(2)], names=["part", "used", "rank", "items"])
 
     level = cut(pieces.mapInArrow(local, BINS))
-    parts, bins = level.rdd.getNumPartitions(), level.where("done")
-    while True:
-        parts = max(1, -(-parts // fan_in))
-        level = cut(level.where("not done").repartition(parts).mapInArrow(merge(parts == 1), BINS))
-        bins = bins.unionByName(level.where("done"))
-        if parts == 1:
-            break
+    rest = cut(level.where("not done").mapInArrow(numbered, "part int, used long, rank long, " + BINS[BINS.index("items") :]))
+    counts = rest.groupBy("used", "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("used").orderBy("part")) - F.col("n")).select("used", "part", "before")
+    runs = best_fit_counts({r["used"]: r["n"] for r in counts.groupBy("used").agg(F.sum("n").alias("n")).collect()}, capacity)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((runs[:, 1], runs[:, 0]))
+        size, first, _, bins, each = runs[order].T
+        start = {int(s): k for k, s in reversed(list(enumerate(size.tolist())))}
+        stop = {int(s): k + 1 for k, s in enumerate(size.tolist())}
+        for batch in batches:
+            used, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = np.empty(len(used), dtype=np.int64)
+            for s in np.unique(used).tolist():
+                own = used == s
+                at[own] = start[s] - 1 + np.searchsorted(first[start[s] : stop[s]], number[own], side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(bins[at] + (number - first[at]) // each[at]), batch.column(2)], names=["bin", "items"])
+
+    met = rest.join(before.hint("merge"), ["used", "part"]).select("used", (F.col("rank") + F.col("before")).alias("number"), "items")
+    root = met.mapInArrow(dealt, "bin long, " + BINS[BINS.index("items") :]).groupBy("bin").agg(F.flatten(F.collect_list("items")).alias("items"))
+    bins = level.where("done").select("items").unionByName(cut(root.select("items")))
     return bins.select(F.monotonically_increasing_id().alias("sequence_id"), "items").mapInArrow(_place, PLACED)
 
 

@@ -117,6 +117,31 @@ def test_best_fit_is_tight():
     assert len(bins) <= sum(sizes) / 100 * 1.02 + 1
 
 
+def test_best_fit_of_counts_equals_best_fit():
+    rng = random.Random(8)
+    for _ in range(50):
+        sizes = [rng.choice([rng.randint(1, 100), 30, 7]) for _ in range(rng.randint(0, 400))]
+        counts = {s: sizes.count(s) for s in sizes}
+        bins, seen = {}, {}
+        for size, first, n, at, each in packing.best_fit_counts(counts, 100).tolist():
+            assert first == seen.get(size, 0)
+            seen[size] = first + n
+            for k in range(n):
+                bins.setdefault(at + k // each, []).append(size)
+        assert seen == counts and sorted(bins) == list(range(len(bins)))
+        assert max(map(sum, bins.values()), default=0) <= 100 and len(bins) == len(packing.best_fit(sizes, 100))
+
+
+def test_packing_of_many_underfull_bins(spark):
+    """Partitions of one length each, with more underfull bins than a task could once pass on."""
+    parts = [spark.range(k * 9000, (k + 1) * 9000, 1, 2).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", f"{n}L AS length", "0L AS ids_crc32") for k, n in enumerate((2500, 1500))]
+    rows = packing.pack(parts[0].unionByName(parts[1])).toPandas()
+    assert len(rows) == rows.doc_id.nunique() == 18_000 and rows.sequence_id.nunique() == 9000
+    assert rows.groupby("sequence_id").length.sum().max() == 4000
+    ordered = rows.sort_values(["sequence_id", "offset"])
+    assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all()
+
+
 def test_language_forward_sums_all_segmentations():
     model = language_id.PieceModel(["▁", "▁a", "a", "b", "ab", "▁ab"], np.array([[0.1], [0.2], [0.15], [0.25], [0.2], [0.1]]), np.array([0.0]))
     expected = 0.1 + 0.2 * 0.25 + 0.1 * 0.15 * 0.25 + 0.1 * 0.2
