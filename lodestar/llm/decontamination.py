@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-For each benchmark item, windows of as many words are slid over a document. Their 64-bit SimHash
+For each benchmark item, windows of as many words are slid over a document; a document that is shorter,
+but long enough to reach the similarity, is one window as a whole. Their 64-bit SimHash
 fingerprints of five-word shingles are looked up in a multi-index: the fingerprint's bits are dealt into
 ``radius + 1`` blocks, so an item within ``radius`` bits agrees with the window in one block at least.
 What is found is verified by the exact weighted-shingle similarity. A window without any shingle of an
@@ -99,9 +100,16 @@ class Benchmark:
             for n in self.of[k]:
                 spots.setdefault(n, []).append(p)
         for n, positions in spots.items():
+            span, size = n - WIDTH + 1, self.sizes[n]
             if n > len(words):
+                if len(own) >= least * span:
+                    whole = Counter(own.tolist())
+                    for _, k in zip(*(x.tolist() for x in self._candidates(np.array([simhash(own)], dtype=np.uint64), size))):
+                        similarity = weighted_similarity(whole, size["weights"][k])
+                        item = size["ids"][k]
+                        if similarity >= least and (item not in out or (similarity, 0) > (out[item][0], -out[item][1])):
+                            out[item] = (similarity, 0, len(words))
                 continue
-            span, size = n - WIDTH + 1, self.sizes[n]
             low = high = None
             ranges: list[tuple[int, int]] = []
             for p in positions:

@@ -257,6 +257,24 @@ def test_decontamination_equals_brute_force(spark):
     assert got == want and want
 
 
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    rng = random.Random(14)
+    items = [(k, prose(rng, rng.randint(30, 60))) for k in range(12)]
+    rows, want = [], {}
+    for k, (item_id, item) in enumerate(items):
+        words = item.split()
+        for cut in (1, 3, len(words) // 2):
+            own, doc_id = words[cut:] if k % 2 else words[:-cut], len(rows)
+            rows.append((doc_id, " ".join(own)))
+            similarity = (len(own) - 4) / (len(words) - 4)
+            if similarity >= 0.8:
+                want[doc_id, item_id] = (round(similarity, 9), 0, len(own))
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word, r.n_words) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == want and len(want) == 24
+    assert {r.doc_id for r in decontamination.drop_leaking(docs, bench).collect()} == {r[0] for r in rows} - {d for d, _ in want}
+
+
 def test_multi_index_finds_all_within_radius():
     rng = random.Random(6)
     bench = decontamination.Benchmark([(k, prose(rng, 20)) for k in range(50)], radius=20)
