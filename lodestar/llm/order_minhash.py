@@ -9,8 +9,10 @@ Equal texts are one candidate. A bucket of up to ``small`` texts gives all its p
 each text meets a pivot, another in each bucket, and texts of different classes that still share such a
 bucket meet a second pivot. This joins large classes at few pairs. Then all pairs of different classes
 that still share a bucket meet, in blocks of bounded size, so no pair that shares a bucket is left out.
-Pairs that agree in fewer than three of 40 sketches aren't aligned: at similarity 0.8 about 13 agree,
-and under three with a probability of about 1e-5.
+Two texts of similarity 0.8 agree in about 13 of 40 sketches; of those in fewer than ``AGREE`` with a
+probability below 1e-5 if the longer has over 32 shingles, and such pairs aren't aligned. Texts of up to
+``EXACT`` shingles have no sketches: they and all texts that can be near to them meet by a prefix
+filter, in which any two that can reach the similarity share a shingle.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from .common import cut
 from .components import components
 from .shingles import labelled, mix, shingle_hashes, word_hashes
 
-SKETCHES, LENGTH, WIDTH, SIMILARITY, AGREE = 40, 5, 5, 0.8, 3
+SKETCHES, LENGTH, WIDTH, SIMILARITY, AGREE, EXACT = 40, 5, 5, 0.8, 2, 32
 
 
 def _odd(n: int) -> np.ndarray:
@@ -60,21 +63,33 @@ def _sequence(text: str) -> np.ndarray:
     return labelled(shingle_hashes(word_hashes(text), WIDTH))
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """doc, tid (a digest of the text; null for a null text), n shingles, keys (empty without a word)."""
+def _short(least: float) -> int:
+    """Shingles of the longest text that can be near to one without sketches."""
+    return int(EXACT / least + 1e-9)
+
+
+def prefix(items: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Keys of the least items, by hash, of which two sets of similarity ``least`` share one."""
+    n = len(items)
+    return mix(np.sort(items)[: n - int(np.ceil(least * n - 1e-9)) + 1] ^ _odd(1))
+
+
+def sketched(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc, tid (a digest of the text; null for a null text), n shingles, keys of sketches, keys of the prefix of short texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc", pa.int64()), ("tid", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc", pa.int64()), ("tid", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
         for batch in batches:
-            tids, ns, keys = [], [], []
+            tids, ns, keys, starts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 items = _sequence(text) if text else np.zeros(0, np.uint64)
                 tids.append(None if text is None else hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest())
                 ns.append(len(items))
-                keys.append(sketch(items).view(np.int64) if len(items) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tids, pa.binary()), pa.array(ns, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                keys.append(sketch(items).view(np.int64) if len(items) > EXACT else [])
+                starts.append(prefix(items, least).view(np.int64) if 0 < len(items) <= _short(least) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tids, pa.binary()), pa.array(ns, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc long, tid binary, n int, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc long, tid binary, n int, keys array<long>, prefix array<long>")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -124,7 +139,7 @@ def _sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sketches: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sketches agree often enough and whose texts align."""
+    """Those of ``pairs`` (u, v) that are short or whose sketches agree often enough, and whose texts align."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +149,9 @@ def _links(pairs: DataFrame, sketches: DataFrame, sequences: DataFrame, least: f
 
     end = lambda table, name, value, new: table.select(F.col("doc").alias(name), F.col(value).alias(new)).hint("merge")
     agree = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
-    likely = pairs.join(end(sketches, "u", "keys", "a"), "u").join(end(sketches, "v", "keys", "b"), "v").where(agree >= AGREE).select("u", "v")
+    keys = sketches.select("doc", F.struct("n", "keys").alias("s"))
+    likely = pairs.join(end(keys, "u", "s", "x"), "u").join(end(keys, "v", "s", "y"), "v").select("u", "v", F.col("x.keys").alias("a"), F.col("y.keys").alias("b"), F.greatest("x.n", "y.n").alias("n"))
+    likely = likely.where((F.col("n") <= _short(least)) | (agree >= AGREE)).select("u", "v")
     met = likely.join(end(sequences, "u", "seq", "a"), "u").join(end(sequences, "v", "seq", "b"), "v")
     return met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
@@ -162,14 +179,15 @@ def _pairs(rows: DataFrame, small: int, least: float, turn: int) -> DataFrame:
 
 
 def _meeting(key: int, side: np.ndarray, doc: np.ndarray, n: np.ndarray, root: np.ndarray, keys: np.ndarray, cross: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs u < v of one block of a bucket, each in the bucket of the first sketch in which it agrees."""
+    """Pairs u < v of one block of a bucket; longer ones in the bucket of the first sketch in which they agree."""
     step = max(1, (1 << 22) // max(1, keys.size))
     for a in range(0, len(doc), step):
         x = slice(a, a + step)
         agree = keys[x, None, :] == keys[None, :, :]
         near = np.minimum(n[x, None], n[None, :]) >= least * np.maximum(n[x, None], n[None, :])
-        good = (doc[x, None] < doc[None, :]) & (root[x, None] != root[None, :]) & near & (agree.sum(axis=2) >= AGREE)
-        good &= np.take_along_axis(keys[x], agree.argmax(axis=2), axis=1) == key
+        good = (doc[x, None] < doc[None, :]) & (root[x, None] != root[None, :]) & near
+        enough = (agree.sum(axis=2) >= AGREE) & (np.take_along_axis(keys[x], agree.argmax(axis=2), axis=1) == key)
+        good &= enough | (np.maximum(n[x, None], n[None, :]) <= _short(least))
         if cross:
             good &= side[x, None] != side[None, :]
         u, v = np.nonzero(good)
@@ -190,7 +208,9 @@ def _all_pairs(rows: DataFrame, sketches: DataFrame, least: float, block: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
             key, i, j, side, doc, n, root = (table.column(c).to_numpy() for c in range(7))
-            keys = table.column(7).combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+            sizes = pc.list_value_length(table.column(7)).to_numpy()
+            keys = np.zeros((len(key), max(1, sizes.max(initial=0))), dtype=np.int64)
+            keys[sizes > 0] = pc.list_flatten(table.column(7)).to_numpy().reshape(-1, keys.shape[1])
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 for u, v in _meeting(key[a], side[a:b], doc[a:b], n[a:b], root[a:b], keys[a:b], bool(i[a] != j[a]), least):
                     if len(u):
@@ -211,7 +231,7 @@ def _all_pairs(rows: DataFrame, sketches: DataFrame, least: float, block: int =
             table = pa.Table.from_batches(rest)
             yield from pairs(table, np.array([0, table.num_rows]))
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long").distinct()
 
 
 def _mixed(shared: DataFrame, roots: DataFrame, small: int) -> DataFrame:
@@ -228,10 +248,10 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, small: in
     words are a single shingle, so they link only to texts with the same words. Repeated rows of an id
     give repeated results; an empty table gives none.
     """
-    rows = cut(sketched(docs).withColumn("tid", F.coalesce("tid", F.col("doc").cast("string").cast("binary"))))
+    rows = cut(sketched(docs, least).withColumn("tid", F.coalesce("tid", F.col("doc").cast("string").cast("binary"))))
     first = rows.groupBy("tid").agg(F.min("doc").alias("rep"))
-    distinct = cut(rows.join(first.select(F.col("rep").alias("doc")).hint("merge"), "doc", "left_semi").select("doc", "n", "keys").dropDuplicates(["doc"]))
-    keyed = distinct.select("doc", "n", F.explode("keys").alias("key"))
+    distinct = cut(rows.join(first.select(F.col("rep").alias("doc")).hint("merge"), "doc", "left_semi").select("doc", "n", "keys", "prefix").dropDuplicates(["doc"]))
+    keyed = distinct.select("doc", "n", F.explode(F.concat("keys", "prefix")).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     shared = cut(keyed.join(counts.hint("merge"), "key"))
     sequences = cut(_sequences(docs, shared.select("doc").distinct()))

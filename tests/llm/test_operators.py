@@ -214,6 +214,27 @@ def test_near_duplicates_of_a_star(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Texts of 1 to 45 shingles and copies with a word more, less or changed, against brute force."""
+    from math import comb
+
+    rng, texts = random.Random(13), []
+    for k in range(240):
+        base = prose(rng, 5 + k % 45).split()
+        texts += [" ".join(base), " ".join([*base, "zz"]) if k % 2 else " ".join([*base[:-1], *["yy"] * (k % 3)])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(rows).collect()}
+    seq = [order_minhash._sequence(t) for t in texts]
+    edges = [(a, b) for b in range(len(texts)) for a in range(b) if order_minhash.aligned(seq[a], seq[b]) >= 0.8]
+    roots = dict(components.forest(edges))
+    assert got == {k: roots.get(k, k) for k in range(len(texts))} and len(edges) > 100
+    for n in range(order_minhash.EXACT + 1, 300):
+        for m in range(n, int(n / 0.8 + 1e-9) + 1):
+            i = int(np.ceil(0.8 * (n + m) / 1.8 - 1e-9))
+            p = comb(i, 5) / comb(n + m - i, 5)
+            assert sum(comb(40, k) * p**k * (1 - p) ** (40 - k) for k in range(order_minhash.AGREE)) < 1e-5, (n, m)
+
+
 def test_components_in_many_partitions(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)]
