@@ -347,6 +347,21 @@ def test_line_templates(spark):
     assert out[0]._n_dropped == 0 and all(out[k]._n_dropped >= 2 for k in range(1, 5))
 
 
+def test_line_templates_below_the_same_tokens(spark):
+    """Two templates with the same leading tokens, a document with three variants of its own, and rows without an id."""
+    names = ["ann", "bob", "cid", "dee", "eve", "fay", "gus", "hal", "ida"]
+    first = [(k, f"posted by {n} in the general news section of our site\nw{n}") for k, n in enumerate(names[:5])]
+    second = [(k + 5, f"posted by {n} at our other regional office far from here\nw{n}") for k, n in enumerate(names[5:])]
+    verse = [(20, "\n".join(f"the long and winding {x} leads to your door again" for x in ("road", "street", "path")))]
+    footer = [(k, "all rights reserved by us") for k in (None, 30, 31, 32)]
+    rows = spark.createDataFrame([*first, *second, *verse, *footer], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(rows).collect()}
+    assert [out[k]._n_dropped for k in range(9)] == [0, 1, 1, 1, 1, 0, 1, 1, 1]
+    assert out[20]._n_dropped == 0 and out[None]._n_dropped == 0 and [out[k]._n_dropped for k in (30, 31, 32)] == [0, 1, 1]
+    again = line_dedup.dedup_lines(spark.createDataFrame([(1, "a b\nc d"), (1, "c d\nx y\nz"), (2, "x y"), (3, "x y"), (0, "x y")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in again) == [(0, "x y"), (1, "a b\nc d"), (1, "c d\nz"), (2, ""), (3, "")]
+
+
 def test_license_markers_cover_templates():
     """A window that reaches the containment holds a marker: too few shingles are without one."""
     for name, text in license_scan.TEMPLATES.items():
