@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mapped
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -43,15 +43,11 @@ _KIND[[9, 10, 32]] = 0
 _KIND[[*range(65, 91), *range(97, 123)]] = 1
 _KIND[48:58] = 2
 _KIND[[0, 11, 12, 13, 28, 29, 30, 31, 39, 127]] = 4
-_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-_TABLE_BITS = 20
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base % 2**64, dtype=np.uint64)]), dtype=np.uint64)
+_TABLE_BITS = 19
+#: Bytes of the longest word that is looked up as two numbers.
+_SHORT = 16
 
 
 class WordEncoder:
@@ -59,23 +55,24 @@ class WordEncoder:
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in
     turn. Words of plain ASCII without an apostrophe are cut further where letters, digits and other
-    characters meet, as the tokenizer cuts them. Words are told apart by a 64-bit hash. Ids of up to
-    ``cache`` words stay in memory; further words are encoded again whenever they occur.
+    characters meet, as the tokenizer cuts them. A word of up to 16 bytes is two 64-bit numbers, which
+    are compared whole, so different words never pass for each other; longer ones are keys of a
+    dictionary. Ids of up to ``cache`` words stay in memory; further words are encoded whenever they occur.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.limit = min(cache, 1 << (_TABLE_BITS - 1))
         self.parts: dict[str, bytes] = {}
+        self.longer: dict[bytes, bytes] = {}
         self.slots = np.full(1 << _TABLE_BITS, -1, dtype=np.int32)
-        self.hashes = np.zeros(1024, dtype=np.uint64)
+        self.words = np.zeros((1024, 2), dtype=np.uint64)
         self.begin = np.zeros(1025, dtype=np.int64)
         self.pool = np.zeros(4096, dtype=np.uint32)
         self.n = 0
-        self.up, self.down = _powers(1, _BASE), _powers(1, pow(_BASE, -1, 2**64))
 
     def _encode_part(self, part: str) -> bytes:
         """A lower-case pre-token by the tokenizer's own model, in its byte alphabet."""
@@ -104,45 +101,55 @@ class WordEncoder:
                 out.append(np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes())
         return out
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _slot(words: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (words[:, 0] ^ (words[:, 1] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+            return (((h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+
+    def _find(self, words: np.ndarray) -> np.ndarray:
         """Numbers of known words, -1 for others, by linear probing."""
-        size = np.int64((1 << _TABLE_BITS) - 1)
-        at = ((hashes * _MIX) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        at = self._slot(words)
         found = self.slots[at]
-        open_ = np.flatnonzero((found >= 0) & (self.hashes[found] != hashes))
+        open_ = np.flatnonzero((found >= 0) & (self.words[found] != words).any(axis=1))
         while len(open_):
-            at[open_] = (at[open_] + 1) & size
+            at[open_] = (at[open_] + 1) & ((1 << _TABLE_BITS) - 1)
             found[open_] = self.slots[at[open_]]
-            open_ = open_[(found[open_] >= 0) & (self.hashes[found[open_]] != hashes[open_])]
+            open_ = open_[(found[open_] >= 0) & (self.words[found[open_]] != words[open_]).any(axis=1)]
         return found
 
-    def _keep(self, hashes: np.ndarray, first: int) -> None:
-        size = (1 << _TABLE_BITS) - 1
+    def _keep(self, words: np.ndarray, first: int) -> None:
         slots = self.slots
-        for k, at in enumerate(((hashes * _MIX) >> np.uint64(64 - _TABLE_BITS)).tolist(), first):
+        for k, at in enumerate(self._slot(words).tolist(), first):
             while slots[at] >= 0:
-                at = (at + 1) & size
+                at = (at + 1) & ((1 << _TABLE_BITS) - 1)
             slots[at] = k
 
-    def _append(self, hashes: np.ndarray, encoded: list[bytes]) -> None:
+    def _append(self, words: np.ndarray, encoded: list[bytes]) -> None:
         """Ids of new words behind the known ones, from number ``self.n`` on."""
         n, more = self.n, np.frombuffer(b"".join(encoded), dtype="<u4")
-        while len(self.hashes) < n + len(hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.begin = np.concatenate([self.begin, np.zeros(len(self.hashes) + 1 - len(self.begin), np.int64)])
+        while len(self.words) < n + len(words):
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)])
+            self.begin = np.concatenate([self.begin, np.zeros(len(self.words) + 1 - len(self.begin), np.int64)])
         start = self.begin[n]
         while len(self.pool) < start + len(more):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.hashes[n : n + len(hashes)] = hashes
+        self.words[n : n + len(words)] = words
         self.pool[start : start + len(more)] = more
-        self.begin[n + 1 : n + len(hashes) + 1] = start + np.cumsum([len(e) // 4 for e in encoded])
+        self.begin[n + 1 : n + len(words) + 1] = start + np.cumsum([len(e) // 4 for e in encoded])
+
+    def _encode_longer(self, words: list[bytes]) -> list[bytes]:
+        missing = [w for w in dict.fromkeys(words) if w not in self.longer]
+        fresh = dict(zip(missing, self._encode_words(missing)))
+        out = [fresh[w] if w in fresh else self.longer[w] for w in words]
+        if len(self.longer) + len(fresh) <= self.limit // 4:
+            self.longer |= fresh
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without a closing id."""
         coded = [t.encode("utf-8", "replace") for t in texts]
         raw = b"\n".join([b"", *coded, b""])
-        if len(raw) >= len(self.up):
-            self.up, self.down = _powers(len(raw), _BASE), _powers(len(raw), pow(_BASE, -1, 2**64))
         data = np.frombuffer(raw, dtype=np.uint8)
         kind = _KIND[data]
         if b"<|" in raw:
@@ -155,26 +162,39 @@ class WordEncoder:
         inner = np.zeros(len(raw) + 1, dtype=np.int8)
         inner[chunks[::2][whole] + 1] += 1
         inner[chunks[1::2][whole]] -= 1
-        change &= ~(np.cumsum(inner[1:-1]) > 0) | edge
+        change &= ~(np.cumsum(inner[1:-1], dtype=np.int8) > 0) | edge
         begin = np.flatnonzero(change & ~blank[1:]) + 1
         ends = np.append(begin[1:], len(raw))
-        chunk_end = chunks[1::2][np.searchsorted(chunks[1::2], begin, side="right")] if len(begin) else begin
-        ends = np.minimum(ends, chunk_end)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([[np.uint64(0)], np.cumsum(_LOWER[data] * self.up[: len(raw)], dtype=np.uint64)])
-            hashes = (total[ends] - total[begin]) * self.down[begin] + (ends - begin).astype(np.uint64) * _MIX
-            hashes ^= hashes >> np.uint64(29)
-            number = self._find(hashes)
-            missing = np.flatnonzero(number < 0)
-            keep = self.n
-            if len(missing):
-                fresh, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
-                at = missing[first]
-                self._append(fresh, self._encode_words([raw[a:b] for a, b in zip(begin[at].tolist(), ends[at].tolist())]))
-                number[missing] = self.n + inverse
-                if self.n + len(fresh) <= self.limit:
-                    self._keep(fresh, self.n)
-                    keep = self.n + len(fresh)
+        at = np.searchsorted(chunks[1::2], begin, side="right")
+        ends = np.minimum(ends, chunks[1::2][at] if len(begin) else begin)
+        lengths = ends - begin
+        short = lengths <= _SHORT
+        if b"\0" in raw:
+            zeros = np.cumsum(data == 0)
+            short &= zeros[ends - 1] == zeros[begin - 1]
+        padded = np.zeros(len(raw) + _SHORT, dtype=np.uint8)
+        padded[: len(raw)] = data
+        some = np.lib.stride_tricks.sliding_window_view(padded, _SHORT)[begin[short]]
+        plain = ~whole[at[short]]
+        some[plain] = _LOWER[some[plain]]
+        some[np.arange(_SHORT) >= lengths[short][:, None]] = 0
+        words = some.view("<u8")
+        number = np.empty(len(begin), dtype=np.int64)
+        number[short] = found = self._find(words)
+        missing, keep = np.flatnonzero(found < 0), self.n
+        if len(missing):
+            fresh, first, inverse = np.unique(words[missing], axis=0, return_index=True, return_inverse=True)
+            spots = np.flatnonzero(short)[missing[first]]
+            self._append(fresh, self._encode_words([raw[a:b] for a, b in zip(begin[spots].tolist(), ends[spots].tolist())]))
+            number[np.flatnonzero(short)[missing]] = self.n + inverse.ravel()
+            if self.n + len(fresh) <= self.limit:
+                self._keep(fresh, self.n)
+                keep = self.n + len(fresh)
+            self.n += len(fresh)
+        rest = np.flatnonzero(~short)
+        if len(rest):
+            self._append(np.zeros((len(rest), 2), np.uint64), self._encode_longer([raw[a:b] for a, b in zip(begin[rest].tolist(), ends[rest].tolist())]))
+            number[rest] = self.n + np.arange(len(rest))
         from_, lengths = self.begin[number], self.begin[number + 1] - self.begin[number]
         self.n = keep
         before = np.concatenate([[0], np.cumsum(lengths)])
@@ -183,17 +203,18 @@ class WordEncoder:
         cuts = before[np.searchsorted(begin, offsets)]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
+    def encode_long(self, text: str, most: int = 1 << 17) -> np.ndarray:
+        """``encode`` of one text in parts, cut at white space."""
+        parts, at = [], 0
+        while len(text) - at > most:
+            blank = next((k for k in range(at + most, at, -1) if text[k] in " \n"), None)
+            stop = blank if blank is not None else next((k for k in range(at + most, len(text)) if text[k] in " \n"), len(text))
+            parts.append(text[at:stop])
+            at = stop
+        return np.concatenate([self.encode([x])[0] for x in [*parts, text[at:]]])
 
-_ENCODERS: dict[str, WordEncoder] = {}
 
-
-def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
-def _blocks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _blocks(texts: list[str], most: int = 1 << 17) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``most`` characters each."""
     at = size = 0
     for k, text in enumerate(texts):
@@ -208,26 +229,27 @@ def _blocks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Cut each document's ids, closed by ``end_id``, into pieces of at most ``capacity``.
 
-    A null or empty text has the closing id alone. Repeated rows are packed as often as they occur.
-    Columns: doc_id, piece, start, length, ids_crc32, and ids (little-endian unsigned 32-bit) if asked.
+    A null or empty text has the closing id alone; a null id stays null. Repeated rows are packed as
+    often as they occur. Columns: doc_id, piece, start, length, ids_crc32, and ids (little-endian unsigned 32-bit) if asked.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
     step, closing = 4 * capacity, int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = WordEncoder(tokenizer)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _blocks(texts):
                 rows: list[tuple] = []
-                for doc_id, own in zip(ids[a:b], encoder.encode(texts[a:b])):
+                coded = encoder.encode(texts[a:b]) if b - a > 1 else [encoder.encode_long(texts[a])]
+                for doc_id, own in zip(ids[a:b], coded):
                     raw = own.tobytes() + closing
                     for k, at in enumerate(range(0, len(raw), step)):
                         part = raw[at : at + step]
                         rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] * with_ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES + ", ids binary" * with_ids)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -302,17 +324,27 @@ def pack(pieces: DataFrame, capacity: int = 4096, slack: int = 16) -> DataFrame:
     ``pieces`` needs doc_id, piece and length (1 to ``capacity``), and is computed once. Ties between
     equal lengths may fall either way. An empty input gives no rows.
     """
+    fields = list(_ITEM)
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x for b in batches for x in b.to_pylist()]
-        out = []
-        for own in best_fit([x["length"] for x in rows], capacity):
-            total = sum(rows[k]["length"] for k in own)
-            if total >= capacity - slack:
-                out.append((True, total, [rows[k] for k in own]))
-            else:
-                out += [(False, rows[k]["length"], [rows[k]]) for k in own]
-        for at in range(0, len(out), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 2000]), _BINS)], schema=_BINS)
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).select([f.name for f in fields]).combine_chunks()
+        lengths = table.column("length").to_numpy()
+        bins = best_fit(lengths.tolist(), capacity)
+        totals = [int(lengths[own].sum()) for own in bins]
+        full = [own for own, total in zip(bins, totals) if total >= capacity - slack]
+        loose = [[k] for own, total in zip(bins, totals) if total < capacity - slack for k in own]
+        own_bins = full + loose
+        for at in range(0, len(own_bins), 2000):
+            some = own_bins[at : at + 2000]
+            order = np.concatenate(some)
+            items = pa.StructArray.from_arrays([table.column(f.name).take(order).combine_chunks() for f in fields], fields=fields)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32)
+            used = np.add.reduceat(lengths[order], offsets[:-1])
+            done = np.arange(at, at + len(some)) < len(full)
+            yield pa.RecordBatch.from_arrays([pa.array(done), pa.array(used), pa.ListArray.from_arrays(offsets, items)], schema=_BINS)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)

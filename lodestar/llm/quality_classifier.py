@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share
+from .common import hash_share, mapped
 
 _BYTES = np.arange(256)
 _ASCII = {
@@ -93,7 +93,7 @@ def _featurised(docs: DataFrame, extra: Column) -> DataFrame:
             rows = [features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["kind", "x"])
 
-    return docs.select(F.col("text").cast("string"), extra.cast("int").alias("kind")).mapInArrow(run, "kind int, x array<double>")
+    return mapped(docs.select(F.col("text").cast("string"), extra.cast("int").alias("kind")), run, "kind int, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_labelled: int = 20_000, most_unlabelled: int = 20_000) -> dict:
@@ -117,36 +117,30 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_labelled: int =
     return {"prior": prior, "model": fit_nnpu(x[rows.kind & 1 == 1], x[rows.kind & 2 == 2], prior)}
 
 
+def _scores(texts: list[str | None], model: dict) -> np.ndarray:
+    x = np.array([features(t) for t in texts]).reshape(-1, N_FEATURES)
+    if model["model"] is None:
+        return np.full(len(x), model["prior"])
+    w, mean, scale = model["model"][0], model["model"][1, :-1], model["model"][2, :-1]
+    return 1 / (1 + np.exp(-np.clip(np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1], -40, 40)))
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id and the quality score of each whole text; a null text is scored as an empty one."""
-    prior, fitted = model["prior"], model["model"]
+    """doc_id and the quality score of each whole text; a null text is scored as an empty one, a null id stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column(1).to_pylist()]).reshape(-1, N_FEATURES)
-            if fitted is None:
-                z = np.full(len(x), prior)
-            else:
-                w, mean, scale = fitted[0], fitted[1, :-1], fitted[2, :-1]
-                z = 1 / (1 + np.exp(-np.clip(np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1], -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1).to_pylist(), model), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double")
 
 
 def keep_quality(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The documents, with all their columns, that the classifier doesn't reject."""
-    kind = docs.schema
-    prior, fitted = model["prior"], model["model"]
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, N_FEATURES)
-            if fitted is None:
-                keep = np.full(len(x), prior >= threshold)
-            else:
-                w, mean, scale = fitted[0], fitted[1, :-1], fitted[2, :-1]
-                keep = 1 / (1 + np.exp(-np.clip(np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1], -40, 40))) >= threshold
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, kind)
+            yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), model) >= threshold, pa.bool_()))
+
+    return mapped(docs, run, docs.schema)
