@@ -93,6 +93,20 @@ def test_word_encoder_equals_tokenizer():
             assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_word_encoder_tells_words_apart():
+    """Words whose polynomial hashes modulo 2**64 agree, long words, and a text in parts."""
+    from tokenizers import Tokenizer
+
+    plain, fast = Tokenizer.from_file(TOKENS), packing.WordEncoder(TOKENS, cache=50)
+    thue = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    texts = [thue, thue.translate(str.maketrans("ab", "ba")), "x" * 16, "x" * 17, "a\0", "a", "a\0\0 b", "É é ÉCOLE école", "AbC abc", "<|STARTOFTEXT|> <|startoftext|>"]
+    for own in (texts, texts[::-1]):
+        for text, ids in zip(own, fast.encode(own)):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text[:20])
+    long = "ab cd\n" * 50_000
+    assert fast.encode_long(long, most=1000).tolist() == plain.encode(long, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
@@ -205,13 +219,42 @@ def test_near_duplicates_of_a_star(spark):
     assert all(order_minhash.aligned(seq[0], s) >= 0.8 for s in seq)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert {r.class_id for r in order_minhash.near_duplicate_classes(rows).collect()} == {0}
-    docs = np.arange(30)
-    keys = np.random.default_rng(0).integers(0, 3, (30, 40)) + np.arange(40) * 10
-    table = spark.createDataFrame([(int(d), 9, keys[d].tolist()) for d in docs], "doc long, n int, keys array<long>")
-    dealt = table.select("doc", "n", F.explode("keys").alias("key")).withColumn("root", F.col("doc"))
-    got = [tuple(r) for r in order_minhash._all_pairs(dealt, table, 0.8, block=4).collect()]
-    want = {(a, b) for b in range(30) for a in range(b) if (keys[a] == keys[b]).sum() >= order_minhash.AGREE}
-    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_duplicates_in_a_large_bucket(spark, block):
+    """Edited copies of one text, of which some are near to many, to few or to none, in blocks of one bucket."""
+    rng, base = random.Random(12), prose(random.Random(3), 150).split()
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 9)):
+            own[at] = f"v{k}x{at}"
+        texts.append(" ".join(own))
+    seq = [order_minhash._sequence(t) for t in texts]
+    edges = [(a, b) for b in range(60) for a in range(b) if order_minhash.aligned(seq[a], seq[b]) >= 0.8]
+    roots = dict(components.forest(edges))
+    want = {k: roots.get(k, k) for k in range(60)}
+    assert 5 < len(set(want.values())) < 50
+    sequences = spark.createDataFrame([(k, (s >> np.uint64(32)).astype(np.uint32).tobytes()) for k, s in enumerate(seq)], "vid long, seq binary")
+    known = [(7, k, len(s), 0 if want[k] == 0 and k % 2 else k) for k, s in enumerate(seq)]
+    rows = spark.createDataFrame(known, "key long, vid long, n int, root long")
+    found = [tuple(r) for r in order_minhash._all_links(rows, sequences, 0.8, block=block).collect()]
+    assert set(found) <= set(edges) and len(found) < 60 * (1 if block == 512 else 15)
+    joined = dict(components.forest([*found, *[(r, k) for _, k, _, r in known if r != k]]))
+    assert {k: joined.get(k, k) for k in range(60)} == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(docs).collect()} == want
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    base = prose(random.Random(5), 60)
+    rows = [(1, base), (1, "other words of a text that is not near to any"), (3, base + " end"), (1, base), (None, base), (4, None), (4, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS tid", "2 AS _doc", "3 AS keep")
+    got = sorted(((r.doc_id or 0, r.class_id) for r in order_minhash.near_duplicate_classes(docs).collect()), key=str)
+    assert got == [(0, None), (1, 1), (1, 1), (1, 1), (3, 1), (4, 4), (4, 4), (5, 5)]
+    kept = sorted(((r.doc_id or 0, (r.text or "")[:5]) for r in order_minhash.drop_near_duplicates(docs).collect()))
+    assert kept == [(0, base[:5]), (1, base[:5]), (1, "other"), (4, ""), (5, "")]
 
 
 def test_near_duplicates_of_short_texts(spark):
@@ -296,13 +339,36 @@ def test_decontamination_of_documents_shorter_than_an_item(spark):
     assert {r.doc_id for r in decontamination.drop_leaking(docs, bench).collect()} == {r[0] for r in rows} - {d for d, _ in want}
 
 
+def test_decontamination_of_short_items(spark):
+    items = [(1, "alpha beta gamma delta"), (2, "omega"), (3, "one two three four five")]
+    rows = [(1, "x alpha beta gamma delta y"), (2, "alpha beta gamma"), (3, "so Omega it is"), (4, "one two three four five"), (5, "one two three four")]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.first_word) for r in decontamination.find_leaks(docs, bench).collect()} == {(1, 1, 1), (3, 2, 1), (4, 3, 0)}
+
+
 def test_multi_index_finds_all_within_radius():
-    rng = random.Random(6)
-    bench = decontamination.Benchmark([(k, prose(rng, 20)) for k in range(50)], radius=20)
-    size = bench.sizes[20]
-    prints = np.array([int(p) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 20))) for p in size["prints"].tolist()], dtype=np.uint64)
-    found = set(zip(*(x.tolist() for x in bench._candidates(prints, size))))
-    assert {(k, k) for k in range(50)} <= found
+    rng, many = random.Random(6), np.random.default_rng(1).integers(0, 1 << 16, (3000, 8)).astype(np.uint16)
+    index = decontamination.MultiIndex(many[:200])
+    flip = lambda p: p ^ np.packbits(np.isin(np.arange(128), rng.sample(range(128), rng.randint(0, decontamination.RADIUS)))).view(np.uint16)
+    near = np.array([flip(p) for p in many[:200]])
+    assert {(k, k) for k in range(200)} <= set(zip(*(x.tolist() for x in index.within(near, decontamination.RADIUS))))
+    assert len(index.probed(many[200:])[0]) / (2800 * 200) < 0.1
+
+
+def test_similar_windows_are_within_the_radius():
+    """Recall of the radius on windows of 14 to 60 words whose weighted similarity is 0.8 or a little more."""
+    rng, far, n = random.Random(9), 0, 0
+    from collections import Counter
+
+    for k in range(1500):
+        a = np.array([rng.getrandbits(64) for _ in range(10 + k % 47)], dtype=np.uint64)
+        b = a.copy()
+        lost = int(len(a) * 0.2 / 1.8)
+        b[rng.sample(range(len(a)), lost)] = np.array([rng.getrandbits(64) for _ in range(lost)], dtype=np.uint64)
+        assert decontamination.weighted_similarity(Counter(a.tolist()), Counter(b.tolist())) >= 0.8
+        far += int(decontamination.distances(decontamination.simhash(a), decontamination.simhash(b))[0]) > decontamination.RADIUS
+        n += 1
+    assert far / n < 0.005
 
 
 @pytest.mark.parametrize("length", [20, 100])
