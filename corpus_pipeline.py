@@ -6,7 +6,6 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontamination, line_dedup, order_minhash, packing, quality_classifier
-from lodestar.llm.common import held_out, table
+from lodestar.llm.common import held_out, shared_folder, table
 
 #: The quality classifier can't be put in SQL, and all later stages rest on it.
 ORACLE_SQL = None
@@ -58,7 +57,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each but the last keeps is written under spark.checkpoint.dir."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='corpus-')}/corpus-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
