@@ -8,10 +8,11 @@ such a string at all:
    minimizer). Equal windows have equal anchors. Consecutive windows with one anchor are a context.
 2. Equal contexts are told by their hashes: all but the first go as a whole. This happens in every
    batch before the shuffle, so a group of very many copies leaves one row for each batch and context.
-3. Different contexts of one anchor that agree for 34 bytes on one side may share windows. Only these
-   contexts' texts are gathered, by anchor, and their suffixes sorted: suffixes smaller than their
-   successors directly, the others induced by a scan over buckets. Where neighbours have a common
-   prefix of ``length`` bytes, all but the first start go.
+3. Different contexts of one anchor that agree for 34 bytes on one side may share windows, and a shared
+   window has as many on one side at least. Only these contexts' texts are gathered, by anchor, side
+   and a hash of those bytes, and their suffixes sorted: suffixes smaller than their successors
+   directly, the others induced by a scan over buckets. Where neighbours have a common prefix of
+   ``length`` bytes, all but the first start go.
 
 Spans come back by document and are cut out of the text.
 """
@@ -23,17 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mapped
 from .shingles import mix
 
 ANCHOR = 32
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _POSITION = 20
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
-_ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("a", "<i4"), ("n", "<i2"), ("left", "<u2"), ("right", "<u2")])
+_ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("a", "<i4"), ("n", "<i2"), ("left", "u1"), ("right", "u1")])
+#: Bytes of text whose contexts are packed together, bytes of text for each bucket of contexts, and rows of repeated ids that are broadcast.
+_TOGETHER, _BUCKET_BYTES, _FEW = 8 << 20, 16 << 20, 100_000
 
 
 def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -87,9 +90,9 @@ def anchored(texts: list[bytes], ids: list[int], length: int) -> np.ndarray:
         out["a"] = start - (ends - sizes)[doc]
         out["n"] = counts
         left, right = p - side >= start, p + ANCHOR + side <= stop
-        out["left"][left] = (mix((sums[p[left]] - sums[p[left] - side]) * down[p[left] - side]) >> np.uint64(49)) + np.uint64(1)
+        out["left"][left] = mix((sums[p[left]] - sums[p[left] - side]) * down[p[left] - side]) % np.uint64(255) + np.uint64(1)
         q = p[right] + ANCHOR
-        out["right"][right] = (mix((sums[q + side] - sums[q]) * down[q]) >> np.uint64(49)) + np.uint64(1)
+        out["right"][right] = mix((sums[q + side] - sums[q]) * down[q]) % np.uint64(255) + np.uint64(1)
     return out
 
 
@@ -122,32 +125,38 @@ def _pieces(text: bytes, length: int, most: int) -> list[tuple[int, bytes]]:
     return [(a, text[a : a + most]) for a in range(0, len(text) - length + 1, step)]
 
 
-def _scan(length: int, buckets: int, most: int = 1_000_000):
+def _scan(length: int, buckets: int, most: int = 1 << 18):
+    def packed(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows, later = _by_context(np.concatenate(found))
+        for chosen, sign in ((rows[~later], 1), (rows[later], -1)):
+            bucket = (chosen["h"] >> np.uint64(20)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            chosen, bucket = chosen[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            blobs = [_packed(x) for x in np.split(chosen, cuts)] if len(chosen) else []
+            keys = bucket[np.concatenate([[0], cuts])].tolist() if len(chosen) else []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sign > 0] * len(keys), pa.bool_()), pa.array(blobs, pa.binary())], names=["bucket", "first", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
             parts: list[tuple[int, int, bytes]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, base, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 raw = (text or "").encode("utf-8", "replace")
                 if doc is not None and len(raw) >= length:
-                    parts += [(doc, a, x) for a, x in _pieces(raw, length, most)]
-            found = []
+                    parts += [(doc, base + a, x) for a, x in _pieces(raw, length, most)]
             for i, j in _blocks([len(x) for _, _, x in parts], most):
                 own = anchored([x for _, _, x in parts[i:j]], list(range(i, j)), length)
                 place = own["doc"]
                 own["a"] += np.array([a for _, a, _ in parts], dtype=np.int64)[place].astype(np.int32)
                 own["doc"] = np.array([d for d, _, _ in parts], dtype=np.int64)[place]
                 found.append(own)
-            if not found:
-                continue
-            rows, later = _by_context(np.concatenate(found))
-            for chosen, sign in ((rows[~later], 1), (rows[later], -1)):
-                bucket = (chosen["h"] >> np.uint64(20)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                chosen, bucket = chosen[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                blobs = [_packed(x) for x in np.split(chosen, cuts)] if len(chosen) else []
-                keys = bucket[np.concatenate([[0], cuts])].tolist() if len(chosen) else []
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sign > 0] * len(keys), pa.bool_()), pa.array(blobs, pa.binary())], names=["bucket", "first", "rows"])
+                held += sum(len(x) for _, _, x in parts[i:j])
+                if held >= _TOGETHER:
+                    yield from packed(found)
+                    found, held = [], 0
+        if found:
+            yield from packed(found)
 
     return run
 
@@ -179,12 +188,16 @@ def _decide(length: int):
         fresh = [_unpacked(b) for first, b in blobs if first]
         rows, later = _by_context(np.concatenate(fresh)) if fresh else (np.zeros(0, _ROW), np.zeros(0, bool))
         alone = rows[~later]
-        with np.errstate(over="ignore"):
-            sides = [_shared(mix(alone["h"] + alone[s] * np.uint64(0x9E3779B97F4A7C15)), alone[s] > 0) for s in ("left", "right")]
-        need = alone[sides[0] | sides[1]]
         gone = np.concatenate([rows[later], *known])
-        doc, a, n = (np.concatenate([gone[c], need[c]]) for c in ("doc", "a", "n"))
-        h = np.concatenate([np.zeros(len(gone), np.uint64), need["h"] | np.uint64(1)])
+        taken, groups = [gone], [np.zeros(len(gone), np.uint64)]
+        for k, side in enumerate(("left", "right"), 1):
+            with np.errstate(over="ignore"):
+                group = mix(mix(alone["h"] + np.uint64(k)) + alone[side].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+            need = _shared(group, alone[side] > 0)
+            taken.append(alone[need])
+            groups.append(group[need])
+        doc, a, n = (np.concatenate([x[c] for x in taken]) for c in ("doc", "a", "n"))
+        h = np.concatenate(groups)
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a.astype(np.int64)), pa.array(n.astype(np.int32) + np.int32(length - 1)), pa.array(h.view(np.int64))], names=["doc", "a", "n", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +219,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts that must be compared."""
     for batch in batches:
         out: list[tuple] = []
-        for doc, text, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for doc, base, text, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
             raw = (text or "").encode("utf-8", "replace")
             for x in own:
-                out.append((x["h"], doc, x["a"], raw[x["a"] : x["a"] + x["n"]]))
+                at = x["a"] - base
+                if 0 <= at < len(raw):
+                    out.append((x["h"], doc, x["a"], raw[at : at + x["n"]]))
             if len(out) > 4000:
                 yield _batch(out)
                 out = []
@@ -350,7 +365,7 @@ def _compare(length: int, most: int = 1 << 20):
         new = np.ones(len(doc), dtype=bool)
         new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
         at = np.flatnonzero(new)
-        end = np.append(at[1:], len(doc)) - 1
+        end = np.append(at[1:], len(doc))[: len(at)] - 1
         return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(start[at]), pa.array((start[end] - start[at] + length).astype(np.int64))], names=["doc", "a", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,16 +388,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their spans: how much went, and the digest of what stays."""
     for batch in batches:
         rows = []
-        for doc, text, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for doc, base, text, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
             raw = (text or "").encode("utf-8", "replace")
             kept, at, runs, stop = [], 0, 0, -1
-            for x in sorted((x["a"], min(x["a"] + x["n"], len(raw))) for x in own or ()):
-                if x[0] >= x[1]:
+            for begin, end in sorted((x["a"] - base, min(x["a"] - base + x["n"], len(raw))) for x in own or ()):
+                if begin < 0 or begin >= end:
                     continue
-                if x[0] > stop:
+                if begin > stop:
                     runs += 1
-                    kept.append(raw[at : x[0]])
-                stop = at = max(stop, x[1])
+                    kept.append(raw[at:begin])
+                stop = at = max(stop, end)
             kept.append(raw[at:])
             rest = b"".join(kept)
             rows.append((doc, len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest))
@@ -390,28 +405,49 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_contexts(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc, a, n, h): with h = 0 a byte span that goes, otherwise a context to compare with those of equal h."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc, base and text of each row, and how many characters the texts have.
+
+    Texts of one id are one document: each other text starts at a ``base`` behind those of lesser hash,
+    and equal ones share theirs. Ids with several texts are looked for first; mostly there is none.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(_scan(length, 2 * parts), "bucket long, first boolean, rows binary")
-    decided = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(length), "doc long, a long, n int, h long")
-    return decided
+    hashed = texts.select("doc", F.xxhash64("text").alias("t"), F.length("text").cast("long").alias("n"))
+    ids = hashed.where("doc is not null").groupBy("doc").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.sum("n").alias("n"))
+    several, chars = ids.agg(F.count_if(F.col("low") != F.col("high")), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not several:
+        return texts.select("doc", F.lit(0).alias("base"), "text"), chars
+    each = texts.join(ids.where("low <> high").select("doc"), "doc", "left_semi").select("doc", F.xxhash64("text").alias("t"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).distinct()
+    before = F.sum("n").over(Window.partitionBy("doc").orderBy("t")) - F.col("n")
+    bases = cut(each.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), before.cast("int").alias("_base")))
+    bases = F.broadcast(bases) if bases.count() <= _FEW else bases.hint("merge")
+    joined = texts.join(bases, (F.col("doc") == F.col("_doc")) & (F.xxhash64("text") == F.col("_t")), "left")
+    return joined.select("doc", F.coalesce("_base", F.lit(0)).alias("base"), "text"), chars
+
+
+def repeated_contexts(texts: DataFrame, chars: int, length: int = 100) -> DataFrame:
+    """(doc, a, n, h): with h = 0 a byte span that goes, otherwise a context to compare with those of equal h."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2 * parts, -(-chars // _BUCKET_BYTES))
+    rows = mapped(texts.select("doc", "base", "text"), _scan(length, buckets), "bucket long, first boolean, rows binary")
+    dealt = rows.repartition(-(-buckets // 2), "bucket").sortWithinPartitions("bucket")
+    return mapped(dealt, _decide(length), "doc long, a long, n int, h long")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each document.
 
-    A null text is empty. Documents of fewer than ``length`` bytes lose nothing. Rows that repeat an id
-    count as one document and each lose its spans; rows without an id lose nothing.
+    A null text is empty. Documents of fewer than ``length`` bytes lose nothing, nor do rows without an
+    id. Rows that repeat an id and a text each lose the same spans; several texts of an id count as parts
+    of one document, in the order of a hash, and no match crosses from one into another.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    decided = cut(repeated_contexts(docs, length))
-    asked = texts.join(decided.where("h <> 0").groupBy("doc").agg(F.collect_list(F.struct("a", "n", "h")).alias("own")), "doc").select("doc", "text", "own")
-    contexts = asked.mapInArrow(_contexts, "h long, doc long, a long, ctx binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compared = contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_compare(length), "doc long, a long, n long")
+    texts, chars = _placed(docs)
+    decided = cut(repeated_contexts(texts, chars, length))
+    asked = texts.join(decided.where("h <> 0").groupBy("doc").agg(F.collect_list(F.struct("a", "n", "h")).alias("own")), "doc").select("doc", "base", "text", "own")
+    contexts = mapped(asked, _contexts, "h long, doc long, a long, ctx binary")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (2 * _BUCKET_BYTES)))
+    compared = mapped(contexts.repartition(parts, "h").sortWithinPartitions("h"), _compare(length), "doc long, a long, n long")
     sure = decided.where("h = 0").select("doc", "a", F.col("n").cast("long").alias("n"))
     spans = sure.unionByName(compared).groupBy("doc").agg(F.collect_list(F.struct("a", "n")).alias("own"))
-    return texts.join(spans, "doc", "left").select("doc", "text", "own").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cuts = texts.join(spans, "doc", "left").select("doc", "base", "text", "own")
+    return mapped(cuts, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
