@@ -1,18 +1,23 @@
 """Toxicity by the nearest labelled examples in TF-IDF space.
 
-Terms are words and word beginnings whose use differs clearly between the two labels; one background
-term stands for the rest of a text. Labelled examples are kept in an inverted index whose postings come
-in blocks with their greatest weights. A query adds up the blocks' bounds, visits blocks from the most
-promising on and stops where no bound can beat its k-th best cosine, so its neighbours are exact. The
-neighbours vote with weights that grow with similarity, and the votes are calibrated on the examples
-themselves, each scored without itself.
-
-The examples are a bounded sample of ``most`` labelled documents, of up to ``most_terms`` terms.
+Terms are a text's words and the beginnings of its words; every term that two labelled examples share
+counts. A term weighs (1 + log of its count) times its inverse frequency among all documents, and terms
+that lean to label 1 weigh up to three times as much as others. Labelled examples are kept in an inverted
+index: rare terms as lists of examples, frequent ones as blocks of 64 examples with the blocks' greatest
+weights. A query adds up its rare terms first; with the greatest weights of the others that bounds each
+block's cosines, blocks are visited from the most promising on, and the search ends where no bound can
+beat the k-th best cosine, so neighbours are exact (cosines in single precision). The neighbours vote
+with weights that grow with similarity, and the votes are calibrated on the examples themselves, each
+scored without itself.
+
+The examples are a bounded sample of about ``most`` labelled documents; term frequencies are counted in
+all documents.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share
+from .common import cut, hash_share, mapped
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
 BLOCK = 64
+#: Share of the examples from which on a term is frequent, and the weight of terms that lean to no label.
+_FREQUENT, _PLAIN = 0.02, 0.3
 
 
 def word_terms(word: str) -> list[str]:
@@ -40,51 +47,66 @@ def text_terms(text: str | None) -> set[str]:
     return {t for w in set((text or "").lower().split()) for t in word_terms(w)}
 
 
+Vector = tuple[np.ndarray, np.ndarray]
+
+
 class Index:
-    """Unit vectors of examples by term, in blocks, with the greatest weight of each term in each block."""
-
-    def __init__(self, rows: list[dict[int, float]], labels: np.ndarray, n_terms: int):
-        dominant = [max(r, key=r.get) if r else n_terms for r in rows]
-        self.order = np.lexsort((labels, np.array(dominant)))
-        self.labels, self.n_terms = labels[self.order].astype(float), n_terms
-        blocks = -(-max(1, len(rows)) // BLOCK)
-        self.bounds = np.zeros((n_terms, blocks), dtype=np.float32)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for at, k in enumerate(self.order.tolist()):
-            for t, w in rows[k].items():
-                postings.setdefault(t, []).append((at, w))
-        self.ids, self.weights, self.starts = [np.zeros(0, np.int64)] * n_terms, [np.zeros(0)] * n_terms, [np.zeros(blocks + 1, np.int64)] * n_terms
-        for t, own in postings.items():
-            ids, weights = np.array([a for a, _ in own]), np.array([w for _, w in own])
-            self.ids[t], self.weights[t] = ids, weights
-            self.starts[t] = np.searchsorted(ids, np.arange(blocks + 1) * BLOCK)
-            np.maximum.at(self.bounds[t], ids // BLOCK, np.nextafter(weights.astype(np.float32), np.float32(2)))
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the ``k`` nearest examples but ``skip``; ties by position."""
-        terms = np.fromiter(query, dtype=np.int64, count=len(query))
-        weights = np.fromiter(query.values(), dtype=np.float64, count=len(query))
-        bounds = weights @ self.bounds[terms] * (1 + 1e-6) + 1e-9
-        turn = np.argsort(-bounds, kind="stable")
-        at, cosine = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for a in range(0, len(turn), 8):
+    """Unit vectors (terms, weights) of examples by term; ``order`` lists them as they are numbered here.
+
+    Examples with the same heaviest term stand together, and apart from that in the order of ``rows``.
+    """
+
+    def __init__(self, rows: list[Vector], labels: np.ndarray, n_terms: int):
+        heaviest = np.array([int(t[np.argmax(w)]) if len(t) else n_terms for t, w in rows])
+        self.order = np.argsort(heaviest, kind="stable")
+        self.labels, self.n = labels[self.order].astype(float), len(rows)
+        self.blocks = -(-max(1, self.n) // BLOCK)
+        sizes = [len(rows[k][0]) for k in self.order]
+        term = np.concatenate([rows[k][0] for k in self.order]).astype(np.int64)
+        weight = np.concatenate([rows[k][1] for k in self.order]).astype(np.float32)
+        place = np.repeat(np.arange(self.n), sizes)
+        many = np.bincount(term, minlength=n_terms) > max(BLOCK / 8, _FREQUENT * self.n)
+        self.number = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
+        dense = many[term]
+        self.dense = np.zeros((self.blocks, int(many.sum()), BLOCK), dtype=np.float32)
+        self.dense[place[dense] // BLOCK, self.number[term[dense]], place[dense] % BLOCK] = weight[dense]
+        self.greatest = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
+        order = np.argsort(term[~dense], kind="stable")
+        self.places, self.weights = place[~dense][order].astype(np.int32), weight[~dense][order]
+        self.starts = np.searchsorted(term[~dense][order], np.arange(n_terms + 1))
+
+    def nearest(self, query: Vector, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the ``k`` nearest examples but ``skip``; equal cosines in order of position."""
+        terms, weights = query[0], query[1].astype(np.float32)
+        number = self.number[terms]
+        rare, frequent = number < 0, number[number >= 0]
+        first = self.starts[terms[rare]]
+        counts = self.starts[terms[rare] + 1] - first
+        at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        sums = np.bincount(self.places[at], np.repeat(weights[rare], counts) * self.weights[at], minlength=self.blocks * BLOCK).astype(np.float32)
+        sums[self.n :] = -np.inf
+        if skip >= 0:
+            sums[skip] = -np.inf
+        known = np.partition(sums, -k)[-k] if k < len(sums) else -np.inf  # the k-th best cosine is no less
+        grid, own = sums.reshape(self.blocks, BLOCK), weights[~rare]
+        reach = grid.max(axis=1) + own @ self.greatest[frequent] * np.float32(1 + 1e-5) + np.float32(1e-6)
+        turn = np.argsort(-reach, kind="stable")
+        place, cosine = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
+        for a in range(0, self.blocks, 8):
             some = turn[a : a + 8]
-            if len(cosine) >= k and cosine[-1] > bounds[some[0]]:
+            if reach[some[0]] < known:
                 break
-            scores = np.zeros((len(some), BLOCK))
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                starts = self.starts[t]
-                for j, b in enumerate(some.tolist()):
-                    lo, hi = starts[b], starts[b + 1]
-                    if lo < hi:
-                        scores[j, self.ids[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            place = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            flat = scores.ravel()
-            good = (place < len(self.labels)) & (place != skip)
-            at, cosine = np.concatenate([at, place[good]]), np.concatenate([cosine, flat[good]])
-            best = np.lexsort((at, -cosine))[:k]
-            at, cosine = at[best], cosine[best]
-        return at, cosine
+            exact = grid[some] + np.tensordot(own, self.dense[np.ix_(some, frequent)], axes=([0], [1]))
+            place = np.concatenate([place, (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()])
+            cosine = np.concatenate([cosine, exact.ravel()])
+            if len(cosine) > k:
+                least = np.partition(cosine, -k)[-k]
+                good = cosine >= least
+                place, cosine, known = place[good], cosine[good], max(known, least)
+        good = np.isfinite(cosine)
+        place, cosine = place[good], cosine[good]
+        best = np.lexsort((place, -cosine))[:k]
+        return place[best], cosine[best].astype(float)
 
 
 def vote(labels: np.ndarray, cosine: np.ndarray) -> float:
@@ -108,60 +130,55 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([(p[2] + p[3]) / 2 for p in pools]), np.array([(p[0] + 0.5 * rate) / (p[1] + 0.5) for p in pools])
 
 
-class Scorer:
-    def __init__(self, fitted: dict, cache: int = 600_000):
-        self.__dict__.update(fitted)
-        self.number = {t: k for k, t in enumerate(self.terms)}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.cache, self.memo = cache, {}
+class Counter:
+    """Terms of texts by number, with those of up to ``cache`` words kept in memory."""
+
+    def __init__(self, terms: list[str], cache: int = 200_000):
+        self.number = {t: k for k, t in enumerate(terms)}
+        self.words: dict[str, list[int]] = {}
+        self.cache = cache
 
-    def counts(self, text: str | None) -> tuple[dict[int, int], int]:
-        """How often each term occurs in a whole text, and its number of words."""
-        words, known, out = (text or "").lower().split(), self.words, {}
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a whole text, in order, and how often each occurs."""
+        known, out = self.words, []
         if len(known) > self.cache:
             known.clear()
-        for w in words:
+        for w in (text or "").lower().split():
             ids = known.get(w)
             if ids is None:
-                ids = known[w] = tuple({self.number[t] for t in word_terms(w) if t in self.number})
-            for t in ids:
-                out[t] = out.get(t, 0) + 1
-        return out, len(words)
-
-    def vector(self, counts: dict[int, int], n: int) -> dict[int, float]:
-        own = {t: (1 + np.log(c)) * self.idf[t] for t, c in counts.items()}
-        own[len(self.terms)] = self.background * np.log1p(n)
-        size = np.sqrt(sum(w * w for w in own.values())) or 1.0
-        return {t: float(w / size) for t, w in own.items()}
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        if self.index is None:
-            return 0.0, [], []
-        counts, n = self.counts(text)
-        key = (n if n < 8 else int(32 * np.log(n)), *sorted(counts.items()))
-        if key not in self.memo:
-            if len(self.memo) > 20_000:
-                self.memo.clear()
-            n = n if n < 8 else np.exp(int(32 * np.log(n)) / 32)
-            at, cosine = self.index.nearest(self.vector(counts, n), self.k)
-            raw = vote(self.index.labels[at], cosine)
-            self.memo[key] = (float(np.interp(raw, self.cal_x, self.cal_y)), at[:3].tolist(), cosine[:3].tolist())
-        return self.memo[key]
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 12_000, most_terms: int = 2_000, k: int = 15) -> dict:
-    """Learn from ``labels`` (doc_id, toxic) where ``learn`` holds; only texts of ``docs`` are read.
+                ids = known[w] = list({self.number[t] for t in word_terms(w) if t in self.number})
+            out += ids
+        return np.unique(np.array(out, dtype=np.int64), return_counts=True)
+
+
+def _unit(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> Vector:
+    own = (1 + np.log(counts)) * weights[terms]
+    return terms, own / (np.linalg.norm(own) or 1.0)
+
+
+def _lean(a: np.ndarray, b: np.ndarray, good: int, bad: int) -> np.ndarray:
+    """From 0 to 1, how surely and how strongly terms lean to label 1; a, b: examples of either label that hold them."""
+    pa_, pb, pooled = a / good, b / bad, (a + b) / (good + bad)
+    z = (pb - pa_) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / good + 1 / bad))
+    ratio = (b + 0.5) / bad / ((a + 0.5) / good)
+    return np.clip((z - 2) / 6, 0, 1) * np.clip(np.log(ratio) / np.log(8), 0, 1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 3_000, k: int = 15) -> dict:
+    """Learn from ``labels`` (doc_id, toxic) where ``learn`` holds; of ``docs`` only texts are read.
 
     Of an id with several labels the greatest counts; null ids, labels and texts are left out. The
     sample of about ``most`` labels is drawn by a hash of the id; its ids alone are broadcast. Without
     an example every score is 0.
     """
-    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y"))
-    n = known.count()
-    sample = known.where(hash_share(F.col("doc_id"), most / max(1, n), "toxic")).withColumnRenamed("doc_id", "_known")
-    joined = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), F.col("doc_id") == F.col("_known")).select("doc_id", "text", "_y")
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_known")).agg(F.max("toxic").cast("int").alias("_y"))
+    sample = known.where(hash_share(F.col("_known"), most / max(1, known.count()), "toxic"))
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    joined = cut(texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_known")).select("doc_id", "text", "_y"))
+    sizes = {r["_y"]: r["n"] for r in joined.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    good, bad = max(1, sizes.get(0, 0)), max(1, sum(n for y, n in sizes.items() if y > 0))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -169,35 +186,47 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 12_000, m
                     seen.setdefault(t, [0, 0])[y > 0] += 1
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["t", "a", "b"])
 
-    sizes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    good, bad = max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))
-    seen = joined.mapInArrow(differ, "t string, a long, b long").groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 3")
-    pa_, pb = F.col("a") / good, F.col("b") / bad
-    pooled = (F.col("a") + F.col("b")) / (good + bad)
-    z = (pb - pa_) / F.sqrt(pooled * (1 - F.least(pooled, F.lit(1 - 1e-9))) * (1 / good + 1 / bad))
-    ratio = (F.col("b") + 0.5) / bad / ((F.col("a") + 0.5) / good)
-    picked = seen.withColumn("z", z).where((F.col("z") > 4) & (ratio > 4)).orderBy(F.desc("z"), "t").limit(most_terms).collect()
-    terms = [r["t"] for r in picked]
-    fitted = {"terms": terms, "idf": np.array([np.log((good + bad + 1) / (r["a"] + r["b"] + 1)) + 1 for r in picked]), "background": 0.6, "k": k, "index": None, "cal_x": np.array([0.0]), "cal_y": np.array([0.0]), "examples": []}
+    seen = mapped(joined, held, "t string, a long, b long").groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 2").toPandas().sort_values("t")
+    terms = seen.t.tolist()
+    fitted = {"terms": terms, "weights": np.zeros(len(terms)), "k": k, "index": None, "cal_x": np.array([0.0]), "cal_y": np.array([0.0]), "examples": []}
+    if not terms:
+        return fitted
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(fitted)
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, total = Counter(terms), np.zeros(len(terms), dtype=np.int64)
         for batch in batches:
-            rows = [scorer.counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c, _ in rows], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in rows], pa.list_(pa.int32())), pa.array([n for _, n in rows], pa.int32())], names=["doc_id", "y", "t", "c", "n"])
+            for text in batch.column(0).to_pylist():
+                total[counter.counts(text)[0]] += 1
+        at = np.flatnonzero(total)
+        for a in range(0, len(at), 10_000):
+            some = at[a : a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["t", "n"])
 
-    rows = joined.mapInArrow(counted, "doc_id long, y int, t array<int>, c array<int>, n int").toPandas().sort_values("doc_id")
-    if not len(rows):
-        return fitted
-    scorer = Scorer(fitted)
-    vectors = [scorer.vector(dict(zip(map(int, t), map(int, c))), n) for t, c, n in zip(rows.t, rows.c, rows.n)]
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(terms)
+        for batch in batches:
+            rows = [counter.counts(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t for t, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.list_(pa.int32()))], names=["doc_id", "y", "t", "c"])
+
+    in_all = mapped(texts.select("text"), frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(len(terms))
+    frequency[in_all.t.to_numpy()] = in_all.n.to_numpy()
+    idf = np.log((texts.count() + 1) / (frequency + 1)) + 1
+    fitted["weights"] = weights = idf * (_PLAIN + (1 - _PLAIN) * _lean(seen.a.to_numpy(float), seen.b.to_numpy(float), good, bad))
+    rows = mapped(joined, counted, "doc_id long, y int, t array<int>, c array<int>").toPandas()
+    rows = rows.iloc[np.argsort([zlib.crc32(b"%d" % d) for d in rows.doc_id.tolist()], kind="stable")]
+    vectors = [_unit(np.asarray(t, dtype=np.int64), np.asarray(c, dtype=np.float64), weights) for t, c in zip(rows.t, rows.c)]
     y = (rows.y.to_numpy() > 0).astype(float)
-    index = Index(vectors, y, len(terms) + 1)
-    votes = np.zeros(len(y))
-    for at, k_ in enumerate(index.order.tolist()):
-        near, cosine = index.nearest(vectors[k_], k, skip=at)
-        votes[k_] = vote(index.labels[near], cosine)
-    fitted["cal_x"], fitted["cal_y"] = _isotonic(votes, y)
+    index = Index(vectors, y, len(terms))
+
+    def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_pylist()
+            near = [index.nearest(vectors[index.order[a]], k, skip=a) for a in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([vote(index.labels[p], c) for p, c in near], pa.float64())], names=["id", "vote"])
+
+    votes = mapped(docs.sparkSession.range(len(y)), without_itself, "id long, vote double").toPandas().sort_values("id").vote.to_numpy()
+    fitted["cal_x"], fitted["cal_y"] = _isotonic(votes, index.labels)
     fitted["index"], fitted["examples"] = index, rows.doc_id.to_numpy()[index.order].tolist()
     return fitted
 
@@ -205,15 +234,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 12_000, m
 def score(docs: DataFrame, fitted: dict) -> DataFrame:
     """doc_id, score, and the three nearest examples (evidence: example id and cosine) of each whole text.
 
-    A null text is scored as an empty one, by the background term alone.
+    A text without a known term, as a null one, has no neighbour and the score of a vote of 0. Of equally
+    near examples those of lower position count, which follows their heaviest term and a hash of their
+    id. A null id stays null; repeated rows are scored each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(fitted)
+        counter, index = Counter(fitted["terms"]), fitted["index"]
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
         for batch in batches:
-            rows = [scorer.score(t) for t in batch.column(1).to_pylist()]
-            shown = [[{"doc_id": scorer.examples[a], "cosine": c} for a, c in zip(at, cosine)] for _, at, cosine in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array(shown, evidence)], names=["doc_id", "score", "evidence"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")
+            scores, shown = [], []
+            for text in batch.column(1).to_pylist():
+                terms, counts = counter.counts(text)
+                near, cosine = index.nearest(_unit(terms, counts, fitted["weights"]), fitted["k"]) if index is not None and len(terms) else ([], [])
+                scores.append(float(np.interp(vote(index.labels[near], cosine) if len(near) else 0.0, fitted["cal_x"], fitted["cal_y"])))
+                shown.append([{"doc_id": fitted["examples"][a], "cosine": c} for a, c in zip(near[:3], cosine[:3])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(shown, evidence)], names=["doc_id", "score", "evidence"])
+
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")
