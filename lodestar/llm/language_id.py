@@ -3,32 +3,40 @@
 A language gives each piece of a fixed public vocabulary a probability. A word's likelihood is the sum
 over all its segmentations into pieces, by a forward pass over the word; a text's is the product over
 its words. The probabilities are learned by expectation maximisation on word counts of a bounded sample
-of labelled documents: ``most_docs`` documents and ``most_words`` distinct words of each language.
+of labelled documents: about ``most_docs`` documents and ``most_words`` distinct words of each language,
+of up to ``LONGEST`` letters. Words to be scored may be of any length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share
+from .common import SAMPLE_BUCKETS, cut, mapped
 
-#: Longer words are cut into parts of so many characters, each with a beginning of its own.
-LONGEST = 24
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of the longest words that are learned from.
+LONGEST = 64
+_WORDS = re.compile(r"[^\W\d_]+")
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BITS = 18
 START = "▁"
+#: What a running likelihood is lifted by when it gets small.
+_TINY, _LIFT = 1e-100, 1e100
 
 
 def word_parts(word: str) -> list[str]:
-    """Letter runs of a word in lower case, in parts of at most ``LONGEST`` characters."""
-    return [run[k : k + LONGEST] for run in _LETTERS.findall(word.lower()) for k in range(0, len(run), LONGEST)]
+    """Letter runs of a word in lower case; numbers written by other signs than digits are no letters."""
+    out = []
+    for run in _WORDS.findall(word.lower()):
+        out += [run] if run.isalpha() else ["".join(x) for letters, x in groupby(run, str.isalpha) if letters]
+    return out
 
 
 class PieceModel:
@@ -62,18 +70,17 @@ class PieceModel:
             h = (h ^ (h >> np.uint64(32))) * _SPREAD
             return h ^ (h >> np.uint64(29))
 
-    def arcs(self, codes: np.ndarray, lengths: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    def arcs(self, codes: np.ndarray, lengths: np.ndarray) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each end position, (piece length, rows, piece numbers) of the pieces that end there."""
         n, width = codes.shape
-        raw = [np.zeros(n, dtype=np.uint64)]
-        out: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
-        rolling: dict[int, np.ndarray] = {}
-        with np.errstate(over="ignore"):
-            for end in range(1, width + 1):
-                alive = end <= lengths
-                fresh, found, power = {}, [], np.uint64(1)
+        nothing, rolling = np.zeros(n, dtype=np.uint64), {}
+        for end in range(1, width + 1):
+            alive = end <= lengths
+            fresh: dict[int, np.ndarray] = {}
+            found = []
+            with np.errstate(over="ignore"):
                 for m in range(1, min(end, self.longest) + 1):
-                    h = (rolling[m - 1] if m > 1 else raw[0]) * _STEP + codes[:, end - 1] + np.uint64(1)
+                    h = (rolling[m - 1] if m > 1 else nothing) * _STEP + codes[:, end - 1] + np.uint64(1)
                     fresh[m] = h
                     g = (h ^ (h >> np.uint64(32))) * _SPREAD
                     g ^= g >> np.uint64(29)
@@ -83,31 +90,44 @@ class PieceModel:
                         hit = self.sorted[at] == g[rows]
                         if hit.any():
                             found.append((m, rows[hit], self.number[at[hit]]))
-                out.append(found)
-                rolling = fresh
-        return out
+            rolling = fresh
+            yield found
 
     def log_likelihoods(self, words: list[str]) -> np.ndarray:
-        """Of each word (with its start mark), for each language. A character outside all pieces costs ``unknown``."""
+        """Of each word (with its start mark), for each language. A character outside all pieces costs ``unknown``.
+
+        Words of like lengths are worked out together, of any length.
+        """
         out = np.zeros((len(words), self.probabilities.shape[1]))
-        lengths = np.array([len(w) for w in words])
-        for low, high in ((1, 6), (7, 10), (11, 15), (16, LONGEST + 1)):
-            chosen = np.flatnonzero((lengths >= low) & (lengths <= high))
-            for a in range(0, len(chosen), 20_000):
-                rows = chosen[a : a + 20_000]
-                out[rows] = self._forward([words[k] for k in rows.tolist()])
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        steps = np.array([6, 10, 15, 25, *(32 * 2**k for k in range(1, 40))])
+        kind = np.searchsorted(steps, lengths)
+        for k in np.unique(kind).tolist():
+            chosen = np.flatnonzero(kind == k)
+            some = max(1, 300_000 // int(lengths[chosen].max()))
+            for a in range(0, len(chosen), some):
+                rows = chosen[a : a + some]
+                out[rows] = self._forward([words[r] for r in rows.tolist()])
         return out
 
     def _forward(self, words: list[str]) -> np.ndarray:
         codes, lengths = self._codes(words)
-        alpha = [np.ones((len(words), self.probabilities.shape[1]))]
+        alpha = [np.ones((len(words), self.probabilities.shape[1]))]  # of the last positions, as many as a piece is long
+        lifted, out = np.zeros_like(alpha[0]), np.zeros_like(alpha[0])
         for end, found in enumerate(self.arcs(codes, lengths), 1):
-            here = alpha[end - 1] * self.unknown
+            here = alpha[-1] * self.unknown
             for m, rows, piece in found:
-                here[rows] += alpha[end - m][rows] * self.probabilities[piece]
-            alpha.append(here)
-        final = np.stack(alpha)[lengths, np.arange(len(words))]
-        return np.log(np.maximum(final, 1e-300))
+                here[rows] += alpha[-m][rows] * self.probabilities[piece]
+            alpha = [*alpha[1 - self.longest :], here] if self.longest > 1 else [here]
+            done = lengths == end
+            if done.any():
+                out[done] = np.log(np.maximum(here[done], 1e-300)) - lifted[done] * np.log(_LIFT)
+            small = here < _TINY
+            if small.any():
+                factor = np.where(small, _LIFT, 1.0)
+                alpha = [x * factor for x in alpha]
+                lifted += small
+        return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected uses of each piece and of unknown characters; ``counts``: words by languages."""
@@ -115,7 +135,7 @@ class PieceModel:
         for a in range(0, len(words), 20_000):
             part, c = words[a : a + 20_000], counts[a : a + 20_000]
             codes, lengths = self._codes(part)
-            arcs = self.arcs(codes, lengths)
+            arcs = list(self.arcs(codes, lengths))
             alpha = [np.ones((len(part), c.shape[1]))]
             for end, found in enumerate(arcs, 1):
                 here = alpha[end - 1] * self.unknown
@@ -146,25 +166,57 @@ def load_pieces(vocabulary: str) -> list[str]:
     return sorted({t for t in texts if t.removeprefix(START).isalpha() or t == START})
 
 
-def fit(docs: DataFrame, learn: Column, vocabulary: str, most_docs: int = 6_000, most_words: int = 60_000, rounds: int = 4) -> dict:
+def _most_common(words: DataFrame, most: int) -> DataFrame:
+    """Of each language the words with the greatest counts, ``most`` at most: all from some count on.
+
+    The count from which on words are taken follows from how many words there are of each count; only
+    these numbers come to the driver.
+    """
+    least: dict[str, int] = {}
+    held: dict[str, list[tuple[int, int]]] = {}
+    for r in words.groupBy("lang", "n").agg(F.count("*").alias("words")).collect():
+        held.setdefault(r["lang"], []).append((r["n"], r["words"]))
+    for lang, own in held.items():
+        total = 0
+        for n, k in sorted(own, reverse=True):
+            total += k
+            if total > most and lang in least:
+                break
+            least[lang] = n
+    if not least:
+        return words
+    return words.where(F.col("n") >= F.create_map(*[F.lit(x) for item in least.items() for x in item])[F.col("lang")])
+
+
+def fit(docs: DataFrame, learn: Column, vocabulary: str, most_docs: int = 1_500, most_words: int = 60_000, rounds: int = 4) -> dict:
     """Learn from text and lang of the documents for which ``learn`` holds; other columns aren't read.
 
-    Null texts and languages are left out. The sample is drawn by a hash of the id. Without any usable
-    document the model has no language and every text is ``und``.
+    Null texts, languages and ids are left out. Of each language a sample of about ``most_docs`` is drawn
+    by a hash of the id, so rare languages are learned as well; rows that repeat an id are drawn
+    together. Without any usable document the model has no language and every text is ``und``.
     """
-    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.count()
-    sample = usable.where(hash_share(F.col("doc_id"), most_docs / max(1, n), "lang")).select(F.col("lang").cast("string").alias("lang"), F.lower("text").alias("t"))
-    shares = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    words = sample.select("lang", F.explode(F.split("t", r"\s+")).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    top = words.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= most_words)
+    usable = docs.where(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    shares = {r["lang"]: r["n"] for r in usable.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    if not shares:
+        return {"langs": [], "pieces": [], "probabilities": None, "unknown": None, "prior": None}
+    bound = F.create_map(*[F.lit(x) for lang, n in shares.items() for x in (lang, int(min(1.0, most_docs / n) * SAMPLE_BUCKETS))])
+    drawn = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(SAMPLE_BUCKETS)) < bound[F.col("lang").cast("string")]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for word, n in Counter(text.lower().split()).items():
+                    for part in word_parts(word):
+                        if len(part) <= LONGEST:
+                            seen[lang, part] += n
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "w", "n"])
+
+    sample = usable.where(drawn).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    words = cut(mapped(sample, counted, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")))
     counts: dict[str, dict[str, int]] = {}
-    for r in top.select("lang", "w", "n").toPandas().itertuples(index=False):
-        for part in word_parts(r.w):
-            own = counts.setdefault(START + part, {})
-            own[r.lang] = own.get(r.lang, 0) + int(r.n)
+    for r in _most_common(words, most_words).toPandas().itertuples(index=False):
+        counts.setdefault(START + r.w, {})[r.lang] = int(r.n)
     langs = sorted({x for own in counts.values() for x in own})
     if not langs:
         return {"langs": [], "pieces": [], "probabilities": None, "unknown": None, "prior": None}
@@ -187,7 +239,7 @@ def fit(docs: DataFrame, learn: Column, vocabulary: str, most_docs: int = 6_000,
 class _Scorer:
     """Sums of word log likelihoods, with those of up to ``cache`` words kept in memory."""
 
-    def __init__(self, fitted: dict, cache: int = 400_000):
+    def __init__(self, fitted: dict, cache: int = 200_000):
         self.model = PieceModel(fitted["pieces"], fitted["probabilities"], fitted["unknown"])
         self.prior, self.cache = fitted["prior"], cache
         self.known: dict[str, int] = {}
@@ -241,7 +293,7 @@ def predict(docs: DataFrame, fitted: dict) -> DataFrame:
     """doc_id, lang_pred and score of each whole text.
 
     A null text, one without a letter, or any text under a model without languages is ``und`` with
-    score 0. Equal likelihoods go to the first language in order. The score is the share of the best
+    score 0; a null id stays null and repeated rows are scored each. Equal likelihoods go to the first language in order. The score is the share of the best
     language's likelihood, tempered by the root of the number of words.
     """
     langs = fitted["langs"]
@@ -259,4 +311,4 @@ def predict(docs: DataFrame, fitted: dict) -> DataFrame:
                     scores = np.where(letters, posterior.max(axis=1), 0.0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 256], pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, lang_pred string, score double")
