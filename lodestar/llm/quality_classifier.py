@@ -1,9 +1,10 @@
 """Document quality by positive-unlabelled learning.
 
 Trusted positives and unlabelled web text are described by measures of their form; a linear model
-minimises the non-negative unbiased risk of the logistic loss under an estimated class prior. The
-prior is the share of positives among the labels that may be learned from. Negative labels serve for
-that share alone. The training sample is bounded by ``most_labelled`` and ``most_unlabelled``.
+minimises the non-negative unbiased risk of the logistic loss under an estimated class prior. The prior
+is estimated from the same two samples: where positives are densest, their share of the unlabelled texts
+bounds it. Negative labels aren't used at all. The samples are bounded by ``most_labelled`` and
+``most_unlabelled``.
 """
 
 from __future__ import annotations
@@ -66,27 +67,69 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights (last: intercept) on features standardised by the returned rows: weights, means, scales."""
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    with_one = lambda x: np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
-    p, u = with_one(positive), with_one(unlabelled)
-    w = np.zeros(p.shape[1])
-    w[-1] = np.log(prior / (1 - prior))
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _adam(w: np.ndarray, gradient, steps: int, rate: float) -> np.ndarray:
     first, second = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, steps + 1):
-        up, uu = p @ w, u @ w
-        negative = np.logaddexp(0, uu).mean() - prior * np.logaddexp(0, up).mean()
-        pull = u.T @ sigmoid(uu) / len(u) - prior * (p.T @ sigmoid(up)) / len(p)
-        grad = -prior * (p.T @ sigmoid(-up)) / len(p) + pull if negative >= 0 else -pull
-        grad = grad + decay * np.append(w[:-1], 0)
+        grad = gradient(w)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def nnpu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """Non-negative risk of the logistic loss, and the gradient that is followed.
+
+    Where the estimated risk of negatives falls below 0 it counts as 0, and the step goes the other way.
+    """
+    up, uu = p @ w, u @ w
+    negative = np.logaddexp(0, uu).mean() - prior * np.logaddexp(0, up).mean()
+    pull = u.T @ _sigmoid(uu) / len(u) - prior * (p.T @ _sigmoid(up)) / len(p)
+    push = -prior * (p.T @ _sigmoid(-up)) / len(p)
+    return prior * np.logaddexp(0, -up).mean() + max(0.0, negative), push + pull if negative >= 0 else -pull
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights (last: intercept) on features standardised by the returned rows: weights, means, scales."""
+    both = np.vstack([positive, unlabelled])
+    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    p, u = _standard(positive, mean, scale), _standard(unlabelled, mean, scale)
+    start = np.zeros(p.shape[1])
+    start[-1] = np.log(prior / (1 - prior))
+    w = _adam(start, lambda w: nnpu_risk(w, p, u, prior)[1] + decay * np.append(w[:-1], 0), steps, rate)
     return np.vstack([w, np.append(mean, 0), np.append(scale, 1)])
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300) -> float:
+    """Share of positives among the unlabelled, from above: the least ratio of the two tails of a score.
+
+    The score tells the samples apart and is fitted on every other row; the ratio is taken on the rest, at
+    the threshold where it is least with allowance for the tails' sampling error.
+    """
+    both = np.vstack([positive, unlabelled])
+    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    p, u = _standard(positive, mean, scale), _standard(unlabelled, mean, scale)
+    fit_p, fit_u, p, u = p[::2], u[::2], p[1::2], u[1::2]
+    if min(len(fit_p), len(p), len(fit_u), len(u)) < 20:
+        return 0.5
+    gradient = lambda w: (fit_u.T @ _sigmoid(fit_u @ w)) / len(fit_u) - (fit_p.T @ _sigmoid(-(fit_p @ w))) / len(fit_p) + 1e-3 * w
+    w = _adam(np.zeros(p.shape[1]), gradient, steps, 0.05)
+    of_p, of_u = np.sort(p @ w), np.sort(u @ w)
+    cuts = np.unique(np.concatenate([of_p, of_u]))
+    tail_p, tail_u = 1 - np.searchsorted(of_p, cuts) / len(p), 1 - np.searchsorted(of_u, cuts) / len(u)
+    cuts = tail_p > 0
+    slack = np.sqrt(np.log(40) / 2 / len(u)) + np.sqrt(np.log(40) / 2 / len(p))
+    best = np.argmin((tail_u[cuts] + 1.01 * slack) / tail_p[cuts])
+    return float(tail_u[cuts][best] / tail_p[cuts][best])
+
+
 def _featurised(docs: DataFrame, extra: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,32 +140,33 @@ def _featurised(docs: DataFrame, extra: Column) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_labelled: int = 20_000, most_unlabelled: int = 20_000) -> dict:
-    """Learn from ``labels`` (doc_id, quality) where ``learn`` holds, and from unlabelled documents.
+    """Learn from the positives of ``labels`` (doc_id, quality) where ``learn`` holds, and from unlabelled documents.
 
     Of an id with several labels the lowest counts; null ids and labels are left out. The samples are
     drawn by a hash of the id and hold about as many rows as the bounds say, at any input size. With
-    no positive at all, every text is scored with the prior.
+    no positive or no unlabelled document at all, every text is scored with a prior of one half.
     """
-    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
-    n, good = known.agg(F.count("*"), F.coalesce(F.sum((F.col("q") == 1).cast("int")), F.lit(0))).first()
-    total = docs.count()
-    prior = float(np.clip((good + 1) / (n + 2), 0.05, 0.98))
-    sample = known.where((F.col("q") == 1) & hash_share(F.col("doc_id"), most_labelled / max(1, good), "quality")).select(F.col("doc_id").alias("_known"))
+    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
+    good, total = known.count(), docs.count()
+    sample = known.where(hash_share(F.col("doc_id"), most_labelled / max(1, good), "quality")).select(F.col("doc_id").alias("_known"))
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_known"), "left")
-    chosen = joined.where(F.col("_known").isNotNull() | hash_share(F.col("doc_id"), most_unlabelled / max(1, total), "web"))
-    rows = _featurised(chosen, F.when(F.col("_known").isNotNull(), 1).otherwise(0) + F.when(hash_share(F.col("doc_id"), most_unlabelled / max(1, total), "web"), 2).otherwise(0)).toPandas()
+    web = hash_share(F.col("doc_id"), most_unlabelled / max(1, total), "web")
+    chosen = joined.where(F.col("_known").isNotNull() | web)
+    rows = _featurised(chosen, F.when(F.col("_known").isNotNull(), 1).otherwise(0) + F.when(web, 2).otherwise(0)).toPandas()
     if not len(rows) or not (rows.kind & 1).any() or not (rows.kind & 2).any():
-        return {"prior": prior, "model": None}
+        return {"prior": 0.5, "model": None}
     x = np.array(rows.x.tolist())
-    return {"prior": prior, "model": fit_nnpu(x[rows.kind & 1 == 1], x[rows.kind & 2 == 2], prior)}
+    positive, unlabelled = x[rows.kind & 1 == 1], x[rows.kind & 2 == 2]
+    prior = float(np.clip(estimate_prior(positive, unlabelled), 0.05, 0.98))
+    return {"prior": prior, "model": fit_nnpu(positive, unlabelled, prior)}
 
 
 def _scores(texts: list[str | None], model: dict) -> np.ndarray:
     x = np.array([features(t) for t in texts]).reshape(-1, N_FEATURES)
     if model["model"] is None:
         return np.full(len(x), model["prior"])
-    w, mean, scale = model["model"][0], model["model"][1, :-1], model["model"][2, :-1]
-    return 1 / (1 + np.exp(-np.clip(np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1], -40, 40)))
+    w, mean, scale = model["model"]
+    return _sigmoid(_standard(x, mean[:-1], scale[:-1]) @ w)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -64,6 +64,7 @@ def any_failed() -> Column:
 def host_verdicts(rows: DataFrame) -> DataFrame:
     """host, n, failures, and the rate shrunk by the beta prior; at least one pseudo-document each way.
 
+    Each host's rate counts alike in the prior, so many hosts of one document each pull it towards theirs.
     The prior's strength is ``m (1 - m) / v - 1`` for mean m and variance v of the hosts' rates,
     between 2 and 10,000 (a variance of zero: 10,000). These two numbers alone come to the driver.
     """
@@ -79,7 +80,8 @@ def apply_rules(docs: DataFrame, host: str = "source", worst: float = 0.5, width
 
     ``kept`` is false if a base rule fails or the host's shrunk rate exceeds ``worst``. Empty and null
     texts have no words and fail. Repeated rows count as often as they occur. Verdicts are joined back
-    by host and one of ``salts`` numbers, so a host with very many documents meets many tasks.
+    by host and one of ``salts`` numbers, so a host with very many documents meets many tasks; every host
+    has that many rows on the other side, which is a small table. A null doc_id stays null.
     """
     rows = cut(measures(docs, host, width))
     verdicts = host_verdicts(rows).select("host", "host_rate", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))

@@ -46,7 +46,8 @@ def test_odd_inputs(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (6, 1, 0), (7, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "word word word word word word"), (2, None), (3, ""), (None, "x")], "item_id long, text string")
     everything = F.lit(True)
-    assert packing.pack_documents(odd, TOKENS).where("doc_id = 1").first().length == 1
+    packed = packing.pack_documents(odd, TOKENS).toPandas()
+    assert packed[packed.doc_id == 1].length.tolist() == [1] and packed.doc_id.isna().sum() == 1
     assert {r.lang_pred for r in language_id.predict(odd, language_id.fit(odd, everything, PIECES)).where("doc_id in (1, 2, 3)").collect()} == {"und"}
     assert line_dedup.dedup_lines(odd).count() == 10
     assert license_scan.scan(odd).count() == 0
@@ -57,8 +58,8 @@ def test_odd_inputs(spark, odd):
     assert decontamination.drop_leaking(odd, bench).count() == 9
     removed = {r.doc_id: r for r in suffix_dedup.remove_repeats(odd).collect()}
     assert removed[5].n_removed == 300_000 - 5 and removed[1].n_bytes == 0
-    classes = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(odd.where("doc_id is not null")).collect()}
-    assert classes[6] == classes[7] == 6 and classes[1] == 1 and classes[2] == 2
+    classes = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(odd).collect()}
+    assert classes[None] is None and classes[6] == classes[7] == 6 and classes[1] == 1 and classes[2] == 2
 
 
 def test_empty_tables(spark, docs, odd):
@@ -164,6 +165,85 @@ def test_language_forward_sums_all_segmentations():
     assert (uses[:, 0] @ np.array([1, 2, 1, 1, 2, 3])) == pytest.approx(3) and unknown[0] == 0
 
 
+def test_language_likelihoods_equal_plain_sums():
+    """Words of all lengths, long ones too, against a sum over segmentations in logarithms."""
+    rng = random.Random(17)
+    pieces = sorted({"▁", *(rng.choice(["", "▁"]) + "".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(60))})
+    model = language_id.PieceModel(pieces, np.random.default_rng(2).random((len(pieces), 3)) / 40, np.array([1e-6, 1e-5, 1e-7]))
+    words = ["▁" + "".join(rng.choice("abcd") for _ in range(n)) for n in (1, 2, 3, 5, 9, 14, 24, 25, 64, 65, 300, 2000)]
+    number = {x: k for k, x in enumerate(pieces)}
+    for word, row in zip(words, model.log_likelihoods(words)):
+        logs = [np.zeros(3)]
+        for end in range(1, len(word) + 1):
+            terms = [logs[-1] + np.log(model.unknown)]
+            terms += [logs[end - m] + np.log(model.probabilities[number[word[end - m : end]]]) for m in range(1, min(end, 5) + 1) if word[end - m : end] in number]
+            logs.append(np.logaddexp.reduce(terms))
+        assert np.allclose(row, logs[-1], rtol=1e-9), len(word)
+
+
+def test_language_query_equals_plain_scores(spark, docs):
+    """Predictions of the operator against likelihoods added up word by word."""
+    fitted = language_id.fit(docs, ~held_out(F.col("doc_id"), 4, 2), PIECES)
+    model = language_id.PieceModel(fitted["pieces"], fitted["probabilities"], fitted["unknown"])
+    got = {r.doc_id: r for r in language_id.predict(docs, fitted).collect()}
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        parts = [["▁" + x for x in language_id.word_parts(w)] for w in r.text.lower().split()]
+        n = sum(bool(x) for x in parts)
+        z = sum((model.log_likelihoods(x).sum(axis=0) for x in parts if x), np.zeros(len(fitted["langs"]))) / np.sqrt(max(1, n)) + fitted["prior"]
+        best = np.exp(z - z.max())
+        assert got[r.doc_id].lang_pred == (fitted["langs"][int(z.argmax())] if n else "und")
+        assert got[r.doc_id].score == pytest.approx(float((best / best.sum()).max()) if n else 0.0)
+
+
+def test_language_of_signs_and_rare_languages(spark):
+    rows = [(k, "the cat and the dog went to the house", "en") for k in range(3000)] + [(5000 + k, "der hund und die katze gehen ins haus", "de") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = language_id.fit(docs, F.lit(True), PIECES, most_docs=50)
+    asked = spark.createDataFrame([(1, "½ ² ① Ⅷ 42 _"), (2, "die katze und der hund"), (3, "x" * 5000), (None, "the dog")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(asked, fitted).collect()}
+    assert got[1] == "und" and got[2] == "de" and got[3] in ("de", "en") and got[None] == "en"
+
+
+def test_quality_risk_and_prior():
+    rng = np.random.default_rng(3)
+    p, u, w = rng.normal(size=(40, 4)), rng.normal(size=(90, 4)), rng.normal(size=4)
+    for prior in (0.2, 0.9):
+        risk, grad = quality_classifier.nnpu_risk(w, p, u, prior)
+        loss = lambda x, y: np.array([np.log1p(np.exp(-y * (r @ w))) for r in x]).mean()  # noqa: B023, E731
+        negative = loss(u, -1) - prior * loss(p, -1)
+        assert risk == pytest.approx(prior * loss(p, 1) + max(0, negative))
+        if negative > 0.01:
+            steps = [(quality_classifier.nnpu_risk(w + d, p, u, prior)[0] - quality_classifier.nnpu_risk(w - d, p, u, prior)[0]) / 2e-6 for d in np.eye(4) * 1e-6]
+            assert np.allclose(grad, steps, atol=1e-5)
+    for share in (0.3, 0.7):
+        positive = rng.normal(2, 1, (4000, 3))
+        mixed = np.where(rng.random((6000, 1)) < share, rng.normal(2, 1, (6000, 3)), rng.normal(-2, 1, (6000, 3)))
+        assert quality_classifier.estimate_prior(positive, mixed) == pytest.approx(share, abs=0.06)
+
+
+def test_quality_query_equals_plain_scores(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_classifier.fit(docs, labels, ~held_out(F.col("doc_id"), 3, 1))
+    w, mean, scale = model["model"]
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, model).collect()}
+    kept = {r.doc_id for r in quality_classifier.keep_quality(docs, model).collect()}
+    for r in docs.collect():
+        z = sum(a * min(8.0, max(-8.0, (x - m) / s)) for a, x, m, s in zip(w[:-1], quality_classifier.features(r.text), mean, scale)) + w[-1]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z))) and (r.doc_id in kept) == (got[r.doc_id] >= 0.5)
+
+
+def test_suffix_dedup_of_repeated_ids(spark):
+    """Texts of one id are parts of one document, in the order of a hash; nothing else is cut."""
+    rng = random.Random(8)
+    shared, tails = prose(rng, 40), [prose(rng, 30) for _ in range(4)]
+    rows = [(7, shared + tails[0]), (7, tails[1] + shared), (7, shared + tails[0]), (9, "new " + shared), (3, tails[2]), (None, shared)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = len(shared.encode())
+    seven = sorted(r.n_removed for r in out if r.doc_id == 7)
+    assert seven in ([0, 0, size], [0, size, size])
+    assert [r.n_removed for r in out if r.doc_id == 9] == [size] and [r.n_removed for r in out if r.doc_id in (3, None)] == [0, 0]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -175,14 +255,54 @@ def test_held_out_accuracy(spark):
 
 
 def test_block_max_neighbours_are_exact():
-    rng = random.Random(5)
-    unit = lambda r: {t: w / sum(x * x for x in r.values()) ** 0.5 for t, w in r.items()}
-    rows = [unit({rng.randrange(40): rng.random() + 0.1 for _ in range(rng.randint(1, 6))}) for _ in range(700)]
-    index = toxicity.Index(rows, np.array([rng.randint(0, 1) for _ in rows]), 40)
-    for _ in range(50):
-        q = unit({rng.randrange(40): rng.random() + 0.1 for _ in range(4)})
-        exact = sorted((sum(w * rows[k].get(t, 0) for t, w in q.items()) for k in index.order.tolist()), reverse=True)[:7]
-        assert np.allclose(index.nearest(q, 7)[1], exact)
+    rng = np.random.default_rng(5)
+
+    def vector(most):
+        terms = np.unique(rng.integers(0, 40 if rng.random() < 0.7 else 4000, rng.integers(1, most)))
+        weights = rng.random(len(terms)) + 0.1
+        return terms, weights / np.linalg.norm(weights)
+
+    rows = [vector(30) for _ in range(700)]
+    index, dense = toxicity.Index(rows, rng.integers(0, 2, 700), 4000), np.zeros((700, 4000))
+    for k, at in enumerate(index.order.tolist()):
+        dense[k, rows[at][0]] = rows[at][1]
+    for k in range(100):
+        terms, weights = vector(30)
+        exact = dense[:, terms] @ weights
+        skip = int(np.argmax(exact)) if k % 2 else -1
+        exact[skip : skip + 1] = -1 if skip >= 0 else exact[skip : skip + 1]
+        at, cosine = index.nearest((terms, weights), 7, skip)
+        assert np.allclose(cosine, np.sort(exact)[::-1][:7], atol=1e-5) and np.allclose(exact[at], cosine, atol=1e-5)
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Scores and evidence of the whole operator against plain cosines of all terms with all examples."""
+    rng, bad = random.Random(21), ["vile", "nasty", "horrid"]
+    texts = [" ".join([*prose(rng, rng.randint(5, 40)).split(), *(rng.sample(bad, 2) if k % 4 == 0 else [])]) for k in range(160)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(120)], "doc_id int, toxic int")
+    fitted = toxicity.fit(docs, labels, F.lit(True), most=100_000)
+    held = [toxicity.text_terms(t) for t in texts]
+    assert fitted["terms"] == sorted({t for t in set().union(*held[:120]) if sum(t in h for h in held[:120]) > 1})
+    from collections import Counter
+
+    idf = {t: np.log(161 / (sum(t in h for h in held) + 1)) + 1 for t in fitted["terms"]}
+    assert all(0.3 * idf[t] - 1e-9 <= w <= idf[t] + 1e-9 for t, w in zip(fitted["terms"], fitted["weights"]))
+    weights = dict(zip(fitted["terms"], fitted["weights"]))
+
+    def vector(text):
+        counts = Counter(t for w in text.lower().split() for t in set(toxicity.word_terms(w)) if t in weights)
+        own = {t: (1 + np.log(n)) * weights[t] for t, n in counts.items()}
+        size = np.sqrt(sum(w * w for w in own.values()))
+        return {t: w / size for t, w in own.items()}
+
+    vectors = [vector(t) for t in texts]
+    for r in toxicity.score(docs, fitted).collect():
+        cosines = sorted((sum(w * vectors[k].get(t, 0) for t, w in vectors[r.doc_id].items()) for k in range(120)), reverse=True)
+        assert np.allclose([e.cosine for e in r.evidence], cosines[:3], atol=1e-5)
+        near = sorted(range(120), key=lambda k: -sum(w * vectors[k].get(t, 0) for t, w in vectors[r.doc_id].items()))[:15]
+        raw = toxicity.vote(np.array([float(k % 4 == 0) for k in near]), np.array(cosines[:15]))
+        assert abs(cosines[14] - cosines[15]) < 1e-5 or r.score == pytest.approx(float(np.interp(raw, fitted["cal_x"], fitted["cal_y"])), abs=1e-3)
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -430,17 +550,24 @@ def test_line_templates_below_the_same_tokens(spark):
 
 def test_license_markers_cover_templates():
     """A window that reaches the containment holds a marker: too few shingles are without one."""
+    markers = set(license_scan.markers_of(license_scan.TEMPLATES))
     for name, text in license_scan.TEMPLATES.items():
-        words = text.split()
-        grams = [words[k : k + 5] for k in range(len(words) - 4)]
-        bare = sum(not any(w.startswith(license_scan.MARKERS) for w in g) for g in grams)
-        assert grams and bare / len(grams) < license_scan.CONTAINMENT, name
+        grams = license_scan.grams_of(text)
+        assert grams and sum(not markers.intersection(g) for g in grams) / len(grams) < license_scan.CONTAINMENT, name
 
 
 def test_license_scan_finds_notices(spark):
-    rows = [(1, "x y z. Released under the MIT License. more"), (2, "the license of nothing"), (3, "This work is licensed under the GNU General Public License, version 3.")]
+    header = license_scan.TEMPLATES["gpl-3.0-header"].replace("any later version", "some later version")
+    rows = [(1, "x y z. Released under the MIT License. more"), (2, "the license of nothing"), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Licensed under the MIT License"), (5, f"/* {header} */ int main")]
     found = {(r.doc_id, r.template) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert (1, "mit") in found and (3, "gpl-3.0") in found and not any(d == 2 for d, _ in found)
+    assert {(1, "mit"), (3, "gpl-3.0"), (4, "mit-licensed"), (5, "gpl-3.0-header")} <= found and not any(d == 2 for d, _ in found)
+
+
+def test_license_scan_of_other_templates(spark):
+    """Templates without any usual word of licences, and one too short to be found."""
+    rows = [(1, "well then the quick brown fox jumps over the lazy dog again"), (2, "nothing of it"), (None, "The quick brown fox jumps over the lazy dog")]
+    given = {"fox": "the quick brown fox jumps over the lazy dog", "short": "of it"}
+    assert sorted((r.doc_id or 0, r.template, r.containment) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), given).collect()) == [(0, "fox", 1.0), (1, "fox", 1.0)]
 
 
 def test_held_out_is_crc(spark):
