@@ -39,9 +39,16 @@ class MatchConfig:
         The table has one row for each of this class's few keys, however often it was updated.
         """
         known = [f.name for f in fields(cls)]
-        rows = latest_config(table).where(F.col("key").isin(known)).collect()
+        rows = latest_config(alive(table) if "expires_at" in table.columns else table).where(F.col("key").isin(known)).collect()
         return replace(defaults or cls(), **{r["key"]: json.loads(r["value"]) for r in rows if r["value"] is not None})
 
+    @classmethod
+    def from_sources(cls, table: DataFrame | None = None, settings: dict | None = None) -> MatchConfig:
+        """The table's value where it has one that hasn't expired, else that of ``settings``, else the default."""
+        known = {f.name for f in fields(cls)}
+        base = replace(cls(), **{k.lower(): v for k, v in (settings or {}).items() if k.lower() in known and v is not None})
+        return base if table is None else cls.from_df(table, base)
+
 
 def latest_config(table: DataFrame) -> DataFrame:
     """The newest row of each key."""

@@ -67,32 +67,42 @@ def split_skills(text: Column) -> Column:
     return F.filter(parts, lambda x: (F.length(x) > 1) & ~F.lower(x).isin(*GARBAGE_SKILLS))
 
 
-def term_pattern(term: Column) -> Column:
-    """Regex of a term with its boundaries.
+def term_key(term: Column) -> Column:
+    """What a term is looked up by: stripped, in lower case."""
+    return F.lower(strip(term))
+
+
+def _bounded(quoted: Column, before: str, after: str) -> Column:
+    """Regex of a literal between boundaries. The literal comes first, where a search for it is fastest."""
+    return F.concat(F.lit("(?U)"), quoted, F.lit(f"(?<={before}"), quoted, F.lit(f"){after}"))
+
+
+def _quoted(key: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(key, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def term_pattern(key: Column) -> Column:
+    """Regex of a term's key with its boundaries.
 
     Terms with one of + # . must be delimited by white space or , ; / ( ) - _ quotes or the text's ends;
     others by word boundaries or underscores.
     """
-    quoted = F.concat(F.lit(r"\Q"), F.replace(F.lower(strip(term)), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     edge = r"[\s,;/()\-_\"']"
-    symbol = F.concat(F.lit(f"(?U)(?:^|{edge})"), quoted, F.lit(f"(?:$|{edge})"))
-    plain = F.concat(F.lit(r"(?U)(?:\b|_)"), quoted, F.lit(r"(?:\b|_)"))
-    return F.when(term.rlike(r"[+#.]"), symbol).otherwise(plain)
+    return F.when(key.rlike(r"[+#.]"), _bounded(_quoted(key), f"(?:^|{edge})", f"(?:$|{edge})")).otherwise(_bounded(_quoted(key), r"(?:\b|_)", r"(?:\b|_)"))
 
 
-def has_term(lower_text: Column, term: Column) -> Column:
-    """Whether lower-case text holds a term between boundaries; the cheap containment test goes first."""
-    return F.contains(lower_text, F.lower(strip(term))) & F.rlike(lower_text, term_pattern(term))
+def has_key(lower_text: Column, key: Column) -> Column:
+    """Whether lower-case text holds a term's key between boundaries; the cheap containment test goes first."""
+    return F.contains(lower_text, key) & F.rlike(lower_text, term_pattern(key))
 
 
-def matched_terms(lower_text: Column, terms: Column) -> Column:
-    """The non-blank terms that the text holds, with repeats."""
-    return F.filter(terms, lambda t: (strip(t) != "") & has_term(lower_text, t))
+def has_term(lower_text: Column, term: Column) -> Column:
+    return has_key(lower_text, term_key(term))
 
 
-def missing_terms(lower_text: Column, terms: Column) -> Column:
-    """The non-blank terms that the text lacks, with repeats."""
-    return F.filter(terms, lambda t: (strip(t) != "") & ~has_term(lower_text, t))
+def has_word(lower_text: Column, word: Column) -> Column:
+    """Whether lower-case text holds a word between word boundaries."""
+    return F.contains(lower_text, word) & F.rlike(lower_text, _bounded(_quoted(word), r"\b", r"\b"))
 
 
 def skill_lines(text: Column) -> Column:
@@ -132,10 +142,10 @@ def role_headers(text: Column) -> Column:
 
 def current_role(text: Column) -> Column:
     """After the first ``current role:``, ``position:`` or ``title:``, else the first ``##`` heading; or null."""
-    label = strip(F.regexp_extract(text, r"(?iU)(?:current\s*role|position|title)\s*:\s*([^\n]+)", 1))
-    heading = strip(F.regexp_extract(text, r"(?U)##\s*([^\n]+)", 1))
-    found = text.rlike(r"(?iU)(?:current\s*role|position|title)\s*:\s*([^\n]+)")
-    return or_null(F.when(found, label).otherwise(heading))
+    pattern = r"(?iU)(?:current\s*role|position|title)\s*:\s*([^\n]+)"
+    label = F.when(F.contains(text, F.lit(":")) & text.rlike("(?i)role|position|title"), F.regexp_extract(text, pattern, 1)).otherwise("")
+    heading = F.when(F.contains(text, F.lit("##")), strip(F.regexp_extract(text, r"(?U)##\s*([^\n]+)", 1)))
+    return let(label, lambda x: or_null(F.when(x != "", strip(x)).otherwise(heading)))
 
 
 def domain_text(parts: Column) -> Column:

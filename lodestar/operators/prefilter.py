@@ -1,21 +1,26 @@
 """Candidate reduction: the K most promising vacancies of each CV, found without a shuffle.
 
 The catalogue is a dimension. It is packed into blocks of at most ``BLOCK`` vacancies, each block one
-row with an array, and the blocks are broadcast only below a checked size. A CV row scores a block's
-vacancies in place and keeps its K best, so its text is neither copied per vacancy nor moved; only
-where there are several blocks are the few survivors merged by CV.
+row with an array, and as many blocks as ``MOST_BYTES`` hold are broadcast at a time. A CV row meets a
+block by its number, scores its vacancies in place and keeps its K best; the texts stay behind, and what
+pairs need of them is looked up once per CV and block. Only where there are several blocks are the few
+survivors merged by CV.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import has_key, has_word
 from .catalog import prepared
+from .score import TEXTS
 
 BLOCK = 1024
-#: Rows of the catalogue up to which its blocks are broadcast.
-MOST_BROADCAST = 50_000
+#: Bytes of packed catalogue, as JSON, that are broadcast at a time.
+MOST_BYTES = 32 << 20
 
 
 def prefilter_score(lower_text: Column, experience: Column, v: Column) -> Column:
@@ -31,36 +36,78 @@ def prefilter_score(lower_text: Column, experience: Column, v: Column) -> Column
     )
 
 
-def catalogue_blocks(vacancies: DataFrame) -> tuple[DataFrame, int]:
-    """(block, vacs) rows of the prepared catalogue, and the number of vacancies."""
-    ready = prepared(vacancies)
-    n = vacancies.count()
-    packed = ready.groupBy((F.col("ordinal") / BLOCK).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("ordinal", *[c for c in ready.columns if c != "ordinal"]))).alias("vacs"))
-    return (F.broadcast(packed) if n <= MOST_BROADCAST else packed), n
+def catalogue_slices(vacancies: DataFrame) -> tuple[list[tuple[int, int, DataFrame]], int]:
+    """(first block, last block, (block, vacs) rows to broadcast) of the prepared catalogue, and its number of vacancies."""
+    ready = prepared(vacancies).withColumn("block", ((F.col("ordinal") - 1) / BLOCK).cast("int"))
+    one = F.struct("ordinal", *[c for c in ready.columns if c not in ("ordinal", "block")])
+    packed = ready.groupBy("block").agg(F.sort_array(F.collect_list(one)).alias("vacs"))
+    sizes = ready.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(one))).alias("bytes")).orderBy("block").collect()
+    cuts, held = [], 0
+    for r in sizes:
+        if not cuts or held + r["bytes"] > MOST_BYTES:
+            cuts.append([r["block"], r["block"]])
+            held = 0
+        cuts[-1][1] = r["block"]
+        held += r["bytes"]
+    return [(a, b, F.broadcast(packed.where(F.col("block").between(a, b)))) for a, b in cuts], sum(r["n"] for r in sizes)
+
+
+def _met(cvs: DataFrame, vacancies: DataFrame, top_k: int | None) -> tuple[DataFrame, int]:
+    """Each CV's vacancies of each block, the ``top_k`` best or all: what isn't text of the CV, with s, o and v."""
+    slices, n = catalogue_slices(vacancies)
+    looked_up = set(cvs.columns) >= {"cv_lower", "cv_domain"}
+    kept = [c for c in cvs.columns if c not in TEXTS] if looked_up else cvs.columns
+    whole = top_k is None or n <= top_k
+    lower = F.col("cv_lower") if "cv_lower" in cvs.columns else F.col("_lower")
+    parts = []
+    for first, last, blocks in slices:
+        rows = cvs if "cv_lower" in cvs.columns else cvs.select("*", F.lower("cv_text").alias("_lower"))
+        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(blocks, "block")
+        if whole:
+            chosen = F.transform("vacs", lambda v: F.struct(v["ordinal"].cast("double").alias("s"), v["ordinal"].alias("o"), v.alias("v")))
+        else:
+            scored = F.transform("vacs", lambda v, k: F.struct((-prefilter_score(lower, F.col("candidate_experience"), v)).alias("s"), v["ordinal"].alias("o"), k.alias("k")))
+            chosen = F.transform(F.slice(F.sort_array(scored), 1, top_k), lambda x: F.struct(x["s"], x["o"], F.get("vacs", x["k"]).alias("v")))
+        rows = rows.select(*cvs.columns, lower.alias("_low"), chosen.alias("_chosen"))
+        if looked_up:
+            every = lambda c: F.array_distinct(F.flatten(F.transform("_chosen", lambda x: x["v"][c])))
+            found = F.filter(every("terms"), lambda k: has_key(F.col("_low"), k))
+            domains = F.filter(every("dept_terms"), lambda t: has_word(F.col("cv_domain"), t))
+            rows = rows.select(*kept, found.alias("cv_found"), domains.alias("cv_domains"), "_chosen")
+            parts.append(rows.select(*kept, "cv_found", "cv_domains", F.posexplode("_chosen").alias("_at", "_x")))
+        else:
+            parts.append(rows.select(*kept, F.posexplode("_chosen").alias("_at", "_x")))
+    return (reduce(DataFrame.unionByName, parts) if parts else None), n
 
 
 def prefilter(cvs: DataFrame, vacancies: DataFrame, top_k: int = 5) -> DataFrame:
-    """Pairs of each CV with its ``top_k`` vacancies: the CV's columns, ``v``, prefilter_score, input_rank.
+    """Pairs of each CV with its ``top_k`` vacancies: ``v``, prefilter_score, input_rank and the CV's columns.
 
     Ties go by the catalogue's order. A catalogue of at most ``top_k`` vacancies is kept whole in its
-    order. cvs: cv_key, cv_text, candidate_experience and any others; an empty catalogue gives no pairs.
+    order. cvs: cv_key, cv_text, candidate_experience and any others; where they have the features of
+    ``with_features``, pairs carry what was found in place of the texts. An empty catalogue gives no pairs.
     """
-    blocks, n = catalogue_blocks(vacancies)
-    whole = n <= top_k
-    ready = cvs.select("*", F.lower("cv_text").alias("_lower")).join(blocks)
-    scored = F.transform("vacs", lambda v: F.struct((-prefilter_score(F.col("_lower"), F.col("candidate_experience"), v)).alias("s"), v["ordinal"].alias("o"), v.alias("v")))
-    if whole:
-        scored = F.transform("vacs", lambda v: F.struct(v["ordinal"].cast("double").alias("s"), v["ordinal"].alias("o"), v.alias("v")))
-    best = F.slice(F.array_sort(scored, lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)), 1, top_k)
-    pairs = ready.select(*cvs.columns, F.posexplode(best).alias("_at", "_x"))
+    pairs, n = _met(cvs, vacancies, top_k)
+    if pairs is None:
+        return _no_pairs(cvs, vacancies)
     if n > BLOCK:
-        w = Window.partitionBy("cv_key").orderBy("_x.s", "_x.o")
-        pairs = pairs.withColumn("_at", F.row_number().over(w) - 1).where(F.col("_at") < top_k)
-    score = F.lit(None).cast("double") if whole else -F.col("_x.s")
-    return pairs.select(*cvs.columns, F.col("_x.v").alias("v"), score.alias("prefilter_score"), (F.col("_at") + 1).alias("input_rank"))
+        best = F.row_number().over(Window.partitionBy("cv_key").orderBy("_x.s", "_x.o"))
+        pairs = pairs.withColumn("_at", best - 1).where(F.col("_at") < top_k)
+    score = F.lit(None).cast("double") if n <= top_k else -F.col("_x.s")
+    kept = [c for c in pairs.columns if c not in ("_x", "_at")]
+    return pairs.select(*kept, F.col("_x.v").alias("v"), score.alias("prefilter_score"), (F.col("_at") + 1).alias("input_rank"))
 
 
 def all_pairs(cvs: DataFrame, vacancies: DataFrame) -> DataFrame:
     """Every CV with every vacancy, in catalogue order: rules-only matching asks for all of them."""
-    blocks, _ = catalogue_blocks(vacancies)
-    return cvs.join(blocks).select(*cvs.columns, F.explode("vacs").alias("v")).select(*cvs.columns, "v", F.lit(None).cast("double").alias("prefilter_score"), F.col("v.ordinal").alias("input_rank"))
+    pairs, _ = _met(cvs, vacancies, None)
+    if pairs is None:
+        return _no_pairs(cvs, vacancies)
+    kept = [c for c in pairs.columns if c not in ("_x", "_at")]
+    return pairs.select(*kept, F.col("_x.v").alias("v"), F.lit(None).cast("double").alias("prefilter_score"), F.col("_x.o").alias("input_rank"))
+
+
+def _no_pairs(cvs: DataFrame, vacancies: DataFrame) -> DataFrame:
+    ready = prepared(vacancies)
+    kind = ready.select(F.struct("ordinal", *[c for c in ready.columns if c != "ordinal"]).alias("v")).schema["v"].dataType
+    return cvs.where("false").select(*cvs.columns, F.lit(None).cast(kind).alias("v"), F.lit(None).cast("double").alias("prefilter_score"), F.lit(0).alias("input_rank"))

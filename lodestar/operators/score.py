@@ -1,7 +1,8 @@
 """The pair scorer: components, coverage, penalties, evidence and classification as plain columns.
 
 Input rows hold cv_text, candidate_experience, candidate_ctc and the vacancy struct ``v``; optionally
-``profile`` and ``llm`` structs from an enrichment table. Everything is a row-local expression.
+``profile`` and ``llm`` structs from an enrichment table. Pairs of the pre-filter have looked up their
+terms already (cv_found, cv_domains, cv_role) and need no text. Everything is a row-local expression.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COMPONENTS, MatchConfig
-from ..functions.text import SENIORITY_WORDS, current_role, domain_text, matched_terms, missing_terms, or_null, role_headers, skill_lines, strings, strip, words_of
+from ..functions.text import SENIORITY_WORDS, current_role, domain_text, has_key, has_word, or_null, role_headers, skill_lines, strings, strip, term_key, words_of
 
 PROFILE = "struct<core_skills:array<string>,inferred_skills:array<string>,relevant_experience_years:double,education_domains:array<string>,certifications:array<string>,current_role:string,professional_domains:array<string>>"
 LLM = "struct<vacancy_id:string,semantic_reason:string,inferred_skills:array<string>,matched_skills:array<string>,semantic_fit_score:double,career_transition_note:string>"
@@ -59,6 +60,8 @@ def with_features(cvs: DataFrame) -> DataFrame:
 
 
 FEATURES = ("cv_lower", "cv_role", "cv_parts", "cv_domain")
+#: Columns that pairs do without once terms have been looked up.
+TEXTS = ("cv_text", "cv_lower", "cv_parts", "cv_domain")
 
 
 def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -74,30 +77,40 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
         if name not in have:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     p, m, v = F.col("profile"), F.col("llm"), F.col("v")
-    if not have.issuperset(FEATURES):
-        rows = with_features(rows)
+    prepared = set(rows.schema["v"].dataType.fieldNames()) >= {"terms", "skill_keys"}
+    keys_of = lambda terms, ready: v[ready] if prepared else F.transform(_or_none(v[terms]), term_key)
+    skill_keys, keyword_keys = keys_of("required_skills", "skill_keys"), keys_of("preferred_keywords", "keyword_keys")
+    technology_keys, responsibility_keys = keys_of("technologies", "technology_keys"), keys_of("responsibilities", "responsibility_keys")
+    education, certification = or_null(v["education_requirements"]), or_null(v["certifications"])
     enriched = bool({"profile", "llm"} & have)
-    lower, role, parts, domain = map(F.col, FEATURES)
-    if enriched:
-        role = F.coalesce(or_null(p["current_role"]), role)
-        added = F.concat(_or_none(p["core_skills"]), _or_none(p["inferred_skills"]), _or_none(p["professional_domains"]), F.array(p["current_role"]), _or_none(p["education_domains"]), _or_none(p["certifications"]))
-        lower = F.concat_ws(" ", lower, or_null(F.lower(F.array_join(F.filter(added, lambda x: x != ""), " "))))
-        known = F.concat(F.array(role, p["current_role"]), _or_none(p["core_skills"]), _or_none(p["inferred_skills"]), _or_none(p["professional_domains"]), _or_none(m["inferred_skills"]), _or_none(m["matched_skills"]))
-        domain = domain_text(F.concat(known, parts))
-    rows = rows.select(
-        *[c for c in rows.columns if c not in ("candidate_experience",)],
-        F.coalesce(F.col("candidate_experience").cast("double"), p["relevant_experience_years"]).alias("candidate_experience"),
-        role.alias("_current"),
-        lower.alias("_text"),
-        domain.alias("_domain_text"),
-    )
+    role = F.col("cv_role")
+    if enriched or "cv_found" not in have:  # otherwise terms have been looked up once per CV
+        if not have.issuperset(FEATURES):
+            rows = with_features(rows)
+        lower, domain = F.col("cv_lower"), F.col("cv_domain")
+        if enriched:
+            role = F.coalesce(or_null(p["current_role"]), role)
+            added = F.concat(_or_none(p["core_skills"]), _or_none(p["inferred_skills"]), _or_none(p["professional_domains"]), F.array(p["current_role"]), _or_none(p["education_domains"]), _or_none(p["certifications"]))
+            lower = F.concat_ws(" ", lower, or_null(F.lower(F.array_join(F.filter(added, lambda x: x != ""), " "))))
+            known = F.concat(F.array(role, p["current_role"]), _or_none(p["core_skills"]), _or_none(p["inferred_skills"]), _or_none(p["professional_domains"]), _or_none(m["inferred_skills"]), _or_none(m["matched_skills"]))
+            domain = domain_text(F.concat(known, F.col("cv_parts")))
+        rows = rows.select("*", lower.alias("_text"), domain.alias("_domain_text"))
+        stated = F.transform(F.filter(F.array(education, certification), lambda x: x.isNotNull()), term_key)
+        asked = F.array_distinct(F.concat(skill_keys, keyword_keys, technology_keys, responsibility_keys, stated))
+        found = F.filter(asked, lambda k: (k != "") & has_key(F.col("_text"), k))
+        domains = F.filter(v["dept_terms"], lambda t: has_word(F.col("_domain_text"), t))
+        rows = rows.select(*[c for c in rows.columns if c not in ("cv_found", "cv_domains", "_text", "_domain_text")], found.alias("cv_found"), domains.alias("cv_domains"))
+    rows = rows.select(*[c for c in rows.columns if c != "candidate_experience"], F.coalesce(F.col("candidate_experience").cast("double"), p["relevant_experience_years"]).alias("candidate_experience"), role.alias("_current"))
     required, preferred = _or_none(v["required_skills"]), _or_none(v["preferred_keywords"])
+    holds = lambda key: F.array_contains(F.col("cv_found"), key)
+    matched = lambda terms, keys: F.filter(terms, lambda t, k: holds(F.get(keys, k)))
+    missing = lambda terms, keys: F.filter(terms, lambda t, k: (F.get(keys, k) != "") & ~holds(F.get(keys, k)))
     rows = rows.select(
         "*",
-        matched_terms(F.col("_text"), required).alias("_matched"),
-        missing_terms(F.col("_text"), required).alias("_missing"),
-        matched_terms(F.col("_text"), preferred).alias("matched_keywords"),
-        missing_terms(F.col("_text"), preferred).alias("missing_keywords"),
+        matched(required, skill_keys).alias("_matched"),
+        missing(required, skill_keys).alias("_missing"),
+        matched(preferred, keyword_keys).alias("matched_keywords"),
+        missing(preferred, keyword_keys).alias("missing_keywords"),
     )
     extra = _or_none(m["matched_skills"])
     added = F.array_distinct(F.filter(extra, lambda x: ~F.array_contains(F.col("_matched"), x)))
@@ -105,11 +118,8 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
     rows = rows.select("*", F.concat("_matched", added).alias("matched_skills"), first_gone.alias("missing_skills"))
 
     exp, ctc, low, high, budget = F.col("candidate_experience"), F.col("candidate_ctc").cast("double"), v["min_experience_years"], v["max_experience_years"], v["max_ctc"]
-    education, certification = or_null(v["education_requirements"]), or_null(v["certifications"])
-    text = F.col("_text")
-    one_term = lambda t: F.size(matched_terms(text, F.array(t))) > 0
-    has_education = F.coalesce(one_term(education), F.lit(False)) | (F.size(_or_none(p["education_domains"])) > 0)
-    has_certification = F.coalesce(one_term(certification), F.lit(False)) | (F.size(_or_none(p["certifications"])) > 0)
+    has_education = F.coalesce(holds(term_key(education)), F.lit(False)) | (F.size(_or_none(p["education_domains"])) > 0)
+    has_certification = F.coalesce(holds(term_key(certification)), F.lit(False)) | (F.size(_or_none(p["certifications"])) > 0)
 
     def skill(s: Column) -> Column:
         ok = F.array_contains("matched_skills", s)
@@ -198,21 +208,21 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
     shared = F.array_except(F.array_intersect(words_of(now), words_of(then)), strings(SENIORITY_WORDS))
     transition = F.coalesce((F.size(shared) == 0) & (now != then), F.lit(False))
     note = _join("Dynamic career transition detected: Current role '", F.col("_current"), "' to Target role '", title, "'.", F.coalesce(_join(" LLM analysis: ", or_null(m["career_transition_note"])), F.lit("")))
-    ratio = lambda wanted: F.when(F.size(wanted) > 0, F.size(matched_terms(text, wanted)) / F.size(wanted) * 100.0)
+    ratio = lambda keys: F.when(F.size(keys) > 0, F.size(F.filter(keys, holds)) / F.size(keys) * 100.0)
     below = F.when((exp < low) & (low > 0), exp / low * 50.0).otherwise(100.0)
     experience = F.when(low.isNotNull() | high.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), below - F.when(exp > high, 20.0).otherwise(0.0))))
     total = F.size(required) + F.size(preferred)
     department = F.coalesce(or_null(v["department_name"]), or_null(v["department"]))
-    in_domain = F.exists(v["dept_terms"], lambda t: F.contains(F.col("_domain_text"), t) & F.rlike(F.col("_domain_text"), _join(r"(?U)\b\Q", F.replace(t, F.lit(r"\E"), F.lit("")), r"\E\b")))
+    in_domain = F.exists(v["dept_terms"], lambda t: F.array_contains(F.col("cv_domains"), t))
     components = {
         "role": F.when(transition, 50.0).otherwise(100.0),
         "skills": F.when(total > 0, (F.size("matched_skills") + F.size("matched_keywords")) / total * 100.0),
         "experience": experience,
         "education": F.when(education.isNotNull(), F.when(has_education, 100.0).otherwise(0.0)),
         "domain": F.when(department.isNotNull(), F.when(in_domain, 100.0).otherwise(50.0)),
-        "technology": ratio(_or_none(v["technologies"])),
+        "technology": ratio(technology_keys),
         "certification": F.when(certification.isNotNull(), F.when(has_certification, 100.0).otherwise(0.0)),
-        "responsibilities": ratio(_or_none(v["responsibilities"])),
+        "responsibilities": ratio(responsibility_keys),
     }
     rows = rows.select("*", transition.alias("career_transition_detected"), F.when(transition, note).alias("career_transition_note"), *[components[c].alias(f"_{c}") for c in COMPONENTS])
     weighted, active = F.lit(0.0), F.lit(0.0)
@@ -243,7 +253,7 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
         "potential": "Potential match — HR review recommended.",
         "weak": "Significant requirements missing — Manual HR review required (never auto-rejected).",
     }
-    internal = {"_current", "_text", "_matched", "_missing", "_domain_text", "_absent", "_ids", "_all", "_raw", "_coverage", "v", "cv_text", *FEATURES, "profile", "llm", "score", *(f"_{c}" for c in COMPONENTS)}
+    internal = {"_current", "cv_found", "cv_domains", "_matched", "_missing", "_absent", "_ids", "_all", "_raw", "_coverage", "v", "cv_role", *TEXTS, "profile", "llm", "score", *(f"_{c}" for c in COMPONENTS)}
     made = {"matched_skills", "missing_skills", "matched_keywords", "missing_keywords", "mandatory_requirements", "preferred_requirements", "matched_criteria", "mandatory_failures", "career_transition_detected", "career_transition_note"}
     carried = [c for c in rows.columns if c not in internal | made]
     return rows.select(

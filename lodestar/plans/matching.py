@@ -10,8 +10,9 @@ from ..functions.enrichment import Enricher, enrich, enrichment_rows
 from ..functions.text import or_null, strip
 from ..operators.catalog import conform
 from ..operators.prefilter import all_pairs, prefilter
-from ..operators.rank import analyses, gate, ranked
-from ..operators.score import score_pairs, with_features
+from ..operators.rank import analyses, ranked
+from ..operators.score import TEXTS, score_pairs, with_features
+from ..sources.store import reanalyzed
 
 
 def as_cvs(cvs: DataFrame) -> DataFrame:
@@ -41,29 +42,42 @@ def match_prefiltered(cvs: DataFrame, vacancies: DataFrame, config: MatchConfig
     return ranked(score_pairs(prefilter(with_features(as_cvs(cvs)), conform(vacancies), config.prefilter_k), config))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` worked out once: through ``spark.checkpoint.dir`` where the session has one, otherwise by caching."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
 def match_two_stage(cvs: DataFrame, vacancies: DataFrame, config: MatchConfig = MatchConfig(), answers: DataFrame | None = None, enricher: Enricher | None = None) -> DataFrame:
     """Pre-filter, rules, gate, and for the CVs that the gate lets through scoring with enrichment.
 
     ``answers`` (cv_key, response JSON) is an enrichment table; ``enricher`` answers prompts that it
-    lacks. Without either, rules decide alone. Pairs are scored by rules once; only those of CVs with
-    an answer are scored again.
+    lacks, once for each CV. Without either, rules decide alone, in one pass. With one, pairs are scored
+    by rules once and only those of CVs with an answer again.
     """
     valid = checked(as_cvs(cvs)).where("cv_error is null").drop("cv_error")
-    pairs = prefilter(with_features(valid), conform(vacancies), config.prefilter_k)
-    rules = ranked(score_pairs(pairs, config))
-    skipped = gate(rules, config)
+    featured = with_features(valid)
+    pairs = prefilter(featured, conform(vacancies), config.prefilter_k)
     if answers is None and enricher is None:
-        return rules.join(skipped, "cv_key")
-    open_cvs = skipped.where(~F.col("llm_skipped")).select("cv_key")
+        return ranked(score_pairs(pairs, config), config)
+    pairs = kept(pairs)
+    rules = kept(ranked(score_pairs(pairs, config), config))
+    open_cvs = rules.where("rank = 1 AND NOT llm_skipped").select("cv_key")
     if enricher is not None:
-        answers = enrich(pairs.join(open_cvs, "cv_key", "left_semi"), enricher, answers)
+        answers = kept(enrich(pairs.join(open_cvs, "cv_key", "left_semi"), enricher, answers, featured))
     profiles, matches = enrichment_rows(answers.join(open_cvs, "cv_key", "left_semi"))
-    again = pairs.join(profiles, "cv_key")
+    texts = featured.select("cv_key", *TEXTS)
+    again = pairs.drop("cv_found", "cv_domains").join(profiles, "cv_key").join(texts, "cv_key")
     again = again.withColumn("_vacancy", F.coalesce(F.col("v.vacancy_id").cast("string"), or_null(F.col("v.id"))))
     again = again.join(matches, ["cv_key", "_vacancy"], "left").drop("_vacancy")
-    rescored = ranked(score_pairs(again, config))
-    settled = rules.join(rescored.select("cv_key").distinct(), "cv_key", "left_anti")
-    return settled.unionByName(rescored).join(skipped, "cv_key")
+    rescored = ranked(score_pairs(again, config)).withColumn("llm_skipped", F.lit(False))
+    settled = rules.join(profiles.select("cv_key"), "cv_key", "left_anti")
+    return settled.unionByName(rescored)
 
 
 def match_candidates(candidates: DataFrame, texts: DataFrame, vacancies: DataFrame, limit: int, config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -87,3 +101,12 @@ def analyze(cvs: DataFrame, vacancies: DataFrame, config: MatchConfig = MatchCon
     """One nested analysis for each CV."""
     rows = match_two_stage(cvs, vacancies, config) if two_stage else match_rules(cvs, vacancies, config)
     return analyses(cvs, rows)
+
+
+def reanalyze(results: DataFrame, ids: DataFrame, vacancies: DataFrame, config: MatchConfig = MatchConfig(), answers: DataFrame | None = None, enricher: Enricher | None = None) -> DataFrame:
+    """Enriched copies of the chosen results (``ids``: cv_key), analysed anew from their texts; results that are such copies stay out."""
+    chosen = results.where(~F.coalesce("enriched", F.lit(False))).join(ids, "cv_key", "left_semi")
+    cvs = chosen.select("cv_key", F.col("markdown").alias("cv_text"))
+    nested = analyses(cvs, match_two_stage(cvs, vacancies, config, answers, enricher))
+    fresh = nested.select("cv_key", F.struct(*[c for c in nested.columns if c != "cv_key"]).alias("match_analysis"))
+    return reanalyzed(results, ids, fresh)

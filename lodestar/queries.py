@@ -88,10 +88,14 @@ def _found(column: str, terms, word: str = r"\p{L}\p{N}") -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {_has(column, k, word)} THEN '{k}' END" for k in terms) + "], lambda k: k IS NOT NULL)"
 
 
+def _sql_vacancies(vacancies) -> str:
+    return ", ".join(f"({k}, '{v[0]}', {'NULL' if v[1] is None else v[1]}, '{v[2]}', '{v[3]}', {_sql_list(v[4])}, {_sql_list(v[5])}, {_sql_null(v[6])}, {_sql_null(v[7])}, {_sql_null(v[8])})" for k, v in enumerate(vacancies, 1))
+
+
 _TERMS = sorted({k for v in VACANCIES for k in (*v[4], *v[5])})
 _DEPARTMENT_TERMS = ("engineering", "finance", "healthcare", "design", "product", "src5", "commerce")
 _CVS = r"""
-vac AS (SELECT * FROM (VALUES """ + ", ".join(f"({k}, '{v[0]}', {v[1]}, '{v[2]}', '{v[3]}', {_sql_list(v[4])}, {_sql_list(v[5])}, {_sql_null(v[6])}, {_sql_null(v[7])}, {_sql_null(v[8])})" for k, v in enumerate(VACANCIES, 1)) + r""") v(ordinal, id, vacancy_id, title, department, skills, keywords, lo, hi, budget)),
+vac AS (SELECT * FROM (VALUES """ + _sql_vacancies(VACANCIES) + r""") v(ordinal, id, vacancy_id, title, department, skills, keywords, lo, hi, budget)),
 cv AS (SELECT CAST(doc_id AS VARCHAR) AS cv_key, '## Senior ' || source || ' Developer' || chr(10) || 'Skills: ' || lang || ', c++, node.js' || chr(10) || text AS cv_text,
        CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 15)::DOUBLE END AS e, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 30)::DOUBLE END AS ctc, 'Senior ' || source || ' Developer' AS role FROM documents),
 low AS (SELECT *, lower(cv_text) AS t FROM cv),
@@ -176,13 +180,48 @@ def two_stage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cv_key", "job_id", F.col("rank").cast("int").alias("rank"), "score", "classification", "llm_skipped", "llm_reason", F.array_join("inferred_skills", ",").alias("inferred_skills"))
 
 
-@query()
+#: SQL of a row's failed requirements, as they are told.
+_FAILURES = """list_concat(list_transform(list_filter(skills, lambda k: NOT list_contains(ms, k)), lambda k: 'Skill: ' || k || ' (Mandatory skill ''' || k || ''' is not present in CV.)'),
+       CASE WHEN e < lo THEN ['Minimum Experience: ' || lo || ' years (Candidate experience (' || e || ' yrs) is below mandatory minimum (' || lo || ' yrs).)'] ELSE []::VARCHAR[] END,
+       CASE WHEN ctc > budget THEN ['Max CTC Budget: ' || budget || ' (Candidate CTC (' || ctc || ') exceeds vacancy maximum budget (' || budget || ').)'] ELSE []::VARCHAR[] END)"""
+
+
+@query(
+    _STAGED
+    + f""" SELECT cv_key, department AS primary_department, id AS job_id, n_openings::INT AS n_openings, CASE WHEN n_failures > 0 THEN 'Mandatory requirement failure(s): ' || array_to_string({_FAILURES}, '; ')
+       ELSE 'All mandatory requirements satisfied. Overall match score is ' || score::DOUBLE || '%.' END || CASE WHEN active < 0.5 THEN ' | Note: Low match coverage (' || CAST(floor(active * 100) AS INT) || '%).' ELSE '' END AS reason,
+       '{rank.POLICY_NOTE}' AS rejection_policy_note FROM (SELECT *, count(*) OVER (PARTITION BY cv_key) AS n_openings FROM ranked) WHERE rank = 1"""
+)
 def nested_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested row for each document, flattened to what can be compared."""
     rows = matching.analyze(_cvs(spark, sf_dir), _vacancies(spark))
     return rows.select("cv_key", "primary_department", F.col("best_match.job_id").alias("job_id"), F.size("suitable_openings").alias("n_openings"), F.col("best_match.reason").alias("reason"), "rejection_policy_note")
 
 
+@query(_STAGED + " SELECT cv_key, id AS job_id, rank::INT AS rank FROM ranked WHERE rank > 1")
+def other_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.other_openings(matching.match_prefiltered(_cvs(spark, sf_dir), _vacancies(spark))).select("cv_key", "job_id", F.col("rank").cast("int").alias("rank"))
+
+
+@query(
+    _STAGED
+    + """, req AS (SELECT cv_key, id, unnest(skills) AS k, 'MANDATORY' AS tier, ms AS held FROM scored UNION ALL SELECT cv_key, id, unnest(keywords), 'PREFERRED', mk FROM scored)
+SELECT cv_key, id AS job_id, CASE tier WHEN 'MANDATORY' THEN 'req_skill_' ELSE 'pref_keyword_' END || replace(lower(k), ' ', '_') AS requirement_id, CASE WHEN list_contains(held, k) THEN 'SATISFIED' ELSE 'FAILED' END AS status,
+       CASE tier WHEN 'MANDATORY' THEN CASE WHEN list_contains(held, k) THEN 'CV contains skill: ''' ELSE 'CV missing explicit mention of skill: ''' END ELSE CASE WHEN list_contains(held, k) THEN 'CV mentions preferred keyword: ''' ELSE 'CV missing preferred keyword: ''' END END || k || '''' AS cv_evidence FROM req"""
+)
+def requirement_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skill and keyword requirements of every pair, with what the CV shows for them."""
+    rows = matching.match_prefiltered(_cvs(spark, sf_dir), _vacancies(spark))
+    every = rows.select("cv_key", "job_id", "evidence", F.explode(F.concat("mandatory_requirements", "preferred_requirements")).alias("r"))
+    every = every.where(F.col("r.requirement_id").rlike("^(req_skill|pref_keyword)_"))
+    return every.select("cv_key", "job_id", F.col("r.requirement_id").alias("requirement_id"), F.col("r.status").alias("status"), F.element_at("evidence", F.col("r.requirement_id"))["cv_evidence"].alias("cv_evidence"))
+
+
+@query(_STAGED + " SELECT count(*)::BIGINT AS n, count_if(s)::BIGINT AS skipped, floor(100 * count_if(s) / count(*))::BIGINT AS percent FROM (SELECT round_even(active, 2) >= 0.5 AND margin >= 15.0 AS s FROM ranked WHERE rank = 1)")
+def llm_skip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.skip_report(rank.gate(matching.match_prefiltered(_cvs(spark, sf_dir), _vacancies(spark))))
+
+
 @query(
     """SELECT o_orderkey AS id, coalesce(nullif(c.c_name, ''), 'Vacancy #' || o_orderkey) AS title, CASE WHEN n.n_nationkey IS NULL THEN 'Unknown Department' ELSE n.n_name END AS department,
        CASE WHEN r.r_regionkey IS NULL THEN 'Unknown Location' ELSE r.r_name END AS location_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
@@ -233,7 +272,7 @@ live AS (SELECT * FROM req WHERE active AND NOT coalesce(deleted, false) AND NOT
 
 
 def _dimension(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame:
-    more = [F.col("n_regionkey").cast("long").alias("department_id"), F.lit("Ability to paint; knowledge of oils (e.g. linseed) and Glazing").alias("description")] if extra else []
+    more = [F.col("n_regionkey").cast("long").alias("department_id"), F.concat(F.lit("Ability to paint "), F.col("n_name"), F.lit("; knowledge of "), F.lower("n_name"), F.lit(" oils (e.g. linseed) and Glazing\n- Skills, "), F.col("n_name")).alias("description")] if extra else []
     return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") % 6 != 0, F.col("n_name")).otherwise("").alias("name"), *more)
 
 
@@ -355,11 +394,11 @@ def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT 'cv_' || l.doc_id AS scan_id, d.source AS job_id, (d.doc_id % 100)::DOUBLE AS original_score, (l.quality * 100)::DOUBLE AS hr_corrected_score, length(d.text)::INT AS n_chars, 'why' AS llm_reason, d.source <> 'src1' AS has_requirements
-FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id % 6 <> 0 AND d.source = 'src' || (l.doc_id % 20)"""
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id % 6 <> 0 AND d.source = 'src' || (l.doc_id % 20) AND l.doc_id % 7 <> 0"""
 )
 def review_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels")
-    requests = labels.select(F.concat(F.lit("cv_"), F.col("doc_id")).alias("scan_id"), F.concat(F.lit("src"), F.col("doc_id") % 20).alias("job_id"), (F.col("quality") * 100).cast("double").alias("corrected_score"), F.lit("LOW").alias("corrected_classification"), F.lit(None).cast("string").alias("feedback_notes"))
+    requests = labels.select(F.concat(F.lit("cv_"), F.col("doc_id")).alias("scan_id"), F.concat(F.lit("src"), F.col("doc_id") % 20).alias("job_id"), F.when(F.col("doc_id") % 7 == 0, 101.0 + F.col("quality")).otherwise((F.col("quality") * 100).cast("double")).alias("corrected_score"), F.lit("LOW").alias("corrected_classification"), F.lit(None).cast("string").alias("feedback_notes"))
     known = _table(spark, sf_dir, "documents").where("source <> 'src1'").select(F.col("source").alias("id")).distinct()
     rows = store.reviews(requests.where(store.correct_range(F.col("corrected_score"))), _results(spark, sf_dir), known)
     return rows.select("scan_id", "job_id", "original_score", "hr_corrected_score", F.length("cv_text").alias("n_chars"), F.col("original_llm_analysis.llm_reason").alias("llm_reason"), F.col("job_requirements").isNotNull().alias("has_requirements"))
@@ -400,12 +439,26 @@ def prompt_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2("t", 256).alias("compact_hash"), F.length("t").alias("char_count"), F.greatest(F.lit(1), (F.length("t") / 4).cast("int")).alias("token_estimate"))
 
 
-@query()
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_COMPACT = r"substr(regexp_replace(array_to_string(list_filter(list_transform(string_split_regex(cv_text, '\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)), '[ \t]{2,}', ' ', 'g'), 1, 3500)"
+_TOLD = """'{"vacancy_id":"' || vacancy_id || '","title":"' || title || '","department":"' || department || '"' || CASE WHEN len(skills) > 0 THEN ',"required_skills":["' || array_to_string(skills, '","') || '"]' ELSE '' END
+       || CASE WHEN len(keywords) > 0 THEN ',"preferred_keywords":["' || array_to_string(keywords, '","') || '"]' ELSE '' END || CASE WHEN lo IS NOT NULL THEN ',"min_exp":' || lo ELSE '' END || '}'"""
+
+
+@query(
+    f"""WITH {_CVS}, {_PREFILTER}, told AS (SELECT cv_key, string_agg({_TOLD}, ',' ORDER BY input_rank) AS v, list_sort(list(concat_ws(':', vacancy_id, title, array_to_string(skills, ',')))) AS k FROM top GROUP BY cv_key),
+b AS (SELECT low.cv_key, cv_text, k, {_sql_text('{"task":"' + enrichment.TASK + '","candidate_cv_text":')} || to_json({_COMPACT})::VARCHAR || ',"candidate_vacancies":[' || v || ']}}' || {_sql_text(enrichment.INSTRUCTIONS)} AS p FROM low JOIN told ON low.cv_key = told.cv_key)
+SELECT cv_key, sha256(p) AS prompt_hash, length(p)::INT AS char_count, greatest(1, length(p) // 4)::INT AS token_estimate, sha256(concat_ws(':', sha256(cv_text), sha256('["' || array_to_string(k, '","') || '"]'), '{enrichment.PROMPT_VERSION}', 'default')) AS cache_key FROM b"""
+)
 def enrichment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrichment.prompts(prefilter.prefilter(_cvs(spark, sf_dir), _vacancies(spark), 5)).select("cv_key", "char_count", "token_estimate", "cache_key")
+    asked = enrichment.prompts(prefilter.prefilter(_cvs(spark, sf_dir), _vacancies(spark), 5))
+    return asked.select("cv_key", F.sha2("prompt", 256).alias("prompt_hash"), "char_count", "token_estimate", "cache_key")
 
 
-@query(f"WITH {_REQUESTS} SELECT req.id, 'paint, oils, e.g. linseed, Glazing' AS skills FROM req JOIN nation ON req.job_profile_id = n_nationkey WHERE trim(skills) = ''")
+@query(f"WITH {_REQUESTS} SELECT req.id, 'paint ' || n_name || ', ' || lower(n_name) || ' oils, e.g. linseed, Glazing, ' || n_name AS skills FROM req JOIN nation ON req.job_profile_id = n_nationkey WHERE trim(skills) = ''")
 def backfill_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.backfilled(_requests(spark, sf_dir), _dimension(spark, sf_dir, True), text.skill_terms)
     return rows.select("id", "skills")
@@ -417,11 +470,12 @@ def events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.from_json(enrichment.clean_answer(fenced), "k int")["k"].alias("k"))
 
 
-@query("SELECT event_type AS key, arg_max(value, {'t': ts, 'e': event_id})::VARCHAR AS value FROM events GROUP BY event_type")
+@query("SELECT event_type AS key, arg_max(value, {'t': ts, 'e': event_id})::VARCHAR AS value FROM events WHERE event_id % 2 = CASE WHEN event_type = 'view' THEN 0 ELSE 1 END GROUP BY event_type")
 def config_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes beat the table whatever their time; keys without a change stay."""
     rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("value").cast("string").alias("value"), F.struct("ts", "event_id").alias("updated_at"))
-    old, new = rows.where("updated_at.event_id % 2 = 0"), rows.where("updated_at.event_id % 2 = 1")
-    return latest_config(latest_config(old).unionByName(latest_config(new))).select("key", "value")
+    old, new = rows.where("updated_at.event_id % 2 = 0"), rows.where("updated_at.event_id % 2 = 1 AND key <> 'view'")
+    return upsert_config(latest_config(old), latest_config(new)).select("key", "value")
 
 
 @query("SELECT c_custkey AS id, c_name AS name, nullif(round(c_acctbal), 0)::DOUBLE AS candidate_ctc FROM customer WHERE c_custkey % 3 <> 0 ORDER BY c_custkey LIMIT 50")
@@ -450,10 +504,16 @@ def experience_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", text.experience_label(F.when(k % 3 != 0, s % 5), F.when(k % 5 != 0, s % 7)).alias("experience"))
 
 
-@query("SELECT p_partkey, CASE WHEN p <= 0 OR p IS NULL THEN 'Not Specified' WHEN p <= 100 THEN 'From ₹' || p || ' LPA' WHEN p < 1000 THEN 'From ₹' || p WHEN p < 100000 THEN 'From ₹' || (p // 1000) || ',' || lpad((p % 1000)::VARCHAR, 3, '0') ELSE 'From ₹' || (p // 100000) || ',' || lpad((p // 1000 % 100)::VARCHAR, 2, '0') || ',' || lpad((p % 1000)::VARCHAR, 3, '0') END AS salary FROM (SELECT p_partkey, p_partkey * 37 % 999999 AS p FROM part)")
+@query(
+    """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey * 37 % 999999 END AS lo, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey * 91 % 999999 END AS hi FROM part),
+l AS (SELECT p_partkey, CASE k WHEN 0 THEN lo ELSE hi END AS p, k FROM r, (SELECT unnest([0, 1]) AS k)),
+t AS (SELECT p_partkey, k, CASE WHEN p > 0 THEN CASE WHEN p <= 100 THEN '₹' || p || ' LPA' WHEN p < 1000 THEN '₹' || p WHEN p < 100000 THEN '₹' || (p // 1000) || ',' || lpad((p % 1000)::VARCHAR, 3, '0')
+      ELSE '₹' || (p // 100000) || ',' || lpad((p // 1000 % 100)::VARCHAR, 2, '0') || ',' || lpad((p % 1000)::VARCHAR, 3, '0') END END AS s FROM l)
+SELECT a.p_partkey, coalesce(a.s || ' - ' || b.s, 'From ' || a.s, 'Up to ' || b.s, 'Not Specified') AS salary FROM t a JOIN t b ON a.p_partkey = b.p_partkey AND a.k = 0 AND b.k = 1"""
+)
 def salary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = (F.col("p_partkey") * 37) % 999999
-    return _table(spark, sf_dir, "part").select("p_partkey", text.salary_label(p, F.lit(None).cast("long")).alias("salary"))
+    k = F.col("p_partkey")
+    return _table(spark, sf_dir, "part").select("p_partkey", text.salary_label(F.when(k % 7 != 0, (k * 37) % 999999), F.when(k % 5 != 0, (k * 91) % 999999)).alias("salary"))
 
 
 @query("SELECT p_partkey::VARCHAR AS id FROM part WHERE contains(lower(p_name), 'ar') OR contains(lower(p_brand), 'ar') OR contains(lower(p_type || ', ' || p_type), 'ar')")
@@ -486,12 +546,30 @@ def ingest_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.decided(files, stored).select(F.regexp_extract("filename", r"^(\d+)", 1).cast("long").alias("doc_id"), "status")
 
 
-@query()
+@query(
+    f"""WITH {_CVS}, s AS (SELECT cv_key, id, department, ordinal, len(list_filter(title_terms, lambda k: contains(t, k))) * 10 + CASE WHEN contains(t, lower(department)) THEN 30 ELSE 0 END AS s FROM low, terms),
+d AS (SELECT *, sum(s) OVER (PARTITION BY cv_key, department) AS total FROM s), r AS (SELECT *, dense_rank() OVER (PARTITION BY cv_key ORDER BY total DESC, department) AS k FROM d)
+SELECT cv_key, department, id, total::BIGINT AS department_score, k::INT AS department_rank FROM r WHERE k <= 3 QUALIFY row_number() OVER (PARTITION BY cv_key ORDER BY k, s DESC, ordinal) <= 10"""
+)
 def department_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.department_ranking(_cvs(spark, sf_dir), _vacancies(spark)).select("cv_key", "department", "id", "department_score", F.col("department_rank").cast("int").alias("department_rank"))
+    return rank.department_ranking(_cvs(spark, sf_dir), _vacancies(spark)).select("cv_key", "department", "id", F.col("department_score").cast("long").alias("department_score"), F.col("department_rank").cast("int").alias("department_rank"))
 
 
-@query()
+def _rules_over(vacancies, dept_terms) -> str:
+    """The rules' SQL over another catalogue, of rows like those of ``VACANCIES``."""
+    terms = sorted({x.lower() for v in vacancies for x in (*v[4], *v[5])})
+    return (
+        _RULES.replace(_sql_vacancies(VACANCIES), _sql_vacancies(vacancies))
+        .replace(_found("t", _TERMS), _found("t", terms))
+        .replace(_found("d", _DEPARTMENT_TERMS, r"\p{L}\p{N}_"), _found("d", dept_terms, r"\p{L}\p{N}_"))
+        .replace("list_contains(found, k)", "list_contains(found, lower(k))")
+    )
+
+
+_DEFAULTS = [(v[0], None, *v[1:], None, None, None) for v in catalog.DEFAULT_VACANCIES]
+
+
+@query(_rules_over(_DEFAULTS, ("engineering", "design", "product", "commerce")) + " SELECT cv_key, id AS job_id, rank::INT AS rank, score::DOUBLE AS score, classification, 1.0::DOUBLE AS confidence FROM ranked")
 def default_catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in catalogue against every document."""
     rows = matching.match_rules(_cvs(spark, sf_dir), catalog.default_vacancies(spark), MatchConfig())

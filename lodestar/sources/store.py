@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import or_null
+from . import versions
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Replace the store by ``results`` through Spark's commit protocol."""
-    results.write.mode("overwrite").parquet(path)
+    """Add or replace results by cv_key; they may have been computed from the store itself."""
+    versions.append(results, path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """All stored results; unreadable JSON documents are skipped."""
-    if path.endswith(".json") or path.endswith("json/"):
-        return spark.read.option("mode", "DROPMALFORMED").json(path)
-    return spark.read.parquet(path)
+    """All stored results, the newest of each cv_key; of JSON documents unreadable ones are skipped."""
+    if path.rstrip("/").endswith("json"):
+        rows = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        return rows.where(F.col("_corrupt").isNull()).drop("_corrupt") if "_corrupt" in rows.columns else rows
+    found = versions.read(spark, path, "cv_key")
+    return spark.read.parquet(path) if found is None else found
+
+
+def compact_results(spark: SparkSession, path: str) -> None:
+    versions.compact(spark, path, "cv_key")
 
 
 def lookup(results: DataFrame, key: str) -> DataFrame:
@@ -54,6 +61,22 @@ def matches_search(query: str) -> Column:
     return found
 
 
+def listed(summaries: DataFrame, query: str | None) -> DataFrame:
+    """Rows of a candidate list whose file name, id, department or job title contain the query."""
+    if not (query or "").strip():
+        return summaries
+    q, found = F.lit(query.strip().lower()), F.lit(False)
+    for c in (F.col("filename"), F.col("id"), F.col("primary_department"), F.col("best_match.job_title")):
+        found = found | F.contains(F.lower(F.coalesce(c, F.lit(""))), q)
+    return summaries.where(found)
+
+
+def shown_of_total(total: DataFrame, shown: DataFrame) -> DataFrame:
+    """One row: how many rows a filtered list shows, and of how many."""
+    one = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("_one", F.lit(1))
+    return one(shown, "shown").join(one(total, "total"), "_one").drop("_one")
+
+
 def summary(results: DataFrame) -> DataFrame:
     """What a list shows of a result; a score of 0.0 gives way to the overall score."""
     best = F.col("match_analysis.best_match")
@@ -104,8 +127,10 @@ def reviews(requests: DataFrame, results: DataFrame, vacancies: DataFrame, now:
     """Training examples of review requests: the reviewed opening of each scan with its requirements.
 
     requests: scan_id, job_id, corrected_score, corrected_classification, feedback_notes. A request for
-    an unknown scan or opening gives no row; a vacancy that is gone leaves job_requirements null.
+    an unknown scan or opening gives no row; a vacancy that is gone leaves job_requirements null. Of a
+    scan that was analysed again the enriched result counts.
     """
+    results = prefer_enriched(results) if "enriched" in results.columns else results
     openings = results.select(F.col("cv_key").alias("scan_id"), F.col("markdown").alias("cv_text"), F.explode("match_analysis.suitable_openings").alias("o"))
     wanted = requests.join(openings.withColumn("job_id", F.col("o.job_id")), ["scan_id", "job_id"])
     catalogue = vacancies.select(F.col("id").alias("job_id"), F.to_json(F.struct(*[c for c in vacancies.columns if c != "ordinal"])).alias("job_requirements"))
@@ -132,6 +157,11 @@ def append_examples(examples: DataFrame, path: str) -> None:
     examples.write.mode("append").json(path)
 
 
+def training_examples(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
+    """The last examples of the stored log, oldest first."""
+    return tail(spark.read.json(path), limit)
+
+
 def tail(log: DataFrame, limit: int = 100, order: str = "timestamp") -> DataFrame:
     """The last ``limit`` rows of an append-only log, oldest first, without blank rows."""
     last = log.orderBy(F.desc(order)).limit(limit)

@@ -1,38 +1,54 @@
 """Idempotent incremental ingestion of document files, as a batch step and as a stream.
 
 State is the result table itself, keyed by cv_key. A batch joins its keys with the store, decides for
-each row, parses what must be read, and merges. A stream of files runs the same step per micro-batch;
-a batch that is run again finds its own results and changes nothing.
+each row, parses what must be read, and adds the results as a delta. A stream of files runs the same
+step per micro-batch; a batch that is run again replaces its own delta. Progress is a table of its own,
+which a second stream can follow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import content_key
+from ..sources import versions
 from ..sources.files import PARSER_VERSION, SCHEMA_VERSION, Parser, parse_files, plain_parser
 from ..sources.store import utc_now
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 RESULT_SCHEMA = (
     "cv_key string, filename string, cv_hash string, parser_version string, schema_version string, created_at string, updated_at string, "
-    "parsed_at string, status string, characters long, page_count int, is_scanned boolean, ocr_applied boolean, markdown string, parse_error string"
+    "parsed_at string, status string, characters long, structured_doc map<string,string>, page_count int, is_scanned boolean, ocr_applied boolean, markdown string, parse_error string"
 )
 
 
-def with_keys(files: DataFrame) -> DataFrame:
-    """cv_key and cv_hash of files (filename, content, and optionally candidate_id and cv_id).
+PROGRESS_SCHEMA = "filename string, status string, error string"
 
-    Of several files of one key in a batch the last by content hash counts.
-    """
+
+def _keyed(files: DataFrame) -> DataFrame:
     have = set(files.columns)
     null = F.lit(None).cast("string")
     ids = [F.col(c) if c in have else null.alias(c) for c in ("candidate_id", "cv_id")]
     keyed = files.select("filename", "length", "content", content_key(F.col("filename"), *ids).alias("cv_key"), F.sha2("content", 256).alias("cv_hash"))
-    w = Window.partitionBy("cv_key").orderBy(F.desc("cv_hash"))
-    return keyed.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    w = Window.partitionBy("cv_key").orderBy(F.desc("cv_hash"), "filename")
+    return keyed.withColumn("_k", F.row_number().over(w))
+
+
+def with_keys(files: DataFrame) -> DataFrame:
+    """cv_key and cv_hash of files (filename, content, and optionally candidate_id and cv_id).
+
+    Of several files of one key in a batch the last by content hash counts.
+    """
+    return _keyed(files).where("_k = 1").drop("_k")
+
+
+def superseded(files: DataFrame) -> DataFrame:
+    """Progress rows of the files that another one of their key and batch has replaced."""
+    return _keyed(files).where("_k > 1").select("filename", F.lit("SUPERSEDED").alias("status"), F.lit(None).cast("string").alias("error"))
 
 
 def decision(stored: Column, same_content: Column, same_versions: Column, force: bool) -> Column:
@@ -71,6 +87,7 @@ def ingest(files: DataFrame, store: DataFrame, force: bool = False, parser: Pars
         now.alias("parsed_at"),
         "status",
         F.length("cv_text").cast("long").alias("characters"),
+        "structured_doc",
         "page_count",
         "is_scanned",
         "ocr_applied",
@@ -105,32 +122,55 @@ def progress_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("filename").alias("files"))
 
 
-def ingest_stream(spark: SparkSession, path: str, store_path: str, checkpoint: str, parser: Parser = plain_parser, progress_path: str | None = None, glob: str = "*.{pdf,docx,PDF,DOCX}") -> StreamingQuery:
-    """Ingest the files that are there, and none twice; versions of the store are numbered by batch.
+def task_rows(asked: DataFrame, events: DataFrame, running: bool) -> DataFrame:
+    """filename, status and error of every file that was asked for.
 
-    Each micro-batch writes a whole new version beside the last; only versions that Spark has marked as
-    complete are read, so no reader sees half a merge.
+    A file without an event is RUNNING while its query runs; once that has ended it is FAILED, so a
+    task that died without a word shows as well.
+    """
+    last = events.groupBy("filename").agg(F.max_by(F.struct("status", "error"), F.when(F.col("status") == "SUPERSEDED", 0).otherwise(1)).alias("x"))
+    joined = asked.select("filename").distinct().join(last, "filename", "left")
+    missing = F.struct(F.lit("RUNNING" if running else "FAILED").alias("status"), F.lit(None if running else "The task ended without a result.").cast("string").alias("error"))
+    return joined.select("filename", F.coalesce("x", missing).alias("x")).select("filename", "x.status", "x.error")
+
+
+def query_status(query: StreamingQuery) -> dict:
+    """What is known of a running or ended stream: whether it runs, its batch, the rows it read, and its error."""
+    last, problem = query.lastProgress or {}, query.exception()
+    return {"running": query.isActive, "batch": last.get("batchId"), "rows": last.get("numInputRows"), "error": str(problem) if problem else None}
+
+
+def ingest_stream(
+    spark: SparkSession, path: str, store_path: str, checkpoint: str, parser: Parser = plain_parser, progress_path: str | None = None, glob: str = "*.{pdf,docx,PDF,DOCX}", compact_every: int = 20
+) -> StreamingQuery:
+    """Ingest the files that are there, and none twice.
+
+    Each micro-batch writes its own results as a delta, numbered by batch, and after every
+    ``compact_every`` batches the deltas are folded into one base.
     """
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).load(path)
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         named = batch.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "length", "content")
         store = read_store(batch.sparkSession, store_path, before=number)
         fresh = ingest(named, store, parser=parser).persist()
-        merged(store, fresh).write.mode("overwrite").parquet(f"{store_path}/v={number:012d}")
+        versions.append(fresh.where("parse_error is null"), store_path, number)
         if progress_path:
-            progress(fresh).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{progress_path}/b={number:012d}")
+            progress(fresh).unionByName(superseded(named)).write.mode("overwrite").parquet(f"{progress_path}/b={number:012d}")
         fresh.unpersist()
+        if number % compact_every == compact_every - 1:
+            versions.compact(batch.sparkSession, store_path, "cv_key", RESULT_SCHEMA)
+
+    return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def progress_stream(spark: SparkSession, progress_path: str, handler: Callable[[DataFrame, int], None], checkpoint: str, follow: bool = False) -> StreamingQuery:
+    """Hand each new batch of progress events to ``handler``; with ``follow`` for as long as the query runs."""
+    events = spark.readStream.schema(PROGRESS_SCHEMA).option("recursiveFileLookup", "true").parquet(progress_path)
+    writer = events.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime="1 second") if follow else writer.trigger(availableNow=True)).start()
 
 
 def read_store(spark: SparkSession, store_path: str, before: int | None = None) -> DataFrame:
-    """The store's newest complete version, or that before a batch; empty if there is none."""
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(store_path)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
-    done = sorted(n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{store_path}/{n}/_SUCCESS")))
-    done = [n for n in done if before is None or int(n[2:]) < before]
-    return spark.read.schema(RESULT_SCHEMA).parquet(f"{store_path}/{done[-1]}") if done else spark.createDataFrame([], RESULT_SCHEMA)
+    """The store's newest rows, or those before a batch; empty if there are none."""
+    return versions.read(spark, store_path, "cv_key", RESULT_SCHEMA, before)

@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from lodestar.sources import files, store
+from lodestar.sources import files, store, versions
 from lodestar.streaming import ingest
 
 PDF = b"%PDF-1.4\n/Type /Page\n" + b"(Skills: Python and many other long words of text) Tj\n" * 5
@@ -28,9 +28,23 @@ def test_validation_and_parsing(spark):
     rows = files.parse_files(frame(spark, ("a.pdf", b""), ("b.txt", b"x"), ("c", b"x"), ("d.pdf", b"nope"), ("e.docx", docx((True, "Skills"), (False, "Python"))), ("f.pdf", PDF), ("g.pdf", b"%PDF-1.4 dummy"), ("h.pdf", b"PK\x03\x04")))
     got = {r.filename: r for r in rows.collect()}
     assert "0 bytes" in got["a.pdf"].parse_error and "Unsupported file extension" in got["b.txt"].parse_error
-    assert "valid extension" in got["c"].parse_error and "Missing PDF magic" in got["d.pdf"].parse_error and "mismatch" in got["h.pdf"].parse_error
+    assert "valid extension" in got["c"].parse_error and "no known kind" in got["d.pdf"].parse_error and "another kind" in got["h.pdf"].parse_error
     assert got["e.docx"].cv_text == "## Skills\nPython" and got["f.pdf"].page_count == 1 and not got["f.pdf"].ocr_applied
     assert got["g.pdf"].ocr_applied and "No readable text" in got["g.pdf"].parse_error and got["g.pdf"].is_scanned
+    assert got["e.docx"].structured_doc == {"Skills": "Python"}
+
+
+def test_parser_has_a_time_limit(spark):
+    import time
+
+    def slow(name, content, ocr):
+        time.sleep(5 if name == "a.docx" else 0)
+        return files.Parsed("text enough to be read")
+
+    began = time.time()
+    rows = files.parse_files(files.spread(frame(spark, ("a.docx", docx((False, "x"))), ("b.docx", docx((False, "x")))), 2), slow, seconds=0.5)
+    got = {r.filename: r for r in rows.collect()}
+    assert "no result within" in got["a.docx"].parse_error and got["b.docx"].parse_error is None and time.time() - began < 30
 
 
 def test_ingest_is_idempotent(spark):
@@ -59,6 +73,34 @@ def test_stream(spark, tmp_path):
     ingest.ingest_stream(*args).awaitTermination()
     assert ingest.read_store(spark, str(tmp_path / "store")).count() == 3
     assert {r.status for r in spark.read.parquet(str(tmp_path / "progress")).collect()} == {"NEW_CV"}
+    seen = []
+    follow = ingest.progress_stream(spark, str(tmp_path / "progress"), lambda batch, n: seen.extend(r.filename for r in batch.collect()), str(tmp_path / "follow"))
+    follow.awaitTermination()
+    assert sorted(seen) == ["a.DOCX", "b.DOCX"] and ingest.query_status(follow)["error"] is None and not ingest.query_status(follow)["running"]
+
+
+def test_store_of_deltas(spark, tmp_path):
+    path, kinds = str(tmp_path / "s"), "cv_key string, v int"
+    for number, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2), ("c", 2)], [("c", 3)])):
+        assert versions.append(spark.createDataFrame(rows, kinds), path) == number
+    want = {"a": 2, "b": 1, "c": 3}
+    read = lambda **more: {r.cv_key: r.v for r in versions.read(spark, path, "cv_key", **more).collect()}
+    assert read() == want and read(before=1) == {"a": 1, "b": 1}
+    versions.compact(spark, path, "cv_key")
+    assert read() == want and [n for _, n in versions.folders(spark, path)] == ["delta=000000000000", "delta=000000000001", "base=000000000002", "delta=000000000002"]
+    store.write_results(store.read_results(spark, path).withColumn("v", F.col("v") + 10), path)
+    assert read() == {"a": 12, "b": 11, "c": 13}
+    store.compact_results(spark, path)
+    assert read() == {"a": 12, "b": 11, "c": 13} and len(versions.folders(spark, path)) == 3
+    assert versions.read(spark, str(tmp_path / "none"), "cv_key") is None
+
+
+def test_json_results_and_examples(spark, tmp_path):
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text('{"extracted": "content", "pages": 1}\nnot json\n')
+    assert [(r.extracted, r.pages) for r in store.read_results(spark, str(tmp_path / "json")).collect()] == [("content", 1)]
+    store.append_examples(spark.createDataFrame([(k, "x") for k in range(5)], "timestamp int, v string"), str(tmp_path / "log"))
+    assert [r.timestamp for r in store.training_examples(spark, str(tmp_path / "log"), 2).collect()] == [3, 4]
 
 
 def test_listing(spark, tmp_path):

@@ -92,18 +92,118 @@ def test_keys(spark):
     assert [r[0] for r in df.select(text.content_key(F.col("f"), F.col("a"), F.col("b"))).collect()] == ["cand_101_cv_501", "cand_101_resume", "cv_501_resume", "cv_john_doe_cv"]
 
 
-def test_gate_and_enrichment(spark):
+def test_gate_and_enrichment(spark, tmp_path):
     cvs = spark.createDataFrame([("a", "## Cook\nwriter of prose", 1.0), ("b", "## Python Developer\nPython Git", 4.0)], "cv_key string, cv_text string, candidate_experience double")
     jobs = vacancies(spark, ("1", "Python Developer", "Engineering", ["Python"], ["Git"], 2.0), ("2", "Nurse", "Healthcare", ["icu"], [], None))
-    asked = []
+    log = tmp_path / "calls"
 
     def enricher(prompt):
+        with open(log, "a") as f:
+            f.write("Cook" if "Cook" in prompt else "other")
+            f.write("\n")
         return '```json\n{"candidate_profile": {"core_skills": ["icu"], "current_role": "Nurse"}, "matched_vacancies": [{"vacancy_id": "2", "semantic_reason": "ok", "semantic_fit_score": 90.0}]}\n```'
 
     rows = {(r.cv_key, r.job_id): r for r in matching.match_two_stage(cvs, jobs, enricher=enricher).collect()}
     assert rows["b", "1"].llm_skipped and rows["b", "1"].llm_reason == ""
     assert not rows["a", "2"].llm_skipped and rows["a", "2"].llm_reason == "ok" and rows["a", "2"].score == 100.0
-    assert not asked
+    assert log.read_text() == "Cook\n"
+
+
+def test_enricher_is_asked_once_for_each_cv(spark, tmp_path):
+    cvs = spark.range(30).selectExpr("cast(id AS string) AS cv_key", "concat('## Cook\n', id) AS cv_text", "1.0D AS candidate_experience").repartition(4)
+    jobs = vacancies(spark, ("1", "Python Developer", "Engineering", ["Python"], ["Git"], 2.0))
+    log = tmp_path / "calls"
+
+    def enricher(prompt):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return '{"candidate_profile": {"core_skills": ["Python"]}, "matched_vacancies": []}'
+
+    out = matching.match_two_stage(cvs, jobs, enricher=enricher)
+    assert out.count() == 30 and out.where("size(matched_skills) = 1").count() == 30
+    assert len(log.read_text().split()) == 30
+
+
+def test_enricher_tries_again_or_gives_up(spark):
+    asked = spark.createDataFrame([("a", "k", "flaky"), ("b", "k", "down")], "cv_key string, cache_key string, prompt string")
+    tries = {}
+
+    def enricher(prompt):
+        tries[prompt] = tries.get(prompt, 0) + 1
+        if prompt == "down":
+            raise ConnectionError("no service")
+        if tries[prompt] < 3:
+            raise ValueError("not yet")
+        return f"answer {tries[prompt]}"
+
+    assert {r.cv_key: r.response for r in enrichment.answer_with(asked, enricher).collect()} == {"a": "answer 3", "b": None}
+
+
+def test_rules_alone_score_once(spark):
+    cvs = spark.createDataFrame([("a", "## Cook\nprose", 1.0)], "cv_key string, cv_text string, candidate_experience double")
+    plan = matching.match_two_stage(cvs, vacancies(spark, PYTHON))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and plan.count("cv_text") < 40
+
+
+def test_many_vacancies_in_blocks(spark, monkeypatch):
+    """Several blocks and slices give the pairs of one block."""
+    cvs = spark.createDataFrame([(str(k), f"skill{k} and skill{k + 1} in dept{k % 3}", 1.0) for k in range(20)], "cv_key string, cv_text string, candidate_experience double")
+    jobs = vacancies(spark, *[(f"{k}", f"Title{k % 7}", f"dept{k % 3}", [f"skill{k % 23}"], [], None) for k in range(90)])
+    featured = score.with_features(matching.as_cvs(cvs))
+    want = sorted((r.cv_key, r.v.id, r.input_rank, r.cv_found) for r in prefilter.prefilter(featured, jobs, 4).collect())
+    monkeypatch.setattr(prefilter, "BLOCK", 16)
+    monkeypatch.setattr(prefilter, "MOST_BYTES", 30_000)
+    assert len(prefilter.catalogue_slices(jobs)[0]) > 1
+    got = sorted((r.cv_key, r.v.id, r.input_rank, r.cv_found) for r in prefilter.prefilter(featured, jobs, 4).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert prefilter.all_pairs(featured, jobs).count() == 20 * 90
+
+
+def test_all_components(spark):
+    """Education, certification, technologies and responsibilities count where a vacancy states them."""
+    kinds = KINDS + ", education_requirements string, certifications string, technologies array<string>, responsibilities array<string>"
+    job = ("1", "Python Developer", "Engineering", ["Python"], [], 2.0, "BSc Computer Science", "AWS", ["Docker", "Kafka"], ["code review", "mentoring"])
+    cvs = spark.createDataFrame([("a", "## Python Developer\nPython, Docker, AWS and code review", 4.0)], "cv_key string, cv_text string, candidate_experience double")
+    row = matching.match_rules(cvs, catalog.conform(spark.createDataFrame([job], kinds))).first()
+    assert (row.education_score, row.certification_score, row.technology_score, row.responsibilities_score, row.coverage) == (0.0, 100.0, 50.0, 50.0, 1.0)
+    assert {f.requirement_id for f in row.mandatory_failures} == {"req_education"} and row.score == 62.5
+    assert row.confidence == 1.0 and "req_certification" in row.evidence
+
+
+def test_catalogue_is_kept_until_refreshed(spark):
+    reads = []
+
+    def load():
+        reads.append(1)
+        return vacancies(spark, PYTHON)
+
+    held = catalog.Catalogue(load)
+    assert held.vacancies().count() == held.vacancies().count() == 1 and len(reads) == 1
+    held.refresh()
+    assert len(reads) == 2 and catalog.Catalogue(load, seconds=-1.0).vacancies().count() == 1
+    held.invalidate()
+    assert held.vacancies().count() == 1 and len(reads) == 4
+
+
+def test_config_sources(spark):
+    table = spark.createDataFrame([("high_threshold", "85.0", 1)], "key string, value string, updated_at int")
+    found = MatchConfig.from_sources(table, {"HIGH_THRESHOLD": 60.0, "skip_margin": 9.0, "other": 1})
+    assert (found.high_threshold, found.skip_margin, found.medium_threshold) == (85.0, 9.0, 40.0)
+    old = table.selectExpr("*", "timestamp'2020-01-01' AS expires_at")
+    assert MatchConfig.from_sources(old, {"high_threshold": 60.0}).high_threshold == 60.0
+
+
+def test_reanalyze(spark):
+    results = spark.createDataFrame([("a", "## Python Developer\nPython Git", False), ("a2", "x", True), ("b", "y", False)], "cv_key string, markdown string, enriched boolean").withColumn("match_analysis", F.lit(None).cast("string"))
+    ids = spark.createDataFrame([("a",), ("a2",)], "cv_key string")
+    rows = matching.reanalyze(results, ids, vacancies(spark, PYTHON)).collect()
+    assert [(r.cv_key, r.enriched, r.match_analysis.best_match.job_id) for r in rows] == [("a", True, "j1")]
+
+
+def test_evidence_digest(spark):
+    cvs = spark.createDataFrame([("a", "## Senior Python Developer\nSkills: Python", 3.0)], "cv_key string, cv_text string, candidate_experience double")
+    told = matching.match_rules(cvs, vacancies(spark, PYTHON)).select(rank.evidence_digest(F.col("evidence")).alias("t")).first().t
+    assert len(told) == 150 and told.startswith("pref_keyword_ci/cd: CV missing preferred keyword: 'CI/CD'; ")
 
 
 def test_empty_catalogue_and_invalid_cvs(spark):
