@@ -31,7 +31,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
 BLOCK = 64
 #: Share of the examples from which on a term is frequent, and the weight of terms that lean to no label.
-_FREQUENT, _PLAIN = 0.02, 0.3
+_FREQUENT, _PLAIN = 0.08, 0.3
 
 
 def word_terms(word: str) -> list[str]:
@@ -62,7 +62,7 @@ class Index:
         self.labels, self.n = labels[self.order].astype(float), len(rows)
         self.blocks = -(-max(1, self.n) // BLOCK)
         sizes = [len(rows[k][0]) for k in self.order]
-        term = np.concatenate([rows[k][0] for k in self.order]).astype(np.int64)
+        term = np.concatenate([rows[k][0] for k in self.order])
         weight = np.concatenate([rows[k][1] for k in self.order]).astype(np.float32)
         place = np.repeat(np.arange(self.n), sizes)
         many = np.bincount(term, minlength=n_terms) > max(BLOCK / 8, _FREQUENT * self.n)
@@ -73,7 +73,7 @@ class Index:
         self.greatest = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
         order = np.argsort(term[~dense], kind="stable")
         self.places, self.weights = place[~dense][order].astype(np.int32), weight[~dense][order]
-        self.starts = np.searchsorted(term[~dense][order], np.arange(n_terms + 1))
+        self.starts = np.searchsorted(term[~dense][order], np.arange(n_terms + 1)).astype(np.int32)
 
     def nearest(self, query: Vector, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the ``k`` nearest examples but ``skip``; equal cosines in order of position."""
@@ -168,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 3_000, k:
     """Learn from ``labels`` (doc_id, toxic) where ``learn`` holds; of ``docs`` only texts are read.
 
     Of an id with several labels the greatest counts; null ids, labels and texts are left out. The
-    sample of about ``most`` labels is drawn by a hash of the id; its ids alone are broadcast. Without
-    an example every score is 0.
+    sample of about ``most`` labels is drawn by a hash of the id; its ids are broadcast, and so is the
+    index, whose size ``most`` bounds. Without an example every score is 0.
     """
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_known")).agg(F.max("toxic").cast("int").alias("_y"))
     sample = known.where(hash_share(F.col("_known"), most / max(1, known.count()), "toxic"))
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 3_000, k:
 
     seen = mapped(joined, held, "t string, a long, b long").groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 2").toPandas().sort_values("t")
     terms = seen.t.tolist()
-    fitted = {"terms": terms, "weights": np.zeros(len(terms)), "k": k, "index": None, "cal_x": np.array([0.0]), "cal_y": np.array([0.0]), "examples": []}
+    fitted = {"shared": None, "k": k, "cal_x": np.array([0.0]), "cal_y": np.array([0.0])}
     if not terms:
         return fitted
 
@@ -212,22 +212,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 3_000, k:
     frequency = np.zeros(len(terms))
     frequency[in_all.t.to_numpy()] = in_all.n.to_numpy()
     idf = np.log((texts.count() + 1) / (frequency + 1)) + 1
-    fitted["weights"] = weights = idf * (_PLAIN + (1 - _PLAIN) * _lean(seen.a.to_numpy(float), seen.b.to_numpy(float), good, bad))
+    weights = idf * (_PLAIN + (1 - _PLAIN) * _lean(seen.a.to_numpy(float), seen.b.to_numpy(float), good, bad))
     rows = mapped(joined, counted, "doc_id long, y int, t array<int>, c array<int>").toPandas()
     rows = rows.iloc[np.argsort([zlib.crc32(b"%d" % d) for d in rows.doc_id.tolist()], kind="stable")]
-    vectors = [_unit(np.asarray(t, dtype=np.int64), np.asarray(c, dtype=np.float64), weights) for t, c in zip(rows.t, rows.c)]
-    y = (rows.y.to_numpy() > 0).astype(float)
-    index = Index(vectors, y, len(terms))
+    vectors = [_unit(np.asarray(t, dtype=np.int32), np.asarray(c, dtype=np.float64), weights) for t, c in zip(rows.t, rows.c)]
+    index = Index(vectors, (rows.y.to_numpy() > 0).astype(float), len(terms))
+    examples = rows.doc_id.to_numpy()[index.order].tolist()
+    del rows, vectors, seen, in_all
+    fitted["shared"] = shared = docs.sparkSession.sparkContext.broadcast({"terms": terms, "weights": weights, "index": index, "examples": examples})
 
     def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, counter = shared.value["index"], Counter(shared.value["terms"])
+        place = {d: a for a, d in enumerate(shared.value["examples"])}
         for batch in batches:
-            at = batch.column(0).to_pylist()
-            near = [index.nearest(vectors[index.order[a]], k, skip=a) for a in at]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([vote(index.labels[p], c) for p, c in near], pa.float64())], names=["id", "vote"])
-
-    votes = mapped(docs.sparkSession.range(len(y)), without_itself, "id long, vote double").toPandas().sort_values("id").vote.to_numpy()
-    fitted["cal_x"], fitted["cal_y"] = _isotonic(votes, index.labels)
-    fitted["index"], fitted["examples"] = index, rows.doc_id.to_numpy()[index.order].tolist()
+            votes = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                near, cosine = index.nearest(_unit(*counter.counts(text), shared.value["weights"]), k, place[doc_id])
+                votes.append(vote(index.labels[near], cosine))
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(2)], names=["vote", "y"])
+
+    votes = mapped(joined, without_itself, "vote double, y int").toPandas()
+    fitted["cal_x"], fitted["cal_y"] = _isotonic(votes.vote.to_numpy(), (votes.y.to_numpy() > 0).astype(float))
     return fitted
 
 
@@ -240,15 +245,16 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, index = Counter(fitted["terms"]), fitted["index"]
+        known = fitted["shared"].value if fitted["shared"] else {"terms": [], "index": None}
+        counter, index = Counter(known["terms"]), known["index"]
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
         for batch in batches:
             scores, shown = [], []
             for text in batch.column(1).to_pylist():
                 terms, counts = counter.counts(text)
-                near, cosine = index.nearest(_unit(terms, counts, fitted["weights"]), fitted["k"]) if index is not None and len(terms) else ([], [])
+                near, cosine = index.nearest(_unit(terms, counts, known["weights"]), fitted["k"]) if index is not None and len(terms) else ([], [])
                 scores.append(float(np.interp(vote(index.labels[near], cosine) if len(near) else 0.0, fitted["cal_x"], fitted["cal_y"])))
-                shown.append([{"doc_id": fitted["examples"][a], "cosine": c} for a, c in zip(near[:3], cosine[:3])])
+                shown.append([{"doc_id": known["examples"][a], "cosine": c} for a, c in zip(near[:3], cosine[:3])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(shown, evidence)], names=["doc_id", "score", "evidence"])
 
     return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")
