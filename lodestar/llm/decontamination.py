@@ -219,3 +219,19 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
 
         kept = mapped(kept, run, docs.schema)
     return kept
+
+
+#: The same over all windows that hold a shingle of an item, without fingerprints.
+ORACLE_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT item_id, w, len(w) AS n, least(5, len(w)) AS width, len(w) - least(5, len(w)) + 1 AS span FROM iw WHERE len(w) > 0),
+ig AS (SELECT item_id, n, width, span, g, count(*) AS c FROM (SELECT *, unnest(list_transform(range(1, span + 1), lambda k: array_to_string(list_slice(w, k, k + width - 1), ' '))) AS g FROM i) GROUP BY ALL),
+dg AS (SELECT doc_id, words, width, unnest(range(0, words - width + 1)) AS p, unnest(list_transform(range(1, words - width + 2), lambda k: array_to_string(list_slice(w, k, k + width - 1), ' '))) AS g
+       FROM (SELECT *, len(w) AS words FROM dw), (SELECT DISTINCT width FROM i) WHERE words >= width),
+h AS (SELECT doc_id, item_id, words, n, dg.width, span, p, g, c FROM dg JOIN ig USING (g, width)),
+s AS (SELECT *, unnest(CASE WHEN n > words THEN [0] ELSE range(greatest(0, p - span + 1), least(p, words - n) + 1) END) AS first FROM h WHERE n <= words OR words - width + 1 >= 0.8 * span),
+m AS (SELECT doc_id, item_id, first, least(n, words) AS n_words, least(span, words - width + 1) + span AS total, least(count(*), any_value(c)) AS held FROM s GROUP BY doc_id, item_id, first, n, words, width, span, g),
+v AS (SELECT doc_id, item_id, first, n_words, sum(held)::DOUBLE / (any_value(total) - sum(held)) AS similarity FROM m GROUP BY ALL)
+SELECT doc_id, item_id, max(similarity)::DOUBLE AS similarity, arg_max(first, {'x': similarity, 'y': -first})::BIGINT AS first_word, any_value(n_words)::BIGINT AS n_words FROM v WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""

@@ -74,4 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL, "op9_license_scan": license_scan.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE_SQL,
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_quality_rules": quality_rules.ORACLE_SQL,
+    "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op9_license_scan": license_scan.oracle_sql(),
+}

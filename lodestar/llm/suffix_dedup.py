@@ -451,3 +451,19 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     spans = sure.unionByName(compared).groupBy("doc").agg(F.collect_list(F.struct("a", "n")).alias("own"))
     cuts = texts.join(spans, "doc", "left").select("doc", "base", "text", "own")
     return mapped(cuts, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+#: The same by comparing all windows as they are.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, s, array_slice(b, s + 1, s + 100) AS g FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS s FROM d WHERE octet_length(b) >= 100)),
+l AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+n AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM l),
+k AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM n),
+r AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM k GROUP BY doc_id, k),
+e AS (SELECT doc_id, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS x, a AS y FROM r UNION ALL SELECT r.doc_id, max(z), any_value(octet_length(b)) FROM r JOIN d ON r.doc_id = d.doc_id GROUP BY r.doc_id),
+t AS (SELECT e.doc_id, string_agg(CASE WHEN x < y THEN hex(array_slice(b, x + 1, y)) ELSE '' END, '' ORDER BY x) AS h FROM e JOIN d ON e.doc_id = d.doc_id GROUP BY e.doc_id),
+q AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM d LEFT JOIN q ON d.doc_id = q.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
