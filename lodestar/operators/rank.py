@@ -23,7 +23,7 @@ def ranked(scored: DataFrame, config: MatchConfig | None = None) -> DataFrame:
     of = Window.partitionBy("cv_key")
     w = of.orderBy(F.desc("score"), "input_rank")
     rows = scored.select("*", F.row_number().over(w).alias("rank"), F.first("score").over(w).alias("top_score"), (F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))).alias("margin"))
-    #: How a rank is explained.
+    # How a rank is explained.
     first = F.concat(F.lit("Ranked #1 with highest verified score of "), F.col("score").cast("string"), F.lit("%."))
     lower = F.concat(F.lit("Ranked #"), F.col("rank"), F.lit(" due to lower score ("), F.col("score").cast("string"), F.lit("% vs top "), F.col("top_score").cast("string"), F.lit("%)."))
     rows = rows.withColumn("ranking_reason", F.when(F.col("rank") == 1, first).otherwise(lower))

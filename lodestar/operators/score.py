@@ -121,6 +121,7 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
     has_education = F.coalesce(holds(term_key(education)), F.lit(False)) | (F.size(_or_none(p["education_domains"])) > 0)
     has_certification = F.coalesce(holds(term_key(certification)), F.lit(False)) | (F.size(_or_none(p["certifications"])) > 0)
 
+    # The sentences of requirements, evidence and failures below are what callers compare.
     def skill(s: Column) -> Column:
         ok = F.array_contains("matched_skills", s)
         cv = F.when(ok, _join("CV contains skill: '", s, "'")).otherwise(_join("CV missing explicit mention of skill: '", s, "'"))
@@ -247,6 +248,7 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
     rounded = lambda c: F.coalesce(F.bround(F.col(c), 1), F.lit(0.0))
     last = F.transform(F.array_distinct("_ids"), lambda i: F.struct(i.alias("key"), F.element_at(F.filter("_all", lambda r: r["requirement_id"] == i), -1)["evidence"].alias("value")))
     distinct = F.size(F.array_distinct("_ids"))
+    #: Recommendations.
     texts = {
         "underspecified": "Low Confidence Match — Requires HR verification (Vacancy is underspecified).",
         "strong": "Strong candidate — proceed to interview.",

@@ -170,7 +170,21 @@ def llm_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.gate(matching.match_prefiltered(_cvs(spark, sf_dir), _vacancies(spark)))
 
 
-@query()
+_AGAIN = _SCORE.replace("{pairs}", "top").replace("concat_ws(' ', role, role,", "concat_ws(' ', role, role, 'that with', header,").replace("/ active AS raw", "/ active + CASE WHEN vacancy_id = 101 THEN 8.0::DOUBLE ELSE 0.0::DOUBLE END AS raw")
+_NEW = "'Senior Python Developer' AS role"
+
+
+@query(
+    _STAGED
+    + f""", skip AS (SELECT cv_key, round_even(active, 2) >= 0.5 AND margin >= 15.0 AS llm_skipped FROM ranked WHERE rank = 1),
+asked AS (SELECT cv_key FROM skip WHERE NOT llm_skipped AND CAST(cv_key AS BIGINT) % 3 = 0),
+cv_new AS (SELECT * REPLACE ({_NEW}), role AS header FROM cv WHERE cv_key IN (FROM asked)),
+low_new AS (SELECT * REPLACE ({_NEW}, t || ' that with senior python developer' AS t) FROM low WHERE cv_key IN (FROM asked)),
+top_new AS (SELECT * REPLACE ({_NEW}, t || ' that with senior python developer' AS t) FROM top WHERE cv_key IN (FROM asked)),
+again AS (WITH cv AS (FROM cv_new), low AS (FROM low_new), top AS (FROM top_new), {_AGAIN} SELECT * FROM ranked)
+SELECT cv_key, id AS job_id, rank::INT AS rank, score::DOUBLE AS score, classification, llm_skipped, '' AS llm_reason, '' AS inferred_skills FROM ranked JOIN skip USING (cv_key) WHERE cv_key NOT IN (FROM asked)
+UNION ALL SELECT cv_key, id, rank::INT, score::DOUBLE, classification, false, CASE WHEN vacancy_id = 101 THEN 'fits' ELSE '' END, 'with' FROM again"""
+)
 def two_stage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With an answer for every third CV, which lifts its first vacancy's score."""
     cvs = _cvs(spark, sf_dir)
@@ -242,7 +256,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as vacancy requests: flags, keys and skills made from their columns."""
     k = F.col("p_partkey")
     flag = lambda m: F.when(k % m == 0, True).when(k % m == 1, False)
-    return _table(spark, sf_dir, "part").select(
+    return catalog_tables.read_table(spark, "part", sf_dir).select(
         k.alias("id"),
         F.when(k % 5 != 0, k % 4 != 1).alias("active"),
         flag(11).alias("deleted"),

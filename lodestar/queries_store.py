@@ -9,7 +9,7 @@ from .config import alive, with_expiry
 from .functions import enrichment, text
 from .operators import catalog, prefilter, rank
 from .plans import matching
-from .queries import _REQUESTS, _STAGED, _cvs, _dimension, _requests, _results, _sql_list, _table, _vacancies, query
+from .queries import _CVS, _REQUESTS, _STAGED, _cvs, _dimension, _found, _requests, _results, _sql_list, _table, _vacancies, query
 from .sources import files, store
 from .streaming import ingest
 
@@ -212,3 +212,29 @@ def checked_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     cvs = _table(spark, sf_dir, "documents").select(k.cast("string").alias("cv_key"), F.when(k % 10 == 0, " \n ").when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, "short <!-- image -->").when(k % 5 == 2, F.concat(F.lit("<!-- image -->"), F.repeat(F.lit("word "), 20))).otherwise(F.col("text")).alias("cv_text"))
     return matching.checked(cvs).select("cv_key", "cv_error")
+
+
+#: Stand-in vacancies that state every component: id, skills, education, certification, technologies, responsibilities.
+_STATED = (
+    ("s1", ("that",), "les", "der", ("und", "zzz"), ("que", "die", "the")),
+    ("s2", (), None, "zzz", (), ("los", "node.js")),
+    ("s3", ("with", "der"), "with", None, ("c++", "the", "les"), ()),
+)
+_STATED_TERMS = sorted({t for _, s, e, c, x, r in _STATED for t in (*s, e, c, *x, *r) if t})
+
+
+@query(
+    f"""WITH {_CVS}, v AS (SELECT * FROM (VALUES {", ".join(f"('{i}', {_sql_list(s)}, {f"'{e}'" if e else 'NULL'}, {f"'{c}'" if c else 'NULL'}, {_sql_list(x)}, {_sql_list(r)})" for i, s, e, c, x, r in _STATED)}) v(id, skills, edu, cert, tech, resp)),
+f AS (SELECT cv_key, {_found("t", _STATED_TERMS)} AS found FROM low),
+h AS (SELECT cv_key, v.*, found, len(list_filter(tech, lambda k: list_contains(found, k))) AS nt, len(list_filter(resp, lambda k: list_contains(found, k))) AS nr, len(list_filter(skills, lambda k: NOT list_contains(found, k))) AS missing FROM f, v)
+SELECT cv_key, id AS job_id, CASE WHEN list_contains(found, edu) THEN 100.0 ELSE 0.0 END::DOUBLE AS education_score, CASE WHEN list_contains(found, cert) THEN 100.0 ELSE 0.0 END::DOUBLE AS certification_score,
+       coalesce(round_even(nt / nullif(len(tech), 0) * 100, 1), 0.0)::DOUBLE AS technology_score, coalesce(round_even(nr / nullif(len(resp), 0) * 100, 1), 0.0)::DOUBLE AS responsibilities_score,
+       round_even(0.15 + CASE WHEN len(skills) > 0 THEN 0.25 ELSE 0 END + CASE WHEN edu IS NOT NULL THEN 0.10 ELSE 0 END + CASE WHEN len(tech) > 0 THEN 0.10 ELSE 0 END + CASE WHEN cert IS NOT NULL THEN 0.05 ELSE 0 END + CASE WHEN len(resp) > 0 THEN 0.05 ELSE 0 END, 2)::DOUBLE AS coverage,
+       (missing + CASE WHEN NOT list_contains(found, edu) THEN 1 ELSE 0 END + CASE WHEN NOT list_contains(found, cert) THEN 1 ELSE 0 END)::INT AS n_failures FROM h"""
+)
+def component_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Education, certification, technologies and responsibilities, where vacancies state them."""
+    kinds = "id string, required_skills array<string>, education_requirements string, certifications string, technologies array<string>, responsibilities array<string>"
+    rows = spark.createDataFrame([(i, list(s), e, c, list(x), list(r)) for i, s, e, c, x, r in _STATED], kinds)
+    found = matching.match_rules(_cvs(spark, sf_dir), catalog.conform(rows))
+    return found.select("cv_key", "job_id", "education_score", "certification_score", "technology_score", "responsibilities_score", "coverage", F.size("mandatory_failures").alias("n_failures"))

@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from lodestar.sources import files, store, versions
+from lodestar.sources import catalog_tables, files, store, versions
 from lodestar.streaming import ingest
 
 PDF = b"%PDF-1.4\n/Type /Page\n" + b"(Skills: Python and many other long words of text) Tj\n" * 5
@@ -121,3 +121,18 @@ def test_store_lookups(spark, tmp_path):
     assert [r.cv_key for r in store.newest_first(back).collect()] == ["cv_a", "cv_ab"]
     log = spark.createDataFrame([(k, f"x{k}") for k in range(9)], "timestamp int, v string")
     assert [r.timestamp for r in store.tail(log, 3).collect()] == [6, 7, 8]
+
+
+def test_catalogue_tables(spark, tmp_path):
+    assert catalog_tables.healthy(spark) and catalog_tables.read_table(spark, "requests") is None
+    spark.range(3).write.parquet(str(tmp_path / "requests.parquet"))
+    assert catalog_tables.read_table(spark, "requests", str(tmp_path)).count() == 3
+    catalog_tables.create_config_table(spark, "match_config_kv")
+    try:
+        catalog_tables.create_config_table(spark, "match_config_kv")
+        assert catalog_tables.find_tables(spark, "CONFIG_K") == ["match_config_kv"]
+        assert catalog_tables.columns_of(spark, "match_config_kv") == [("key", "string"), ("value", "string"), ("updated_at", "timestamp")]
+    finally:
+        spark.sql("DROP TABLE match_config_kv")
+    stamp = spark.range(1).select(store.utc_now().alias("t")).first().t
+    assert len(stamp) == 32 and stamp.endswith("+00:00") and stamp[10] == "T"
