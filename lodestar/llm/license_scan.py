@@ -15,6 +15,7 @@ Built-in expressions only; templates are a list of bounded size, broadcast as su
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def grams_of(text: str) -> set[tuple[str, ...]]:
 def markers_of(templates: dict[str, str], least: float = CONTAINMENT) -> list[str]:
     """Words of which every window that holds ``least`` of a template's shingles has one.
 
-    For each template the words are taken that stand in most of its shingles, longer ones first, until
+    For each template long words are taken that stand in many of its shingles, since long ones are rare, until
     too few shingles are left without a marker. A template without a shingle is left out.
     """
     found: set[str] = set()
@@ -87,7 +88,7 @@ def markers_of(templates: dict[str, str], least: float = CONTAINMENT) -> list[st
         rest = [g for g in grams if not found.intersection(g)]
         while grams and len(rest) >= least * len(grams):
             words = {w for g in rest for w in g}
-            best = max(words, key=lambda w: (len(w) * sum(w in g for g in rest), w))  # noqa: B023
+            best = max(words, key=lambda w: (len(w) ** 3 * sum(w in g for g in rest), w))  # noqa: B023
             found.add(best)
             rest = [g for g in rest if best not in g]
     return sorted(found)
@@ -126,9 +127,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     if sum(len(grams_of(t)) for t in templates.values()) > MOST_SHINGLES:
         raise ValueError(f"templates may hold {MOST_SHINGLES} shingles at most, as they are broadcast")
     text, markers = F.col("text").cast("string"), markers_of(templates, least)
-    marked = F.lit(False)
-    for m in markers:
-        marked = marked | F.contains(F.lower(text), F.lit(m))
+    marked = let(F.lower(text), lambda low: reduce(lambda a, m: a | F.contains(low, F.lit(m)), markers, F.lit(False)))
     rows = docs.where(marked).select(F.col("doc_id").cast("long").alias("doc_id"), _tokens(text).alias("w"))
     spots = F.filter(F.transform("w", lambda x, k: F.when(x.isin(*markers) if markers else F.lit(False), k)), lambda k: k.isNotNull())
     windows = [F.array().cast("array<struct<size:int,start:int,span:int>>")]
