@@ -12,7 +12,9 @@ such a string at all:
    window has as many on one side at least. Only these contexts' texts are gathered, by anchor, side
    and a hash of those bytes, and their suffixes sorted: suffixes smaller than their successors
    directly, the others induced by a scan over buckets. Where neighbours have a common prefix of
-   ``length`` bytes, all but the first start go.
+   ``length`` bytes, all but the first start go. Where very many contexts agree on a side, as at the
+   border of a passage that many documents share, their windows are gathered in ranges instead, each
+   by a hash of all bytes that its windows have in common, and equal ones are told in every task.
 
 Spans come back by document and are cut out of the text.
 """
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 _ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("a", "<i4"), ("n", "<i2"), ("left", "u1"), ("right", "u1")])
 #: Bytes of text whose contexts are packed together, bytes of text for each bucket of contexts, and rows of repeated ids that are broadcast.
 _TOGETHER, _BUCKET_BYTES, _FEW = 8 << 20, 16 << 20, 100_000
+#: Contexts of one anchor and side from which on they are gathered by more bytes, and windows that are gathered together then.
+_HOT, _RANGE = 512, 9
 
 
 def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -170,18 +175,22 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(_ROW.itemsize, -1).T).view(_ROW).ravel()
 
 
-def _shared(keys: np.ndarray, usable: np.ndarray) -> np.ndarray:
-    """Which of the usable ``keys`` occur twice or more."""
-    out = np.zeros(len(keys), dtype=bool)
+def _held(keys: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """How often each usable key occurs, 0 for others."""
+    out = np.zeros(len(keys), dtype=np.int64)
     at = np.flatnonzero(usable)
     if len(at):
         _, inverse, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
-        out[at] = counts[inverse] > 1
+        out[at] = counts[inverse]
     return out
 
 
-def _decide(length: int):
-    """From the rows of each bucket, in order of buckets: spans that go, and contexts that must be compared."""
+def _decide(length: int, hot: int):
+    """From the rows of each bucket, in order of buckets: spans that go, and contexts that must be compared.
+
+    The last two bits of a context's ``h`` say that it isn't 0 and of which side it is; of ``hot``
+    contexts or more of one group, ``n`` is negative.
+    """
 
     def close(blobs: list[tuple[bool, bytes]]) -> pa.RecordBatch:
         known = [_unpacked(b) for first, b in blobs if not first]
@@ -189,16 +198,18 @@ def _decide(length: int):
         rows, later = _by_context(np.concatenate(fresh)) if fresh else (np.zeros(0, _ROW), np.zeros(0, bool))
         alone = rows[~later]
         gone = np.concatenate([rows[later], *known])
-        taken, groups = [gone], [np.zeros(len(gone), np.uint64)]
+        taken, groups, many = [gone], [np.zeros(len(gone), np.uint64)], [np.zeros(len(gone), bool)]
         for k, side in enumerate(("left", "right"), 1):
             with np.errstate(over="ignore"):
-                group = mix(mix(alone["h"] + np.uint64(k)) + alone[side].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-            need = _shared(group, alone[side] > 0)
+                group = mix(mix(alone["h"] + np.uint64(k)) + alone[side].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            held = _held(group, alone[side] > 0)
+            need = held > 1
             taken.append(alone[need])
-            groups.append(group[need])
+            groups.append((group[need] & ~np.uint64(3)) | np.uint64(2 * k - 1))
+            many.append(held[need] >= hot)
         doc, a, n = (np.concatenate([x[c] for x in taken]) for c in ("doc", "a", "n"))
-        h = np.concatenate(groups)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a.astype(np.int64)), pa.array(n.astype(np.int32) + np.int32(length - 1)), pa.array(h.view(np.int64))], names=["doc", "a", "n", "h"])
+        h, sign = np.concatenate(groups), np.where(np.concatenate(many), -1, 1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a.astype(np.int64)), pa.array((n.astype(np.int32) + np.int32(length - 1)) * sign), pa.array(h.view(np.int64))], names=["doc", "a", "n", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -215,26 +226,69 @@ def _decide(length: int):
     return run
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contexts that must be compared."""
-    for batch in batches:
+def _anchor(ctx: bytes, length: int) -> int:
+    """Where the anchor lies that all windows of a context share."""
+    data = np.frombuffer(ctx[:length], dtype=np.uint8)
+    with np.errstate(over="ignore"):
+        up, down = _powers(length + 1)[0]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
+        return int(np.argmin(mix((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(data) - ANCHOR + 1]) >> np.uint64(_POSITION)))
+
+
+def _ranges(h: int, ctx: bytes, length: int) -> Iterator[tuple[int, int, int]]:
+    """(key, begin, end) of a context's windows on the side of ``h``, in ranges of their place about the anchor.
+
+    The key is a hash of the bytes that all windows of such a range have in common.
+    """
+    p, side = _anchor(ctx, length), (length - ANCHOR + 1) // 2
+    low, high = (side, length - ANCHOR) if (h & 3) == 1 else (0, length - ANCHOR - side)
+    for a in range(low, high + 1, _RANGE):
+        b = min(a + _RANGE, high + 1)  # windows that begin a to b - 1 bytes before the anchor
+        first, last = max(0, p - b + 1), min(p - a, len(ctx) - length)
+        if first <= last:
+            core = hashlib.blake2b(b"%d %d " % (h, a) + ctx[p - a : p - b + 1 + length], digest_size=8).digest()
+            yield int.from_bytes(core, "little", signed=True) or 1, first, last + length
+
+
+def _contexts(length: int, most: int = 50_000):
+    """The bytes of the contexts that must be compared; of a hot group in ranges, of which equal ones go but the first of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for doc, base, text, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            raw = (text or "").encode("utf-8", "replace")
-            for x in own:
-                at = x["a"] - base
-                if 0 <= at < len(raw):
-                    out.append((x["h"], doc, x["a"], raw[at : at + x["n"]]))
-            if len(out) > 4000:
-                yield _batch(out)
-                out = []
+        first: dict[tuple[int, bytes], tuple[int, int]] = {}
+        for batch in batches:
+            for doc, base, text, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                raw = (text or "").encode("utf-8", "replace")
+                for x in own:
+                    at, n, h = x["a"] - base, abs(x["n"]), x["h"]
+                    if not 0 <= at < len(raw):
+                        continue
+                    ctx = raw[at : at + n]
+                    if x["n"] > 0:
+                        out.append((h, doc, x["a"], 0, ctx))
+                        continue
+                    for key, begin, end in _ranges(h, ctx, length):
+                        place, known = (doc, x["a"] + begin), first.get((key, ctx[begin:end]))
+                        if known is None or place < known:
+                            first[key, ctx[begin:end]] = place
+                        if known is not None and known != place:
+                            out.append((key, *max(known, place), end - begin, None))
+                if len(out) > 4000:
+                    yield _batch(out)
+                    out = []
+                if len(first) > most:
+                    yield _batch([(key, *place, 0, ctx) for (key, ctx), place in first.items()])
+                    first = {}
+        out += [(key, *place, 0, ctx) for (key, ctx), place in first.items()]
         if out:
             yield _batch(out)
 
+    return run
+
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "doc", "a", "ctx"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "doc", "a", "n", "ctx"])
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -371,7 +425,12 @@ def _compare(length: int, most: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, anchor = [], 0, None
         for batch in batches:
-            for h, doc, a, ctx in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            sure = batch.filter(pc.is_null(batch.column("ctx")))
+            if sure.num_rows:  # spans that are known to go
+                yield pa.RecordBatch.from_arrays([sure.column(k) for k in ("doc", "a", "n")], names=["doc", "a", "n"])
+            for h, doc, a, _, ctx in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if ctx is None:
+                    continue
                 if h != anchor and size >= most:
                     yield spans(held)
                     held, size = [], 0
@@ -425,16 +484,16 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
     return joined.select("doc", F.coalesce("_base", F.lit(0)).alias("base"), "text"), chars
 
 
-def repeated_contexts(texts: DataFrame, chars: int, length: int = 100) -> DataFrame:
-    """(doc, a, n, h): with h = 0 a byte span that goes, otherwise a context to compare with those of equal h."""
+def repeated_contexts(texts: DataFrame, chars: int, length: int = 100, hot: int = _HOT) -> DataFrame:
+    """(doc, a, n, h): with h = 0 a byte span that goes, otherwise a context to compare with those of equal h (n < 0: in ranges)."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * parts, -(-chars // _BUCKET_BYTES))
     rows = mapped(texts.select("doc", "base", "text"), _scan(length, buckets), "bucket long, first boolean, rows binary")
     dealt = rows.repartition(-(-buckets // 2), "bucket").sortWithinPartitions("bucket")
-    return mapped(dealt, _decide(length), "doc long, a long, n int, h long")
+    return mapped(dealt, _decide(length, hot), "doc long, a long, n int, h long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = _HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each document.
 
     A null text is empty. Documents of fewer than ``length`` bytes lose nothing, nor do rows without an
@@ -442,9 +501,9 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     of one document, in the order of a hash, and no match crosses from one into another.
     """
     texts, chars = _placed(docs)
-    decided = cut(repeated_contexts(texts, chars, length))
+    decided = cut(repeated_contexts(texts, chars, length, hot))
     asked = texts.join(decided.where("h <> 0").groupBy("doc").agg(F.collect_list(F.struct("a", "n", "h")).alias("own")), "doc").select("doc", "base", "text", "own")
-    contexts = mapped(asked, _contexts, "h long, doc long, a long, ctx binary")
+    contexts = mapped(asked, _contexts(length), "h long, doc long, a long, n long, ctx binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (2 * _BUCKET_BYTES)))
     compared = mapped(contexts.repartition(parts, "h").sortWithinPartitions("h"), _compare(length), "doc long, a long, n long")
     sure = decided.where("h = 0").select("doc", "a", F.col("n").cast("long").alias("n"))

@@ -495,15 +495,16 @@ def test_similar_windows_are_within_the_radius():
     assert far / n < 0.005
 
 
-@pytest.mark.parametrize("length", [20, 100])
-def test_suffix_dedup_equals_brute_force(spark, length):
+@pytest.mark.parametrize(("length", "hot"), [(20, 512), (100, 512), (100, 2), (60, 3)])
+def test_suffix_dedup_equals_brute_force(spark, length, hot):
     rng = random.Random(length)
     bits = [prose(rng, rng.randint(5, 60)) for _ in range(8)]
     texts = [" ".join(rng.choice(bits) if rng.random() < 0.5 else prose(rng, 20) for _ in range(rng.randint(1, 5))) for _ in range(60)]
     texts += ["é" * 150, "é" * 150, "ab" * 200, texts[0]]
+    texts += [prose(rng, rng.randint(0, 4)) + bits[0] + bits[1] + prose(rng, rng.randint(0, 9)) for _ in range(25)]
     length = max(length, 40)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(rows, length).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(rows, length, hot).collect()}
     seen = set()
     for k, text in enumerate(texts):
         raw = text.encode()
