@@ -5,8 +5,8 @@ counts. A term weighs (1 + log of its count) times its inverse frequency among a
 that lean to label 1 weigh up to three times as much as others. Labelled examples are kept in an inverted
 index: rare terms as lists of examples, frequent ones as blocks of 64 examples with the blocks' greatest
 weights. A query adds up its rare terms first; with the greatest weights of the others that bounds each
-block's cosines, blocks are visited from the most promising on, and the search ends where no bound can
-beat the k-th best cosine, so neighbours are exact (cosines in single precision). The neighbours vote
+block's cosines, blocks are visited from the most promising on, and only where the bound can beat the
+k-th best cosine, so neighbours are exact (cosines in single precision). The neighbours vote
 with weights that grow with similarity, and the votes are calibrated on the examples themselves, each
 scored without itself.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,38 +76,40 @@ class Index:
         self.places, self.weights = place[~dense][order].astype(np.int32), weight[~dense][order]
         self.starts = np.searchsorted(term[~dense][order], np.arange(n_terms + 1)).astype(np.int32)
 
-    def nearest(self, query: Vector, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the ``k`` nearest examples but ``skip``; equal cosines in order of position."""
-        terms, weights = query[0], query[1].astype(np.float32)
-        number = self.number[terms]
-        rare, frequent = number < 0, number[number >= 0]
-        first = self.starts[terms[rare]]
-        counts = self.starts[terms[rare] + 1] - first
-        at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        sums = np.bincount(self.places[at], np.repeat(weights[rare], counts) * self.weights[at], minlength=self.blocks * BLOCK).astype(np.float32)
-        sums[self.n :] = -np.inf
-        if skip >= 0:
-            sums[skip] = -np.inf
-        known = np.partition(sums, -k)[-k] if k < len(sums) else -np.inf  # the k-th best cosine is no less
-        grid, own = sums.reshape(self.blocks, BLOCK), weights[~rare]
-        reach = grid.max(axis=1) + own @ self.greatest[frequent] * np.float32(1 + 1e-5) + np.float32(1e-6)
-        turn = np.argsort(-reach, kind="stable")
-        place, cosine = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
-        for a in range(0, self.blocks, 8):
-            some = turn[a : a + 8]
-            if reach[some[0]] < known:
-                break
-            exact = grid[some] + np.tensordot(own, self.dense[np.ix_(some, frequent)], axes=([0], [1]))
-            place = np.concatenate([place, (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()])
-            cosine = np.concatenate([cosine, exact.ravel()])
-            if len(cosine) > k:
-                least = np.partition(cosine, -k)[-k]
-                good = cosine >= least
-                place, cosine, known = place[good], cosine[good], max(known, least)
-        good = np.isfinite(cosine)
-        place, cosine = place[good], cosine[good]
-        best = np.lexsort((place, -cosine))[:k]
-        return place[best], cosine[best].astype(float)
+    def nearest(self, queries: list[Vector], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Positions and cosines of the ``k`` nearest examples of each query, but that of ``skip``; equal cosines in order of position.
+
+        A block is worked out for those queries alone whose k-th best cosine so far its bound can beat.
+        """
+        n = self.blocks * BLOCK
+        dense, sums = np.zeros((len(queries), self.greatest.shape[0]), dtype=np.float32), np.empty((len(queries), n), dtype=np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            number, weights = self.number[terms], weights.astype(np.float32)
+            rare = number < 0
+            dense[i, number[~rare]] = weights[~rare]
+            first = self.starts[terms[rare]]
+            counts = self.starts[terms[rare] + 1] - first
+            at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            sums[i] = np.bincount(self.places[at], np.repeat(weights[rare], counts) * self.weights[at], minlength=n)
+            if skip is not None:
+                sums[i, skip[i]] = -np.inf
+        sums[:, self.n :] = -np.inf
+        kth = lambda x: np.partition(x, -k, axis=1)[:, -k] if k < n else np.full(len(x), -np.inf)
+        known = kth(sums)  # no k-th best cosine is less
+        reach = sums.reshape(len(queries), self.blocks, BLOCK).max(axis=2) + dense @ self.greatest * np.float32(1 + 1e-5) + np.float32(1e-6)
+        exact = np.full_like(sums, -np.inf)
+        for turn, b in enumerate(np.argsort(-reach.sum(axis=0, where=np.isfinite(reach)), kind="stable").tolist()):
+            if turn % 12 == 11:
+                known = np.maximum(known, kth(exact))
+            asked, own = np.flatnonzero(reach[:, b] >= known), slice(b * BLOCK, b * BLOCK + BLOCK)
+            if len(asked):
+                exact[asked, own] = sums[asked, own] + dense[asked] @ self.dense[b]
+        out = []
+        for row, least in zip(exact, kth(exact)):
+            place = np.flatnonzero((row >= least) & np.isfinite(row))
+            best = place[np.lexsort((place, -row[place]))[:k]]
+            out.append((best, row[best].astype(float)))
+        return out
 
 
 def vote(labels: np.ndarray, cosine: np.ndarray) -> float:
@@ -130,25 +133,52 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([(p[2] + p[3]) / 2 for p in pools]), np.array([(p[0] + 0.5 * rate) / (p[1] + 0.5) for p in pools])
 
 
-class Counter:
+class Terms:
     """Terms of texts by number, with those of up to ``cache`` words kept in memory."""
 
     def __init__(self, terms: list[str], cache: int = 200_000):
-        self.number = {t: k for k, t in enumerate(terms)}
+        self.whole = {t: k for k, t in enumerate(terms) if t[-1] != "*"}
+        self.begin = {t[:-1]: k for k, t in enumerate(terms) if t[-1] == "*"}
         self.words: dict[str, list[int]] = {}
         self.cache = cache
 
+    def _learn(self, word: str) -> list[int]:
+        """The known terms among ``word_terms``; where a beginning is unknown, so are longer ones."""
+        out = []
+        runs = [word] if word.isalpha() else _LETTERS.findall(word)
+        for run in runs:
+            known = self.whole.get(run)
+            if known is not None:
+                out.append(known)
+            for k in BEGINNINGS:
+                known = self.begin.get(run[:k]) if len(run) > k else None
+                if known is None:
+                    break
+                out.append(known)
+        if len(self.words) >= self.cache:
+            self.words.clear()
+        self.words[word] = out = list(set(out)) if len(runs) > 1 else out
+        return out
+
+    def held(self, text: str) -> list[int]:
+        """The known terms of a whole text, in no order."""
+        get, learn, out = self.words.get, self._learn, set()
+        for w in set(text.lower().split()):
+            ids = get(w)
+            out.update(learn(w) if ids is None else ids)
+        return list(out)
+
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of a whole text, in order, and how often each occurs."""
-        known, out = self.words, []
-        if len(known) > self.cache:
-            known.clear()
-        for w in (text or "").lower().split():
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = list({self.number[t] for t in word_terms(w) if t in self.number})
-            out += ids
-        return np.unique(np.array(out, dtype=np.int64), return_counts=True)
+        get, learn, ids, times = self.words.get, self._learn, [], []
+        for w, n in Counter((text or "").lower().split()).items():
+            own = get(w)
+            if own is None:
+                own = learn(w)
+            ids += own
+            times += [n] * len(own)
+        terms, place = np.unique(np.array(ids, dtype=np.int32), return_inverse=True)
+        return terms, np.bincount(place, times, minlength=len(terms))
 
 
 def _unit(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> Vector:
@@ -193,19 +223,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 3_000, k:
         return fitted
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, total = Counter(terms), np.zeros(len(terms), dtype=np.int64)
+        known, total = Terms(terms), np.zeros(len(terms), dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total[counter.counts(text)[0]] += 1
+                total[known.held(text)] += 1
         at = np.flatnonzero(total)
         for a in range(0, len(at), 10_000):
             some = at[a : a + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["t", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(terms)
+        known = Terms(terms)
         for batch in batches:
-            rows = [counter.counts(t) for t in batch.column(1).to_pylist()]
+            rows = [known.counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t for t, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.list_(pa.int32()))], names=["doc_id", "y", "t", "c"])
 
     in_all = mapped(texts.select("text"), frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
@@ -222,13 +252,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 3_000, k:
     fitted["shared"] = shared = docs.sparkSession.sparkContext.broadcast({"terms": terms, "weights": weights, "index": index, "examples": examples})
 
     def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counter = shared.value["index"], Counter(shared.value["terms"])
+        index, known = shared.value["index"], Terms(shared.value["terms"])
         place = {d: a for a, d in enumerate(shared.value["examples"])}
         for batch in batches:
-            votes = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                near, cosine = index.nearest(_unit(*counter.counts(text), shared.value["weights"]), k, place[doc_id])
-                votes.append(vote(index.labels[near], cosine))
+            queries = [_unit(*known.counts(t), shared.value["weights"]) for t in batch.column(1).to_pylist()]
+            near = index.nearest(queries, k, [place[d] for d in batch.column(0).to_pylist()])
+            votes = [vote(index.labels[at], cosine) for at, cosine in near]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(2)], names=["vote", "y"])
 
     votes = mapped(joined, without_itself, "vote double, y int").toPandas()
@@ -245,16 +274,16 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = fitted["shared"].value if fitted["shared"] else {"terms": [], "index": None}
-        counter, index = Counter(known["terms"]), known["index"]
-        evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
+        shared = fitted["shared"].value if fitted["shared"] else {"terms": [], "weights": np.zeros(0)}
+        known, evidence = Terms(shared["terms"]), pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
         for batch in batches:
-            scores, shown = [], []
-            for text in batch.column(1).to_pylist():
-                terms, counts = counter.counts(text)
-                near, cosine = index.nearest(_unit(terms, counts, known["weights"]), fitted["k"]) if index is not None and len(terms) else ([], [])
-                scores.append(float(np.interp(vote(index.labels[near], cosine) if len(near) else 0.0, fitted["cal_x"], fitted["cal_y"])))
-                shown.append([{"doc_id": known["examples"][a], "cosine": c} for a, c in zip(near[:3], cosine[:3])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(shown, evidence)], names=["doc_id", "score", "evidence"])
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a in range(0, len(texts), 64):
+                queries = [_unit(*known.counts(t), shared["weights"]) for t in texts[a : a + 64]]
+                asked = [k for k, (terms, _) in enumerate(queries) if len(terms)]
+                found = dict(zip(asked, shared["index"].nearest([queries[k] for k in asked], fitted["k"]))) if asked else {}
+                votes = [vote(shared["index"].labels[found[k][0]], found[k][1]) if k in found else 0.0 for k in range(len(queries))]
+                shown = [[{"doc_id": shared["examples"][p], "cosine": c} for p, c in zip(found[k][0][:3], found[k][1][:3])] if k in found else [] for k in range(len(queries))]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, 64), pa.array(np.interp(votes, fitted["cal_x"], fitted["cal_y"]), pa.float64()), pa.array(shown, evidence)], names=["doc_id", "score", "evidence"])
 
     return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")

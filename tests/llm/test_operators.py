@@ -270,8 +270,9 @@ def test_block_max_neighbours_are_exact():
         terms, weights = vector(30)
         exact = dense[:, terms] @ weights
         skip = int(np.argmax(exact)) if k % 2 else -1
-        exact[skip : skip + 1] = -1 if skip >= 0 else exact[skip : skip + 1]
-        at, cosine = index.nearest((terms, weights), 7, skip)
+        if skip >= 0:
+            exact[skip] = -1
+        at, cosine = index.nearest([vector(5), (terms, weights)], 7, [-1, skip])[1] if skip >= 0 else index.nearest([(terms, weights)], 7)[0]
         assert np.allclose(cosine, np.sort(exact)[::-1][:7], atol=1e-5) and np.allclose(exact[at], cosine, atol=1e-5)
 
 
