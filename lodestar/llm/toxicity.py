@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples in TF-IDF space.
 
-Terms are a text's words and the beginnings of its words; every term that two labelled examples share
-counts. A term weighs (1 + log of its count) times its inverse frequency among all documents, and terms
+Terms are a text's words, all of those that two labelled examples share, and such beginnings of words as
+lean to label 1. A term weighs (1 + log of its count) times its inverse frequency among all documents, and terms
 that lean to label 1 weigh up to three times as much as others. Labelled examples are kept in an inverted
 index: rare terms as lists of examples, frequent ones as blocks of 64 examples with the blocks' greatest
 weights. A query adds up its rare terms first; with the greatest weights of the others that bounds each
@@ -143,7 +143,7 @@ class Terms:
         self.cache = cache
 
     def _learn(self, word: str) -> list[int]:
-        """The known terms among ``word_terms``; where a beginning is unknown, so are longer ones."""
+        """The known terms among ``word_terms``."""
         out = []
         runs = [word] if word.isalpha() else _LETTERS.findall(word)
         for run in runs:
@@ -152,9 +152,8 @@ class Terms:
                 out.append(known)
             for k in BEGINNINGS:
                 known = self.begin.get(run[:k]) if len(run) > k else None
-                if known is None:
-                    break
-                out.append(known)
+                if known is not None:
+                    out.append(known)
         if len(self.words) >= self.cache:
             self.words.clear()
         self.words[word] = out = list(set(out)) if len(runs) > 1 else out
@@ -165,20 +164,22 @@ class Terms:
         get, learn, out = self.words.get, self._learn, set()
         for w in set(text.lower().split()):
             ids = get(w)
-            out.update(learn(w) if ids is None else ids)
+            if ids is None:
+                ids = learn(w)
+            if ids:
+                out.update(ids)
         return list(out)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The known terms of a whole text, in order, and how often each occurs."""
-        get, learn, ids, times = self.words.get, self._learn, [], []
+        """The known terms of a whole text and how often each occurs."""
+        get, learn, out = self.words.get, self._learn, {}
         for w, n in Counter((text or "").lower().split()).items():
             own = get(w)
             if own is None:
                 own = learn(w)
-            ids += own
-            times += [n] * len(own)
-        terms, place = np.unique(np.array(ids, dtype=np.int32), return_inverse=True)
-        return terms, np.bincount(place, times, minlength=len(terms))
+            for t in own:
+                out[t] = out.get(t, 0) + n
+        return np.fromiter(out, dtype=np.int32, count=len(out)), np.fromiter(out.values(), dtype=np.int64, count=len(out))
 
 
 def _unit(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> Vector:
@@ -217,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 3_000, k:
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["t", "a", "b"])
 
     seen = mapped(joined, held, "t string, a long, b long").groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 2").toPandas().sort_values("t")
+    seen = seen[~seen.t.str.endswith("*") | (_lean(seen.a.to_numpy(float), seen.b.to_numpy(float), good, bad) > 0)]
     terms = seen.t.tolist()
     fitted = {"shared": None, "k": k, "cal_x": np.array([0.0]), "cal_y": np.array([0.0])}
     if not terms:
