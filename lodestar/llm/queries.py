@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, line_dedup, order_minhash, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import alignment, decontamination, language_id, license_scan, line_dedup, order_minhash, packing, quality_classifier, quality_rules, resampling, suffix_dedup, token_files, toxicity
 from .common import held_out, table
+from .segments import folder
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.digest(token_files.read_tokens(spark, path))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, buckets=10_000, longest=1, least_words=20, seed=2024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -73,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_token_files": op12_token_files,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE_SQL,
@@ -80,4 +98,5 @@ ORACLE: dict[str, str] = {
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op9_license_scan": license_scan.oracle_sql(),
+    "op13_importance_resampling": resampling.ORACLE_SQL,
 }
