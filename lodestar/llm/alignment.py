@@ -69,6 +69,16 @@ class Pair:
         return [ids[len(self.line) :] for ids in self.b.encode(["\n" + s for s in segments], num_threads=1)]
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, as higher bytes are mostly zero."""
+    return pa.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), _ZIP, asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec=_ZIP, asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
 @lru_cache(maxsize=1)
 def pair(a: str, b: str) -> Pair:
     """A worker's tokenizers, kept for its next tasks."""
@@ -111,7 +121,7 @@ def coded_blocks(docs: DataFrame, a: str, b: str, most: int = 1 << 25) -> DataFr
                     counts[: len(codes)] += np.bincount(own, minlength=len(codes)) if 8 * len(own) > len(codes) else 0
                     if 8 * len(own) <= len(codes):
                         np.add.at(counts, own, 1)
-                    packed, n = pa.compress(own.tobytes(), _ZIP, asbytes=True), len(own)
+                    packed, n = _packed(own), len(own)
                     held += len(text)
                 rows.append(((part << 32) + number, doc_id, packed, n))
                 if held >= most:
@@ -195,7 +205,7 @@ def _composed(docs: pa.Table, entries: pa.Table) -> pa.Table:
     groups, numbers = table.column("groups").to_pylist(), [table.column(c).to_numpy() for c in NUMBERS]
     rows = []
     for doc_id, packed, n in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "codes", "n_codes"))):
-        codes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec=_ZIP, asbytes=True), dtype="<u4")
+        codes = _unpacked(packed, n)
         sha = hashlib.sha256()
         for at in range(0, n, 1 << 16):
             sha.update((";" * (at > 0) + ";".join([groups[k] for k in codes[at : at + (1 << 16)].tolist()])).encode())
