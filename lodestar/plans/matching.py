@@ -12,7 +12,7 @@ from ..operators.catalog import conform
 from ..operators.prefilter import all_pairs, prefilter
 from ..operators.rank import analyses, ranked
 from ..operators.score import TEXTS, score_pairs, with_features
-from ..sources.store import reanalyzed
+from ..sources.store import originals, reanalyzed
 
 
 def as_cvs(cvs: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def analyze(cvs: DataFrame, vacancies: DataFrame, config: MatchConfig = MatchCon
 
 def reanalyze(results: DataFrame, ids: DataFrame, vacancies: DataFrame, config: MatchConfig = MatchConfig(), answers: DataFrame | None = None, enricher: Enricher | None = None) -> DataFrame:
     """Enriched copies of the chosen results (``ids``: cv_key), analysed anew from their texts; results that are such copies stay out."""
-    chosen = results.where(~F.coalesce("enriched", F.lit(False))).join(ids, "cv_key", "left_semi")
+    chosen = originals(results).join(ids, "cv_key", "left_semi")
     cvs = chosen.select("cv_key", F.col("markdown").alias("cv_text"))
     nested = analyses(cvs, match_two_stage(cvs, vacancies, config, answers, enricher))
     fresh = nested.select("cv_key", F.struct(*[c for c in nested.columns if c != "cv_key"]).alias("match_analysis"))

@@ -10,7 +10,7 @@ from .functions import enrichment, text
 from .operators import catalog, prefilter, rank
 from .plans import matching
 from .queries import _CVS, _REQUESTS, _STAGED, _cvs, _dimension, _found, _requests, _results, _sql_list, _table, _vacancies, query
-from .sources import files, store
+from .sources import files, store, versions
 from .streaming import ingest
 
 
@@ -136,6 +136,24 @@ def preferred_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.prefer_enriched(rows.unionByName(copies)).select("cv_key", "enriched")
 
 
+@query(
+    """SELECT 'cv_' || d.doc_id AS cv_key, CASE WHEN l.doc_id IS NULL THEN 1 ELSE 2 END::BIGINT AS versions, l.doc_id IS NOT NULL AS enriched,
+    CASE WHEN l.doc_id IS NULL THEN 'first' ELSE 'second' END AS job_title, d.text AS markdown
+    FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id"""
+)
+def stored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results stored, those with a label analysed again and stored beside their originals, and all read back: the preferred version of each."""
+    path, analysis = versions.scratch(spark), lambda title: F.struct(F.lit(title).alias("job_title")).alias("match_analysis")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    key = F.concat(F.lit("cv_"), F.col("doc_id")).alias("cv_key")
+    store.write_results(docs.select(key, F.col("text").alias("markdown"), analysis("first")), path)
+    ids = labels.select(key).distinct()
+    store.write_results(store.reanalyzed(store.read_results(spark, path), ids, ids.select("cv_key", analysis("second"))), path)
+    stored = store.read_results(spark, path)
+    counts = stored.groupBy("cv_key").agg(F.count("*").alias("versions"))
+    return store.prefer_enriched(stored).join(counts, "cv_key").select("cv_key", "versions", "enriched", F.col("match_analysis.job_title").alias("job_title"), "markdown")
+
+
 _FILES = "f AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'a.txt' WHEN 1 THEN 'noext' ELSE doc_id || CASE WHEN doc_id % 8 < 5 THEN '.pdf' ELSE '.DOCX' END END AS name, CASE doc_id % 8 WHEN 2 THEN '' WHEN 3 THEN '%PDF-' || text WHEN 4 THEN text WHEN 5 THEN 'PK' || chr(3) || chr(4) || text WHEN 6 THEN '%PDF-' ELSE 'x' END AS content FROM documents)"
 
 

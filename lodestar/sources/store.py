@@ -9,32 +9,63 @@ from ..functions.text import or_null
 from . import versions
 
 
+#: A result and its enriched copy are two versions of one scan.
+KEY = ["cv_key", "enriched"]
+
+
+def _is_copy(results: DataFrame) -> Column:
+    return F.coalesce("enriched", F.lit(False)) if "enriched" in results.columns else F.lit(False)
+
+
+def originals(results: DataFrame) -> DataFrame:
+    """Results that aren't enriched copies."""
+    return results.where(~_is_copy(results)) if "enriched" in results.columns else results
+
+
+def name_of(results: DataFrame) -> Column:
+    """A result's name: its key, and for an enriched copy a suffix."""
+    return F.when(_is_copy(results), F.concat("cv_key", F.lit("_enriched"))).otherwise(F.col("cv_key")) if "enriched" in results.columns else F.col("cv_key")
+
+
 def write_results(results: DataFrame, path: str) -> None:
-    """Add or replace results by cv_key; they may have been computed from the store itself."""
-    versions.append(results, path)
+    """Add or replace results by cv_key and ``enriched`` (false where missing); they may have been computed from the store itself."""
+    versions.append(results.withColumn("enriched", _is_copy(results)), path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """All stored results, the newest of each cv_key; of JSON documents unreadable ones are skipped."""
+    """All stored results, the newest of each cv_key, original or enriched; of JSON documents unreadable ones are skipped."""
     if path.rstrip("/").endswith("json"):
         rows = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
         return rows.where(F.col("_corrupt").isNull()).drop("_corrupt") if "_corrupt" in rows.columns else rows
-    found = versions.read(spark, path, "cv_key")
+    found = versions.read(spark, path, KEY)
     return spark.read.parquet(path) if found is None else found
 
 
+def read_result(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The stored result of a name, from the one bucket that can hold it."""
+    keys = spark.createDataFrame([(key.removesuffix(".json").removesuffix("_enriched"),), (key.removesuffix(".json"),)], "cv_key string")
+    found = versions.read(spark, path, KEY, only=versions.buckets_of(spark, path, keys))
+    if found is None:
+        raise ValueError(f"no results are stored at {path}")
+    return lookup(found, key)
+
+
 def compact_results(spark: SparkSession, path: str) -> None:
-    versions.compact(spark, path, "cv_key")
+    versions.compact(spark, path, KEY)
 
 
 def lookup(results: DataFrame, key: str) -> DataFrame:
-    """The result of a key, with or without its file extension; keys with a path in them find nothing."""
+    """The result of a key or name, with or without its file extension; names with a path in them find nothing.
+
+    A key stands for the original, and for the enriched copy only where that is stored alone.
+    """
     bare = key.removesuffix(".json")
-    return results.where(F.lit("/" not in bare and ".." not in bare) & (F.col("cv_key") == bare))
+    found = results.where(F.lit("/" not in bare and ".." not in bare) & ((F.col("cv_key") == bare) | (name_of(results) == bare)))
+    return found.orderBy(_is_copy(results)).limit(1)
 
 
 def lookup_containing(results: DataFrame, part: str) -> DataFrame:
-    return results.where(F.contains("cv_key", F.lit(part)))
+    return results.where(F.contains(name_of(results), F.lit(part)))
 
 
 def exists(results: DataFrame, key: str) -> bool:
@@ -42,9 +73,9 @@ def exists(results: DataFrame, key: str) -> bool:
 
 
 def detail(results: DataFrame, key: str) -> DataFrame:
-    """The result of a key, else the first whose key contains it."""
-    rank = F.when(F.col("cv_key") == key.removesuffix(".json"), 0).otherwise(1)
-    return lookup_containing(results, key.removesuffix(".json")).orderBy(rank, "cv_key").limit(1)
+    """The result of a name, else the first whose name contains it."""
+    rank = F.when(name_of(results) == key.removesuffix(".json"), 0).otherwise(1)
+    return lookup_containing(results, key.removesuffix(".json")).orderBy(rank, name_of(results)).limit(1)
 
 
 def newest_first(results: DataFrame) -> DataFrame:
@@ -77,11 +108,11 @@ def shown_of_total(total: DataFrame, shown: DataFrame) -> DataFrame:
     return one(shown, "shown").join(one(total, "total"), "_one").drop("_one")
 
 
-def summary(results: DataFrame) -> DataFrame:
-    """What a list shows of a result; a score of 0.0 gives way to the overall score."""
+def summary(results: DataFrame, named: bool = False) -> DataFrame:
+    """What a list shows of a result, by its key or (``named``) its version's name; a score of 0.0 gives way to the overall score."""
     best = F.col("match_analysis.best_match")
     return results.select(
-        F.col("cv_key").alias("id"),
+        (name_of(results) if named else F.col("cv_key")).alias("id"),
         "filename",
         F.coalesce(or_null(F.col("parsed_at")), F.col("created_at")).alias("parsed_at"),
         F.coalesce("page_count", F.lit(1)).alias("page_count"),
@@ -108,11 +139,11 @@ def search_candidates(results: DataFrame, query: str | None = None, limit: int =
 
 def status(keys: DataFrame, results: DataFrame) -> DataFrame:
     """cv_key, progress and message of uploads: 25 without a result, 50 without an analysis, else 100."""
-    joined = keys.select("cv_key").join(results.select("cv_key", F.lit(True).alias("_has"), F.col("match_analysis").isNotNull().alias("_done"), "parsed_at"), "cv_key", "left")
+    joined = keys.select("cv_key").join(originals(results).select("cv_key", F.lit(True).alias("_has"), F.col("match_analysis").isNotNull().alias("_done"), "parsed_at"), "cv_key", "left")
     return joined.select(
         "cv_key",
         F.when(F.col("_has").isNull(), 25).when(~F.col("_done"), 50).otherwise(100).alias("progress"),
-        F.when(F.col("_has").isNull(), "Uploading and parsing CV...").when(~F.col("_done"), "50% - Parsing complete, matching in progress...").otherwise("done").alias("message"),
+        F.when(F.col("_has").isNull(), "waiting to be read").when(~F.col("_done"), "read, waiting to be matched").otherwise("done").alias("message"),
         F.when(F.col("_done"), F.col("parsed_at")).alias("parsed_at"),
     )
 
@@ -170,7 +201,7 @@ def tail(log: DataFrame, limit: int = 100, order: str = "timestamp") -> DataFram
 
 def reanalyzed(results: DataFrame, ids: DataFrame, analysis: DataFrame) -> DataFrame:
     """New enriched copies of the chosen results with a fresh analysis (cv_key, match_analysis)."""
-    plain = results.where(~F.coalesce("enriched", F.lit(False))).join(ids, "cv_key", "left_semi")
+    plain = originals(results).join(ids, "cv_key", "left_semi")
     return plain.drop("match_analysis", "enriched").join(analysis, "cv_key").withColumn("enriched", F.lit(True))
 
 

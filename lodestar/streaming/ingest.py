@@ -2,12 +2,13 @@
 
 State is the result table itself, keyed by cv_key. A batch joins its keys with the store, decides for
 each row, parses what must be read, and adds the results as a delta. A stream of files runs the same
-step per micro-batch; a batch that is run again replaces its own delta. Progress is a table of its own,
+step per micro-batch; the store's log tells a batch that is run again. Progress is a table of its own,
 which a second stream can follow.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import content_key
 from ..sources import versions
 from ..sources.files import PARSER_VERSION, SCHEMA_VERSION, Parser, parse_files, plain_parser
-from ..sources.store import utc_now
+from ..sources.store import KEY, originals, utc_now
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 RESULT_SCHEMA = (
@@ -29,11 +30,16 @@ RESULT_SCHEMA = (
 PROGRESS_SCHEMA = "filename string, status string, error string"
 
 
-def _keyed(files: DataFrame) -> DataFrame:
+def keys_of(files: DataFrame) -> Column:
+    """The cv_key of files with a name and optionally candidate_id and cv_id."""
     have = set(files.columns)
     null = F.lit(None).cast("string")
     ids = [F.col(c) if c in have else null.alias(c) for c in ("candidate_id", "cv_id")]
-    keyed = files.select("filename", "length", "content", content_key(F.col("filename"), *ids).alias("cv_key"), F.sha2("content", 256).alias("cv_hash"))
+    return content_key(F.col("filename"), *ids).alias("cv_key")
+
+
+def _keyed(files: DataFrame) -> DataFrame:
+    keyed = files.select("filename", "length", "content", keys_of(files), F.sha2("content", 256).alias("cv_hash"))
     w = Window.partitionBy("cv_key").orderBy(F.desc("cv_hash"), "filename")
     return keyed.withColumn("_k", F.row_number().over(w))
 
@@ -145,21 +151,27 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Ingest the files that are there, and none twice.
 
-    Each micro-batch writes its own results as a delta, numbered by batch, and after every
-    ``compact_every`` batches the deltas are folded into one base.
+    Each micro-batch reads the store's buckets of its own keys, and commits its results as (query id, batch): a
+    batch that runs again after its commit is skipped, and a query with a new checkpoint has another id. Progress is written
+    before the commit, under the batch's own name, so it is whole whenever results are. After every ``compact_every`` batches the
+    deltas are folded into one base.
     """
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).load(path)
 
     def add(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        writer = json.loads(versions.read_text(session, f"{checkpoint}/metadata"))["id"]
+        if versions.committed(session, store_path, writer, number):
+            return
         named = batch.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "length", "content")
-        store = read_store(batch.sparkSession, store_path, before=number)
+        store = read_store(session, store_path, keys=named.select(keys_of(named)))
         fresh = ingest(named, store, parser=parser).persist()
-        versions.append(fresh.where("parse_error is null"), store_path, number)
         if progress_path:
-            progress(fresh).unionByName(superseded(named)).write.mode("overwrite").parquet(f"{progress_path}/b={number:012d}")
+            progress(fresh).unionByName(superseded(named)).write.mode("overwrite").parquet(f"{progress_path}/b={writer}-{number:012d}")
+        versions.append(fresh.where("parse_error is null"), store_path, writer=writer, batch=number)
         fresh.unpersist()
         if number % compact_every == compact_every - 1:
-            versions.compact(batch.sparkSession, store_path, "cv_key", RESULT_SCHEMA)
+            versions.compact(session, store_path, KEY)
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -171,6 +183,10 @@ def progress_stream(spark: SparkSession, progress_path: str, handler: Callable[[
     return (writer.trigger(processingTime="1 second") if follow else writer.trigger(availableNow=True)).start()
 
 
-def read_store(spark: SparkSession, store_path: str, before: int | None = None) -> DataFrame:
-    """The store's newest rows, or those before a batch; empty if there are none."""
-    return versions.read(spark, store_path, "cv_key", RESULT_SCHEMA, before)
+def read_store(spark: SparkSession, store_path: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """The store's newest original rows, or those of commits before a number; empty if there are none.
+
+    With ``keys`` (one column) only the buckets that can hold them are read.
+    """
+    only = None if keys is None else versions.buckets_of(spark, store_path, keys)
+    return originals(versions.read(spark, store_path, KEY, f"{RESULT_SCHEMA}, enriched boolean", before, only)).drop("enriched")

@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -73,6 +74,10 @@ def test_stream(spark, tmp_path):
     ingest.ingest_stream(*args).awaitTermination()
     assert ingest.read_store(spark, str(tmp_path / "store")).count() == 3
     assert {r.status for r in spark.read.parquet(str(tmp_path / "progress")).collect()} == {"NEW_CV"}
+    again = (*args[:3], str(tmp_path / "check2"))  # a new checkpoint: every file is seen again, and kept
+    (tmp_path / "in" / "e.docx").write_bytes(docx((False, "e")))
+    ingest.ingest_stream(*again, compact_every=1).awaitTermination()
+    assert {r.markdown for r in ingest.read_store(spark, str(tmp_path / "store")).collect()} == {"a", "b", "d", "e"}
     seen = []
     follow = ingest.progress_stream(spark, str(tmp_path / "progress"), lambda batch, n: seen.extend(r.filename for r in batch.collect()), str(tmp_path / "follow"))
     follow.awaitTermination()
@@ -86,13 +91,93 @@ def test_store_of_deltas(spark, tmp_path):
     want = {"a": 2, "b": 1, "c": 3}
     read = lambda **more: {r.cv_key: r.v for r in versions.read(spark, path, "cv_key", **more).collect()}
     assert read() == want and read(before=1) == {"a": 1, "b": 1}
-    versions.compact(spark, path, "cv_key")
-    assert read() == want and [n for _, n in versions.folders(spark, path)] == ["delta=000000000000", "delta=000000000001", "base=000000000002", "delta=000000000002"]
+    assert versions.compact(spark, path, "cv_key") == 3 and versions.compact(spark, path, "cv_key") is None
+    assert read() == want and read(before=3) == want and [e["kind"] for e in versions.snapshot(spark, path)] == ["base"]
     store.write_results(store.read_results(spark, path).withColumn("v", F.col("v") + 10), path)
     assert read() == {"a": 12, "b": 11, "c": 13}
     store.compact_results(spark, path)
-    assert read() == {"a": 12, "b": 11, "c": 13} and len(versions.folders(spark, path)) == 3
+    assert read() == {"a": 12, "b": 11, "c": 13} and [e["kind"] for e in versions.log(spark, path)] == ["base", "delta", "base"]
+    assert len(list((tmp_path / "s" / "data").iterdir())) == 3
     assert versions.read(spark, str(tmp_path / "none"), "cv_key") is None
+    assert versions.read(spark, str(tmp_path / "none"), "cv_key", "cv_key string").count() == 0
+    versions.append(spark.createDataFrame([], kinds), path)
+    assert read() == {"a": 12, "b": 11, "c": 13}
+
+
+def test_batches_and_writes_in_turn_lose_nothing(spark, tmp_path):
+    """A stream's batch 0, a write, and its batch 1; a repeat; a compaction, and a new stream's batch 0."""
+    path = str(tmp_path / "s")
+    one = lambda key: spark.createDataFrame([(key, 1)], "cv_key string, v int")
+    keys = lambda: sorted(r.cv_key for r in versions.read(spark, path, "cv_key").collect())
+    assert versions.append(one("a"), path, writer="w", batch=0) == 0
+    store.write_results(one("b"), path)
+    assert versions.append(one("c"), path, writer="w", batch=1) == 2 and keys() == ["a", "b", "c"]
+    assert versions.append(one("x"), path, writer="w", batch=1) is None and keys() == ["a", "b", "c"]
+    versions.compact(spark, path, "cv_key")
+    assert versions.committed(spark, path, "w", 1) and not versions.committed(spark, path, "w", 2)
+    assert versions.append(one("d"), path, writer="new", batch=0) is not None and keys() == ["a", "b", "c", "d"]
+    for _ in range(2):
+        versions.append(one("e"), path)
+        versions.compact(spark, path, "cv_key")
+    assert versions.committed(spark, path, "w", 1) and versions.committed(spark, path, "new", 0) and keys() == ["a", "b", "c", "d", "e"]
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    """Threads that append and one that compacts; every number is taken once."""
+    path = str(tmp_path / "s")
+
+    def add(k):
+        return versions.append(spark.createDataFrame([(f"k{k}", k)], "cv_key string, v int"), path)
+
+    with ThreadPoolExecutor(5) as pool:
+        folded = pool.submit(lambda: [versions.compact(spark, path, "cv_key") for _ in range(2)])
+        numbers = list(pool.map(add, range(8)))
+        folded.result()
+    assert len(set(numbers)) == 8
+    assert sorted(r.v for r in versions.read(spark, path, "cv_key").collect()) == list(range(8))
+
+
+def test_a_commit_is_whole_or_absent(spark, tmp_path):
+    path = str(tmp_path / "s")
+    versions.append(spark.createDataFrame([("a", 1)], "cv_key string, v int"), path)
+    versions._write(spark.createDataFrame([("b", 1)], "cv_key string, v int"), path, "cv_key", 16)  # a writer that dies before its commit
+    (tmp_path / "s" / "_log" / "000000000001.x.tmp").write_text("{")
+    assert [r.cv_key for r in versions.read(spark, path, "cv_key").collect()] == ["a"]
+    assert not versions._put(spark, f"{path}/_log/000000000000", "{}") and len(versions.log(spark, path)) == 1
+
+
+def test_enriched_copies_are_versions(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = spark.createDataFrame([("a", "t1"), ("b", "t2")], "cv_key string, markdown string").withColumn("match_analysis", F.lit("old"))
+    store.write_results(rows, path)
+    ids = spark.createDataFrame([("a",)], "cv_key string")
+    for title in ("new", "newer"):
+        copies = store.reanalyzed(store.read_results(spark, path), ids, ids.withColumn("match_analysis", F.lit(title)))
+        assert copies.count() == 1
+        store.write_results(copies, path)
+        back = store.read_results(spark, path)
+        assert sorted((r.cv_key, r.enriched, r.match_analysis) for r in back.collect()) == [("a", False, "old"), ("a", True, title), ("b", False, "old")]
+    store.compact_results(spark, path)
+    assert store.read_result(spark, path, "a").first().match_analysis == "old" and store.read_result(spark, path, "a_enriched.json").first().match_analysis == "newer"
+    assert {(r.cv_key, r.enriched) for r in store.prefer_enriched(store.read_results(spark, path)).collect()} == {("a", True), ("b", False)}
+    assert sorted(r.n for r in store.read_results(spark, path).select(store.name_of(store.read_results(spark, path)).alias("n")).collect()) == ["a", "a_enriched", "b"]
+    assert store.detail(store.read_results(spark, path), "a").first().enriched is False and store.lookup_containing(store.read_results(spark, path), "_enr").count() == 1
+    store.write_results(rows.where("cv_key = 'b'").withColumn("match_analysis", F.lit("third")), path)  # without a column enriched
+    assert {(r.cv_key, r.enriched): r.match_analysis for r in store.read_results(spark, path).collect()} == {("a", False): "old", ("a", True): "newer", ("b", False): "third"}
+
+
+def test_lookups_read_one_bucket(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = spark.range(2000).select(F.concat(F.lit("cv_"), "id").alias("cv_key"), F.col("id").alias("v"))
+    store.write_results(rows, path)
+    store.write_results(rows.where("v < 500").withColumn("v", -F.col("v")), path)
+    every = versions.read(spark, path, "cv_key")
+    only = versions.buckets_of(spark, path, spark.createDataFrame([("cv_7",), ("cv_8",)], "k string"))
+    some = versions.read(spark, path, "cv_key", only=only)
+    assert len(only) <= 2 and {r.v for r in some.where("cv_key IN ('cv_7', 'cv_8')").collect()} == {-7, -8}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert len(every.inputFiles()) == 2 * versions.BUCKETS and "_bucket" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert some.count() < every.count() / 4 and store.read_result(spark, path, "cv_9").first().v == -9
 
 
 def test_json_results_and_examples(spark, tmp_path):
