@@ -74,9 +74,11 @@ def _met(cvs: DataFrame, vacancies: DataFrame, top_k: int | None) -> tuple[DataF
             found = F.filter(every("terms"), lambda k: has_key(F.col("_low"), k))
             domains = F.filter(every("dept_terms"), lambda t: has_word(F.col("cv_domain"), t))
             rows = rows.select(*kept, found.alias("cv_found"), domains.alias("cv_domains"), "_chosen")
-            parts.append(rows.select(*kept, "cv_found", "cv_domains", F.posexplode("_chosen").alias("_at", "_x")))
+            parts.append(rows.select(*kept, "cv_found", "cv_domains", F.posexplode_outer("_chosen").alias("_at", "_x")))
         else:
-            parts.append(rows.select(*kept, F.posexplode("_chosen").alias("_at", "_x")))
+            parts.append(rows.select(*kept, F.posexplode_outer("_chosen").alias("_at", "_x")))
+        # An inner generator would have the optimizer repeat the whole scoring as a condition of the join.
+        parts[-1] = parts[-1].where("_x IS NOT NULL")
     return (reduce(DataFrame.unionByName, parts) if parts else None), n
 
 

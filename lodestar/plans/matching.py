@@ -12,6 +12,7 @@ from ..operators.catalog import conform
 from ..operators.prefilter import all_pairs, prefilter
 from ..operators.rank import analyses, ranked
 from ..operators.score import TEXTS, score_pairs, with_features
+from ..sources import versions
 from ..sources.store import originals, reanalyzed
 
 
@@ -43,22 +44,21 @@ def match_prefiltered(cvs: DataFrame, vacancies: DataFrame, config: MatchConfig
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` worked out once: through ``spark.checkpoint.dir`` where the session has one, otherwise by caching."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """``df`` worked out once, as a table in the shared folder that outlives executors."""
+    path = versions.scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def match_two_stage(cvs: DataFrame, vacancies: DataFrame, config: MatchConfig = MatchConfig(), answers: DataFrame | None = None, enricher: Enricher | None = None) -> DataFrame:
+def match_two_stage(
+    cvs: DataFrame, vacancies: DataFrame, config: MatchConfig = MatchConfig(), answers: DataFrame | None = None, enricher: Enricher | None = None, answer_path: str | None = None
+) -> DataFrame:
     """Pre-filter, rules, gate, and for the CVs that the gate lets through scoring with enrichment.
 
     ``answers`` (cv_key, response JSON) is an enrichment table; ``enricher`` answers prompts that it
-    lacks, once for each CV. Without either, rules decide alone, in one pass. With one, pairs are scored
-    by rules once and only those of CVs with an answer again.
+    lacks, once for each CV, by way of the answer table at ``answer_path`` (without a path: one of this run
+    alone), so a run that is started again asks only what is open. Without either, rules decide alone, in one
+    pass. With one, pairs are scored by rules once and only those of CVs with an answer again.
     """
     valid = checked(as_cvs(cvs)).where("cv_error is null").drop("cv_error")
     featured = with_features(valid)
@@ -69,7 +69,8 @@ def match_two_stage(cvs: DataFrame, vacancies: DataFrame, config: MatchConfig =
     rules = kept(ranked(score_pairs(pairs, config), config))
     open_cvs = rules.where("rank = 1 AND NOT llm_skipped").select("cv_key")
     if enricher is not None:
-        answers = kept(enrich(pairs.join(open_cvs, "cv_key", "left_semi"), enricher, answers, featured))
+        asked = pairs.join(open_cvs, "cv_key", "left_semi")
+        answers = enrich(asked, enricher, answers, featured, answer_path or versions.scratch(cvs.sparkSession))
     profiles, matches = enrichment_rows(answers.join(open_cvs, "cv_key", "left_semi"))
     texts = featured.select("cv_key", *TEXTS)
     again = pairs.drop("cv_found", "cv_domains").join(profiles, "cv_key").join(texts, "cv_key")

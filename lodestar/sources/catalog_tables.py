@@ -10,13 +10,27 @@ from ..functions.text import or_null
 TABLES = ("requests", "profiles", "designations", "companies", "departments", "locations", "candidates", "config")
 
 
-def read_table(spark: SparkSession, name: str, path: str | None = None, jdbc: dict | None = None) -> DataFrame | None:
+def read_query(spark: SparkSession, jdbc: dict, sql: str) -> DataFrame:
+    """What the database answers to a query, such as one of its system views."""
+    return spark.read.format("jdbc").options(**jdbc, query=sql).load()
+
+
+def key_ranges(spark: SparkSession, jdbc: dict, name: str, key: str, partitions: int) -> dict[str, str]:
+    """Reader options for ranges of a numeric key, whose bounds the database tells; none for a table without rows."""
+    quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(jdbc["url"]).quoteIdentifier(key)
+    low, high = read_query(spark, jdbc, f"SELECT MIN({quoted}) AS low_key, MAX({quoted}) AS high_key FROM {name}").first()
+    return {} if low is None else {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high + 1), "numPartitions": str(partitions)}
+
+
+def read_table(spark: SparkSession, name: str, path: str | None = None, jdbc: dict | None = None, key: str | None = None, partitions: int = 8) -> DataFrame | None:
     """A catalogue table from Parquet under ``path`` or from JDBC options; None without a source.
 
-    Filters and column choices of later steps reach either source.
+    Filters and column choices of later steps reach either source. With a numeric ``key``, a database is read by
+    that many ranges of it at a time; rows with a null key come with the first.
     """
     if jdbc and jdbc.get("url"):
-        return spark.read.format("jdbc").options(**jdbc, dbtable=name).load()
+        ranges = key_ranges(spark, jdbc, name, key, partitions) if key else {}
+        return spark.read.format("jdbc").options(**jdbc, **ranges, dbtable=name).load()
     return spark.read.parquet(f"{path}/{name}.parquet") if path else None
 
 

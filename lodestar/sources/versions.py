@@ -50,7 +50,7 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def _put(spark: SparkSession, path: str, text: str) -> bool:
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
     """Create a file with this text as a whole, unless there is one already."""
     make, file, fs = _files(spark, path)
     trial = make(f"{path}.{uuid.uuid4().hex}.tmp")
@@ -123,7 +123,7 @@ def append(rows: DataFrame, path: str, key: str = "cv_key", writer: str | None =
 
 def _commit(spark: SparkSession, path: str, entry: dict) -> int | None:
     number = max((e["number"] for e in log(spark, path)), default=-1) + 1
-    while not _put(spark, f"{path}/_log/{number:012d}", json.dumps(entry)):
+    while not put_text(spark, f"{path}/_log/{number:012d}", json.dumps(entry)):
         if entry.get("writer") and committed(spark, path, entry["writer"], entry["batch"]):
             return None
         number += 1

@@ -1,13 +1,15 @@
 """File validation, parsing, idempotent ingestion, the store, and the stream."""
 
 import io
+import time
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lodestar.sources import catalog_tables, files, store, versions
-from lodestar.streaming import ingest
+from lodestar.streaming import ingest, listener
 
 PDF = b"%PDF-1.4\n/Type /Page\n" + b"(Skills: Python and many other long words of text) Tj\n" * 5
 
@@ -143,7 +145,7 @@ def test_a_commit_is_whole_or_absent(spark, tmp_path):
     versions._write(spark.createDataFrame([("b", 1)], "cv_key string, v int"), path, "cv_key", 16)  # a writer that dies before its commit
     (tmp_path / "s" / "_log" / "000000000001.x.tmp").write_text("{")
     assert [r.cv_key for r in versions.read(spark, path, "cv_key").collect()] == ["a"]
-    assert not versions._put(spark, f"{path}/_log/000000000000", "{}") and len(versions.log(spark, path)) == 1
+    assert not versions.put_text(spark, f"{path}/_log/000000000000", "{}") and len(versions.log(spark, path)) == 1
 
 
 def test_enriched_copies_are_versions(spark, tmp_path):
@@ -208,6 +210,52 @@ def test_store_lookups(spark, tmp_path):
     assert [r.timestamp for r in store.tail(log, 3).collect()] == [6, 7, 8]
 
 
+def test_tables_by_ranges_of_a_key(spark):
+    """An embedded database: partitions by key, pushed filters and columns, a query, and a table without rows."""
+    jdbc = {"url": "jdbc:derby:memory:lodestar;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(1000).selectExpr("id * 7 + 3 AS id", "'s' || id AS skills", "id % 2 = 0 AS active")
+    for name, some in (("requests", rows), ("bare", rows.limit(0))):
+        some.write.format("jdbc").options(**jdbc, dbtable=name).mode("overwrite").save()
+    read = catalog_tables.read_table(spark, "requests", jdbc=jdbc, key="id", partitions=4)
+    assert read.rdd.getNumPartitions() == 4 and sorted(read.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) == [250, 250, 250, 250]
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, rows.collect()))
+    some = read.where("id = 10").select("skills")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert some.first().skills == "s1" and "EqualTo(id,10)" in plan and "ReadSchema: struct<skills:string>" in plan
+    assert catalog_tables.read_table(spark, "bare", jdbc=jdbc, key="id").count() == 0
+    assert catalog_tables.read_query(spark, jdbc, "SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T'").count() == 2
+
+
+def test_query_log(spark, tmp_path):
+    """A stream that ends and one whose batch fails, as rows."""
+    log = listener.QueryLog(spark, str(tmp_path / "log"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\ntwo")
+    lines = spark.readStream.text(str(tmp_path / "in"))
+
+    def fails(batch, number):
+        raise ValueError("no room")
+
+    spark.streams.addListener(log)
+    try:
+        for name, run in (("good", lambda b, n: b.count()), ("bad", fails)):
+            query = lines.writeStream.queryName(name).foreachBatch(run).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+            try:
+                query.awaitTermination()
+            except StreamingQueryException:
+                pass
+        for _ in range(100):
+            told = listener.events(spark, str(tmp_path / "log")).collect() if (tmp_path / "log").exists() else []
+            if {"ended", "failed"} <= {r.event for r in told}:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert [r.event for r in told].count("started") == 2 and {r.name for r in told if r.event == "started"} == {"good", "bad"}
+    assert [(r.batch, r.rows) for r in told if r.event == "progress" and r.rows] == [(0, 2)]
+    assert ["no room" in r.error for r in told if r.event == "failed"] == [True]
+
+
 def test_catalogue_tables(spark, tmp_path):
     assert catalog_tables.healthy(spark) and catalog_tables.read_table(spark, "requests") is None
     spark.range(3).write.parquet(str(tmp_path / "requests.parquet"))

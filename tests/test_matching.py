@@ -7,6 +7,7 @@ from lodestar.config import MatchConfig, upsert_config
 from lodestar.functions import enrichment, text
 from lodestar.operators import catalog, prefilter, rank, score
 from lodestar.plans import matching
+from lodestar.sources import versions
 
 KINDS = "id string, title string, department string, required_skills array<string>, preferred_keywords array<string>, min_experience_years double"
 
@@ -124,6 +125,44 @@ def test_enricher_is_asked_once_for_each_cv(spark, tmp_path):
     assert len(log.read_text().split()) == 30
 
 
+def test_enrichment_goes_on_where_it_was_killed(spark, tmp_path):
+    """A run that dies midway; the next one asks what is open, once, and a third one nothing."""
+    asked = spark.createDataFrame([(f"cv{k}", f"key{k % 30}", f"prompt {k % 30}") for k in range(40)], "cv_key string, cache_key string, prompt string")
+    calls, path = tmp_path / "calls", str(tmp_path / "answers")
+
+    def enricher(dies):
+        def answer(prompt):
+            with open(calls, "a") as f:
+                f.write(f"{prompt}\n")
+            if dies and len(calls.read_text().splitlines()) > 15:
+                raise SystemExit(1)
+            return None if prompt == "prompt 7" else f"answer to {prompt}"
+
+        return answer
+
+    options = {"path": path, "batch": 5, "at_once": 1}
+    with pytest.raises(Exception):
+        enrichment.answer_in_turn(asked, enricher(True), **options)
+    done = {r.cache_key for r in versions.read(spark, path, "cache_key", enrichment.CACHE).collect()}
+    assert 0 < len(done) <= 15
+    before = len(calls.read_text().splitlines())
+    rows = enrichment.answer_in_turn(asked, enricher(False), **options)
+    again = calls.read_text().splitlines()[before:]
+    assert len(again) == len(set(again)) == 30 - len(done) and not {p.replace("prompt ", "key") for p in again} & done
+    assert {r.cv_key: r.response for r in rows.collect()} == {f"cv{k}": f"answer to prompt {k % 30}" for k in range(40) if k % 30 != 7}
+    assert enrichment.answer_in_turn(asked, enricher(False), **options).count() == rows.count()
+    assert calls.read_text().splitlines()[before + len(again) :] == ["prompt 7"]  # only what has no answer is asked again
+
+
+def test_pairs_are_scored_once(spark):
+    """The plan has one scoring expression; an inner generator would repeat it as a condition of the join."""
+    cvs = spark.createDataFrame([("a", "python developer", 3.0)], "cv_key string, cv_text string, candidate_experience double")
+    more = spark.createDataFrame([(k, f"t{k}", "d", ["python"], ["git"]) for k in range(9)], "vacancy_id long, title string, department string, required_skills array<string>, preferred_keywords array<string>")
+    pairs = prefilter.prefilter(score.with_features(matching.as_cvs(cvs)), catalog.conform(more.withColumn("id", F.col("vacancy_id").cast("string"))), 5)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(transform(") == 1 and pairs.count() == 5
+
+
 def test_enricher_tries_again_or_gives_up(spark):
     asked = spark.createDataFrame([("a", "k", "flaky"), ("b", "k", "down")], "cv_key string, cache_key string, prompt string")
     tries = {}
