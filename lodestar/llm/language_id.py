@@ -266,7 +266,7 @@ class _Scorer:
         self.n += len(words)
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Posterior-like scores by language, and whether a text has a letter."""
+        """Posteriors by language, tempered by the root of the number of words, and whether a text has a letter."""
         if self.n > self.cache:
             self.known, self.n = {}, 0
         split = [t.lower().split() for t in texts]
@@ -282,10 +282,8 @@ class _Scorer:
                 at = np.fromiter(map(get, words), dtype=np.int64, count=len(words))
                 own = self.letters[at]
                 letters[k] = own.any()
-                sums[k] = self.rows[at].sum(axis=0) / np.sqrt(max(1, own.sum()))
-        z = sums + self.prior
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
+                sums[k] = (self.rows[at].sum(axis=0) + self.prior) / np.sqrt(max(1, own.sum()))
+        e = np.exp(sums - sums.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True), letters
 
 
@@ -293,8 +291,9 @@ def predict(docs: DataFrame, fitted: dict) -> DataFrame:
     """doc_id, lang_pred and score of each whole text.
 
     A null text, one without a letter, or any text under a model without languages is ``und`` with
-    score 0; a null id stays null and repeated rows are scored each. Equal likelihoods go to the first language in order. The score is the share of the best
-    language's likelihood, tempered by the root of the number of words.
+    score 0; a null id stays null and repeated rows are scored each. The language is that of greatest likelihood times prior; equal ones go to the first in order. The score is
+    that language's share once the logarithms of these products have been divided by the root of the number of words, so
+    that words of one text, which depend on each other, don't make every score 1.
     """
     langs = fitted["langs"]
 

@@ -189,12 +189,23 @@ def test_language_query_equals_plain_scores(spark, docs):
     for r in docs.orderBy("doc_id").limit(40).collect():
         parts = [["▁" + x for x in language_id.word_parts(w)] for w in r.text.lower().split()]
         n = sum(bool(x) for x in parts)
-        z = sum((model.log_likelihoods(x).sum(axis=0) for x in parts if x), np.zeros(len(fitted["langs"]))) / np.sqrt(max(1, n)) + fitted["prior"]
+        posterior = sum((model.log_likelihoods(x).sum(axis=0) for x in parts if x), np.zeros(len(fitted["langs"]))) + fitted["prior"]
+        z = posterior / np.sqrt(max(1, n))
         best = np.exp(z - z.max())
-        assert got[r.doc_id].lang_pred == (fitted["langs"][int(z.argmax())] if n else "und")
+        assert got[r.doc_id].lang_pred == (fitted["langs"][int(posterior.argmax())] if n else "und")
         assert got[r.doc_id].score == pytest.approx(float((best / best.sum()).max()) if n else 0.0)
 
 
+def test_language_evidence_beats_a_rare_languages_prior(spark):
+    """100 words that are each e**0.5 times likelier in a language of one text in a thousand: 50 - 6.9 for that language."""
+    pieces = ["▁", "a"]
+    fitted = {"langs": ["common", "rare"], "pieces": pieces, "probabilities": np.array([[0.1, 0.1], [0.01, 0.01 * np.exp(0.5)]]), "unknown": np.array([1e-9, 1e-9]), "prior": np.log([0.999, 0.001])}
+    asked = spark.createDataFrame([(1, "a " * 100), (2, "a " * 5)], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.predict(asked, fitted).collect()}
+    assert got[1].lang_pred == "rare" and got[1].score == pytest.approx(1 / (1 + np.exp(-(50 + np.log(0.001 / 0.999)) / 10)))
+    assert got[2].lang_pred == "common" and 0.5 < got[2].score < 1
+
+
 def test_language_of_signs_and_rare_languages(spark):
     rows = [(k, "the cat and the dog went to the house", "en") for k in range(3000)] + [(5000 + k, "der hund und die katze gehen ins haus", "de") for k in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
