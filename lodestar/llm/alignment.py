@@ -181,6 +181,30 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counts.withColumn("best", (F.col("count") == F.max("count").over(Window.partitionBy("b"))).cast("long"))
 
 
+def _summed(aligned: DataFrame, counts: DataFrame, small: bool) -> DataFrame:
+    """seg, groups and NUMBERS of each segment, with the sums over its links of the pairs' counts.
+
+    A small table of counts is broadcast as sorted arrays and looked up in place; a larger one is joined by pair.
+    """
+    if not small:
+        links = aligned.select("sid", F.explode("links").alias("l")).select("sid", "l.a", "l.b")
+        sums = links.join(counts.hint("merge"), ["a", "b"]).groupBy("sid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        return aligned.select("sid", "seg", "groups", "n_a", "n_b", "n_groups").join(sums.hint("merge"), "sid").select("seg", "groups", *NUMBERS)
+    found = counts.select((F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("pair"), "best", "count").toPandas().sort_values("pair")
+    shared = aligned.sparkSession.sparkContext.broadcast([found[c].to_numpy(dtype=np.int64) for c in ("pair", "best", "count")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, best, count = shared.value
+        for batch in batches:
+            links = batch.column(5)
+            flat, begins = links.flatten(), links.offsets.to_numpy()[:-1] - links.offsets[0].as_py()
+            at = np.searchsorted(pairs, (flat.field("a").to_numpy().astype(np.int64) << 32) + flat.field("b").to_numpy())
+            sums = [pa.array(np.add.reduceat(x[at], begins)) for x in (best, count)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *sums], names=["seg", "groups", *NUMBERS])
+
+    return mapped(aligned.select("seg", "groups", "n_a", "n_b", "n_groups", "links"), run, "seg string, groups string, " + ", ".join(f"{c} long" for c in NUMBERS))
+
+
 def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of rows of one block as one compressed Arrow batch each."""
     for batch in batches:
@@ -230,10 +254,7 @@ def align(docs: DataFrame, a: str, b: str, most: int = 1 << 25, small_pairs: int
     distinct = aligned_segments(entries.groupBy("seg").agg(F.sum("n").alias("n")), a, b)
     aligned = written(distinct.withColumn("sid", F.monotonically_increasing_id()), f"{base}/aligned")
     counts = written(pair_counts(aligned), f"{base}/counts")
-    small = counts.count() <= small_pairs
-    links = aligned.select("sid", F.explode("links").alias("l")).select("sid", "l.a", "l.b")
-    sums = links.join(F.broadcast(counts) if small else counts.hint("merge"), ["a", "b"]).groupBy("sid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    known = aligned.select("sid", "seg", "groups", "n_a", "n_b", "n_groups").join(sums.hint("merge"), "sid").drop("sid")
+    known = _summed(aligned, counts, counts.count() <= small_pairs)
     back = entries.select("block", "pos", "seg").join(known.hint("merge"), "seg").select("block", "pos", "groups", *NUMBERS)
     bundles = mapped(back.sortWithinPartitions("block"), _bundled, "block long, entries binary", most=1 << 24)
     texts = blocks.where("seg IS NULL")
