@@ -139,7 +139,8 @@ def search_candidates(results: DataFrame, query: str | None = None, limit: int =
 
 def status(keys: DataFrame, results: DataFrame) -> DataFrame:
     """cv_key, progress and message of uploads: 25 without a result, 50 without an analysis, else 100."""
-    joined = keys.select("cv_key").join(originals(results).select("cv_key", F.lit(True).alias("_has"), F.col("match_analysis").isNotNull().alias("_done"), "parsed_at"), "cv_key", "left")
+    stored = results.groupBy("cv_key").agg(F.lit(True).alias("_has"), F.max(F.col("match_analysis").isNotNull()).alias("_done"), F.max("parsed_at").alias("parsed_at"))
+    joined = keys.select("cv_key").join(stored, "cv_key", "left")
     return joined.select(
         "cv_key",
         F.when(F.col("_has").isNull(), 25).when(~F.col("_done"), 50).otherwise(100).alias("progress"),
