@@ -98,8 +98,8 @@ def department_ranking(cvs: DataFrame, vacancies: DataFrame, departments: int =
 
     slices, _ = catalogue_slices(vacancies)
     lower, parts = F.lower("cv_text"), []
-    for low, high, blocks in slices:
-        rows = cvs.select("cv_key", lower.alias("t"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("block")).join(blocks, "block")
+    for number, packed in slices:
+        rows = cvs.select("cv_key", lower.alias("t"), F.explode(F.sequence(F.lit(number), F.lit(number))).alias("block")).join(packed, "block")
         terms = lambda v: F.size(F.filter(v["title_terms"], lambda x: F.contains(F.col("t"), x))) * 10
         named = lambda v: F.when((v["dept_lower"] != "") & F.contains(F.col("t"), v["dept_lower"]), 30).otherwise(0)
         one = lambda v: F.struct(v["department"].alias("department"), v["id"].alias("id"), v["ordinal"].alias("ordinal"), (terms(v) + named(v)).alias("s"))

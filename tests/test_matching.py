@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestar.config import MatchConfig, upsert_config
 from lodestar.functions import enrichment, text
-from lodestar.operators import catalog, prefilter, rank, score
+from lodestar.operators import catalog, prefilter, rank, score, term_index
 from lodestar.plans import matching
 from lodestar.sources import versions
 
@@ -271,3 +271,80 @@ def test_score_needs_no_features(spark):
     cvs = spark.createDataFrame([("a", "## Python Developer\nPython Git", 4.0)], "cv_key string, cv_text string, candidate_experience double")
     jobs = vacancies(spark, ("1", "Python Developer", "Engineering", ["Python"], ["Git"], 2.0))
     assert score.score_pairs(prefilter.all_pairs(cvs, jobs)).first().score == 100.0
+
+
+def _catalogue(spark, n, terms=4000):
+    """``n`` generated vacancies with terms of many frequencies, odd ones among them."""
+    k = F.col("id")
+    word = lambda salt, m: F.concat(F.lit("t"), F.floor(F.pow(F.pmod(F.xxhash64(k, F.lit(salt)), 1000003) / 1000003.0, 2) * m).cast("string"))
+    return spark.range(n).select(
+        k.alias("vacancy_id"),
+        k.cast("string").alias("id"),
+        F.concat(F.lit("Title "), word(1, 300)).alias("title"),
+        F.when(k % 50 != 0, F.concat(F.lit("Dept"), k % 97)).alias("department"),
+        F.when(k % 41 != 0, F.array(word(2, terms), word(3, terms), F.concat(word(4, terms), F.lit(" "), word(5, 40)), F.when(k % 60 == 0, "").otherwise("C++"), F.when(k % 7 == 0, "go").otherwise("Ünï"))).alias("required_skills"),
+        F.array(word(6, terms), word(2, terms)).alias("preferred_keywords"),
+        F.when(k % 3 != 0, (k % 5).cast("double")).alias("min_experience_years"),
+        F.when(k % 4 != 0, (5 + k % 9).cast("double")).alias("max_experience_years"),
+    )
+
+
+def _generated_cvs(spark, n):
+    k = F.col("id")
+    words = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.concat(F.lit("T"), F.pmod(F.xxhash64(k, i), 4000).cast("string")))
+    text = F.when(k == 0, None).when(k == 1, "").otherwise(F.concat(F.lit("## Title t5\nSkills: Dept"), k % 97, F.lit(" c++ ÜNÏ "), F.array_join(words, " ")))
+    return spark.range(n).select(k.cast("string").alias("cv_key"), text.alias("cv_text"), F.when(k % 5 != 0, (k % 12).cast("double")).alias("candidate_experience"))
+
+
+def _plainly(cv, experience, v):
+    """The pre-filter's points, as the rules say it."""
+    held = lambda terms: sum(t in cv for t in terms if t is not None) if cv is not None else 0
+    fits = experience is not None and (v.min_experience_years is None or experience >= v.min_experience_years) and (v.max_experience_years is None or experience <= v.max_experience_years)
+    return 30.0 * held([v.dept_lower] if v.dept_lower else []) + 15.0 * held(v.title_terms) + 10.0 * held(v.skills_lower) + 5.0 * held(v.keywords_lower) + 10.0 * fits
+
+
+@pytest.mark.parametrize("way", ["scan", "index", "slices"])
+def test_best_vacancies_equal_full_scan(spark, monkeypatch, way):
+    jobs = catalog.conform(_catalogue(spark, 700))
+    cvs = _generated_cvs(spark, 25)
+    if way == "scan":
+        monkeypatch.setattr(prefilter, "INDEXED", 700)
+    if way == "slices":
+        monkeypatch.setattr(prefilter, "BLOCK", 100)
+        monkeypatch.setattr(prefilter, "MOST_BYTES", 120_000)
+        assert len(prefilter.catalogue_slices(jobs)[0]) > 1
+    got = {}
+    for r in prefilter.prefilter(cvs, jobs, 5).select("cv_key", "input_rank", "prefilter_score", "v.ordinal").collect():
+        got.setdefault(r.cv_key, []).append((r.input_rank, r.prefilter_score, r.ordinal))
+    vs = catalog.prepared(jobs).collect()
+    for cv in cvs.select("*", F.lower("cv_text").alias("low")).collect():
+        full = sorted((-_plainly(cv.low, cv.candidate_experience, v), v.ordinal) for v in vs)[:5]
+        assert sorted(got[cv.cv_key]) == [(i, -s, o) for i, (s, o) in enumerate(full, 1)]
+
+
+def test_few_vacancies_are_scored(spark):
+    """Of 50,000 vacancies under a tenth are looked at, and the best are those of a full scan."""
+    jobs, cvs = catalog.conform(_catalogue(spark, 50_000)), _generated_cvs(spark, 8)
+    slices, n = prefilter.catalogue_slices(jobs, 5, index=True)
+    assert n == 50_000
+    looked, tops = {}, {}
+    for number, packed in slices:
+        rows = cvs.select("*", F.lower("cv_text").alias("low"), F.explode(F.sequence(F.lit(number), F.lit(number))).alias("block")).join(packed, "block")
+        rows = term_index.best(term_index.hits(rows, F.col("low")), F.col("candidate_experience"), 5)
+        for r in rows.select("cv_key", "_scored", F.transform("_top", lambda x: F.struct(x["s"], F.get("vacs", x["k"])["ordinal"].alias("o"))).alias("top")).collect():
+            looked[r.cv_key] = looked.get(r.cv_key, 0) + r._scored
+            tops[r.cv_key] = sorted(tops.get(r.cv_key, []) + [(x.s, x.o) for x in r.top])[:5]
+    assert sum(looked.values()) < 8 * n / 10
+    vs = catalog.prepared(jobs).select("ordinal", "dept_lower", "title_terms", "skills_lower", "keywords_lower", "min_experience_years", "max_experience_years").collect()
+    for cv in cvs.select("*", F.lower("cv_text").alias("low")).collect():
+        assert tops[cv.cv_key] == sorted((-_plainly(cv.low, cv.candidate_experience, v), v.ordinal) for v in vs)[:5]
+
+
+def test_terms_found_by_dictionary(spark):
+    """All pairs look terms up in the dictionary: what is found is what each term's own pattern finds."""
+    jobs = catalog.conform(_catalogue(spark, 300, 200))
+    cvs = score.with_features(matching.as_cvs(_generated_cvs(spark, 12)))
+    got = {r.cv_key: set(r.cv_found) for r in prefilter.all_pairs(cvs, jobs).select("cv_key", "cv_found").collect()}
+    terms = catalog.prepared(jobs).select(F.explode("terms").alias("t")).distinct()
+    want = cvs.join(terms, text.has_key(F.col("cv_lower"), F.col("t"))).groupBy("cv_key").agg(F.collect_set("t").alias("f")).collect()
+    assert {r.cv_key: set(r.f) for r in want} == {k: f for k, f in got.items() if f} and len(want) == 10
