@@ -110,21 +110,25 @@ def skill_lines(text: Column) -> Column:
 
     A heading that reads skills opens the section; the next ``##`` line ends the whole scan.
     """
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside"), F.lit(False).alias("over"))
-
-    def step(s: Column, line: Column) -> Column:
-        heading = F.regexp_replace(F.lower(strip(F.regexp_replace(line, "^[#\\- ]+", ""))), r"(?U)\s+", "") == "skills"
-        ends = s["inside"] & line.startswith("##")
-        taken = s["inside"] | line.rlike(r"(?U)^[\w /&+\-.#]+:\s*\S+")
-        grown = F.when(taken, F.concat(s["out"], F.array(line))).otherwise(s["out"])
-        return (
-            F.when(s["over"] | (line == ""), s)
-            .when(heading, F.struct(s["out"].alias("out"), F.lit(True).alias("inside"), F.lit(False).alias("over")))
-            .when(ends, F.struct(s["out"].alias("out"), F.lit(True).alias("inside"), F.lit(True).alias("over")))
-            .otherwise(F.struct(grown.alias("out"), s["inside"].alias("inside"), F.lit(False).alias("over")))
-        )
-
-    return F.aggregate(F.transform(lines_of(text), lambda x: strip(x)), state, step, lambda s: s["out"])
+    lines = F.filter(F.transform(lines_of(text), lambda x: strip(x)), lambda x: x != "")
+
+    def heading(x: Column) -> Column:
+        bare = F.regexp_replace(F.lower(strip(F.regexp_replace(x, "^[#\\- ]+", ""))), r"(?U)\s+", "")
+        return x.rlike(r"(?U)^[#\- ]*\s*[sS]") & (bare == "skills")  # the first test is cheap and fails nearly always
+
+    def taken(ls: Column, heads: Column, opens: Column, over: Column) -> Column:
+        """``opens`` is the first heading's place from 1 on, 0 without one; ``over`` the place from 0 on that ends the scan."""
+        inside = lambda k: (opens > 0) & (k >= opens)
+        return F.filter(ls, lambda x, k: (k < over) & ~F.get(heads, k) & (inside(k) | x.rlike(r"(?U)^[\w /&+\-.#]+:\s*\S+")))
+
+    def end(ls: Column, heads: Column, opens: Column) -> Column:
+        ends = F.transform(ls, lambda x, k: F.when((opens > 0) & (k >= opens) & x.startswith("##") & ~F.get(heads, k), k))
+        return F.coalesce(F.array_min(ends), F.size(ls))
+
+    def scan(ls: Column, heads: Column, opens: Column) -> Column:
+        return let(end(ls, heads, opens), lambda over: taken(ls, heads, opens, over))
+
+    return let(lines, lambda ls: let(F.transform(ls, heading), lambda heads: let(F.array_position(heads, F.lit(True)), lambda opens: scan(ls, heads, opens))))
 
 
 def role_headers(text: Column) -> Column:

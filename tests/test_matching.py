@@ -1,5 +1,8 @@
 """Scores worked out by hand from the rules, on small CVs."""
 
+import itertools
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +84,28 @@ def test_skill_section_ends_scan(spark):
     assert spark.createDataFrame([(cv,)], "t string").select(text.skill_lines(F.col("t")).alias("x")).first().x == ["Phone: 1", "Python", "Go"]
 
 
+def test_skill_lines_line_by_line(spark):
+    """All orders of a few kinds of lines, against a scan that goes line by line."""
+    kinds = ["## Skills", "- s k i l l s ", "## Work", "Tool: x", "plain", "  ", "## a: b"]
+    texts = ["\n".join(x) for n in range(5) for x in itertools.product(kinds, repeat=n)]
+
+    def plainly(cv):
+        out, inside = [], False
+        for line in (x.strip() for x in cv.split("\n")):
+            if not line:
+                continue
+            if re.sub(r"\s+", "", re.sub(r"^[#\- ]+", "", line)).lower() == "skills":
+                inside = True
+            elif inside and line.startswith("##"):
+                break
+            elif inside or re.match(r"[\w /&+\-.#]+:\s*\S+", line):
+                out.append(line)
+        return out
+
+    rows = spark.createDataFrame([(x,) for x in texts + [None]], "t string").select("t", text.skill_lines(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == {**{x: plainly(x) for x in texts}, None: None}
+
+
 def test_skill_terms_and_fit(spark):
     d = "Knowledge of SQL, including Spark and Kafka (e.g. streams)\n- skills"
     df = spark.createDataFrame([(d, "aa, bb, cc")], "d string, v string")
