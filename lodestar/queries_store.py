@@ -10,7 +10,7 @@ from .functions import enrichment, text
 from .operators import catalog, prefilter, rank
 from .plans import matching
 from .queries import _CVS, _REQUESTS, _STAGED, _cvs, _dimension, _found, _requests, _results, _sql_list, _table, _vacancies, query
-from .sources import files, store, versions
+from .sources import files, store, text_search, versions
 from .streaming import ingest
 
 
@@ -256,3 +256,19 @@ def component_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, list(s), e, c, list(x), list(r)) for i, s, e, c, x, r in _STATED], kinds)
     found = matching.match_rules(_cvs(spark, sf_dir), catalog.conform(rows))
     return found.select("cv_key", "job_id", "education_score", "certification_score", "technology_score", "responsibilities_score", "coverage", F.size("mandatory_failures").alias("n_failures"))
+
+
+#: What ``search_postings`` seeks beside the names of nations: pieces of names, keys and words, and one too short for postings.
+_SOUGHT = ("TION", "pdf", "The", "cv_12", "src1_", "ing ", "zzzz", "é", "of the")
+
+
+@query(
+    f"""WITH sought AS (SELECT unnest([{", ".join(f"'{s}'" for s in _SOUGHT if len(s) >= 3)}]) AS text UNION SELECT n_name FROM nation)
+SELECT s.text, 'cv_' || d.doc_id AS cv_key FROM sought s JOIN documents d
+ON contains(lower(d.source || '_' || d.doc_id || '.pdf'), lower(s.text)) OR contains(lower('cv_' || d.doc_id), lower(s.text)) OR contains(lower(substr(d.text, 1, 500)), lower(s.text))"""
+)
+def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many sought texts against all results at once, by the postings of their runs."""
+    results = _results(spark, sf_dir)
+    sought = spark.createDataFrame([(s,) for s in _SOUGHT], "text string").union(_table(spark, sf_dir, "nation").select("n_name"))
+    return text_search.search_many(results, text_search.postings(results), sought)

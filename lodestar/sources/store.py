@@ -82,12 +82,16 @@ def newest_first(results: DataFrame) -> DataFrame:
     return results.orderBy(F.coalesce("created_at", F.lit("")).desc(), "cv_key")
 
 
+def searched_fields() -> tuple[Column, ...]:
+    """What a search looks at: file name, key, and the first 500 characters of text."""
+    return F.coalesce("filename", F.lit("")), F.coalesce("cv_key", F.lit("")), F.substring(F.coalesce("markdown", F.lit("")), 1, 500)
+
+
 def matches_search(query: str) -> Column:
     """Whether a result's file name, key, or first 500 characters of text contain the query."""
     q = F.lit(query.lower())
-    fields = (F.coalesce("filename", F.lit("")), F.coalesce("cv_key", F.lit("")), F.substring(F.coalesce("markdown", F.lit("")), 1, 500))
     found = F.lit(False)
-    for f in fields:
+    for f in searched_fields():
         found = found | F.contains(F.lower(f), q)
     return found
 

@@ -130,6 +130,11 @@ def _commit(spark: SparkSession, path: str, entry: dict) -> int | None:
     return number
 
 
+def rows_of(spark: SparkSession, path: str, commit: dict) -> DataFrame:
+    """The rows of one commit, with their _bucket."""
+    return spark.read.schema(StructType.fromJson(commit["schema"]).add("_bucket", IntegerType())).parquet(f"{path}/data/{commit['folder']}")
+
+
 def read(spark: SparkSession, path: str, key: str | list[str], schema: str | None = None, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
     """The newest row of each key (one or several columns, the first of which buckets go by), or of commits ``before`` a number.
 
@@ -143,8 +148,7 @@ def read(spark: SparkSession, path: str, key: str | list[str], schema: str | Non
         return empty
     parts = []
     for e in commits:
-        kind = StructType.fromJson(e["schema"])
-        rows = spark.read.schema(kind.add("_bucket", IntegerType())).parquet(f"{path}/data/{e['folder']}")
+        rows = rows_of(spark, path, e)
         parts.append((rows if only is None else rows.where(F.col("_bucket").isin(only))).withColumn("_n", F.lit(e["number"])))
     if empty is not None:
         parts.append(empty)
@@ -183,5 +187,6 @@ def compact(spark: SparkSession, path: str, key: str | list[str]) -> int | None:
     for e in log(spark, path):
         if (e["kind"] == "delta" and e["number"] <= old) or (e["kind"] == "base" and e["covers"] < old):
             fs.delete(make(f"{path}/_log/{e['number']:012d}"), False)
-            fs.delete(make(f"{path}/data/{e['folder']}"), True)
+            for kept in ("data", "grams"):
+                fs.delete(make(f"{path}/{kept}/{e['folder']}"), True)
     return number
