@@ -105,12 +105,22 @@ def has_word(lower_text: Column, word: Column) -> Column:
     return F.contains(lower_text, word) & F.rlike(lower_text, _bounded(_quoted(word), r"\b", r"\b"))
 
 
+#: Line breaks, and the white space within a line.
+_BREAKS = r"\n\x0B\f\r\x85\u2028\u2029"
+_GAP = rf"[^\S{_BREAKS}]"
+#: Holds in every text with a heading that reads skills.
+_SKILLS_LINE = rf"(?U)(?:^|[{_BREAKS}])[#\-{_GAP}]*+" + rf"{_GAP}*+".join((r"[sS]", r"[kK\u212A]", r"[iI]", r"[lL]", r"[lL]", r"[sS]")) + r"(?!\S)"
+_LABELLED = r"(?U)^[\w /&+\-.#]+:\s*\S+"
+
+
 def skill_lines(text: Column) -> Column:
     """Lines of the skills section, and ``Label: value`` lines before its end.
 
-    A heading that reads skills opens the section; the next ``##`` line ends the whole scan.
+    A heading that reads skills opens the section; the next ``##`` line ends the whole scan. A text without such a
+    heading has only its labelled lines to look at.
     """
     lines = F.filter(F.transform(lines_of(text), lambda x: strip(x)), lambda x: x != "")
+    labelled = F.filter(F.transform(F.filter(lines_of(text), lambda x: F.contains(x, F.lit(":"))), lambda x: strip(x)), lambda x: x.rlike(_LABELLED))
 
     def heading(x: Column) -> Column:
         bare = F.regexp_replace(F.lower(strip(F.regexp_replace(x, "^[#\\- ]+", ""))), r"(?U)\s+", "")
@@ -119,7 +129,7 @@ def skill_lines(text: Column) -> Column:
     def taken(ls: Column, heads: Column, opens: Column, over: Column) -> Column:
         """``opens`` is the first heading's place from 1 on, 0 without one; ``over`` the place from 0 on that ends the scan."""
         inside = lambda k: (opens > 0) & (k >= opens)
-        return F.filter(ls, lambda x, k: (k < over) & ~F.get(heads, k) & (inside(k) | x.rlike(r"(?U)^[\w /&+\-.#]+:\s*\S+")))
+        return F.filter(ls, lambda x, k: (k < over) & ~F.get(heads, k) & (inside(k) | x.rlike(_LABELLED)))
 
     def end(ls: Column, heads: Column, opens: Column) -> Column:
         ends = F.transform(ls, lambda x, k: F.when((opens > 0) & (k >= opens) & x.startswith("##") & ~F.get(heads, k), k))
@@ -128,12 +138,14 @@ def skill_lines(text: Column) -> Column:
     def scan(ls: Column, heads: Column, opens: Column) -> Column:
         return let(end(ls, heads, opens), lambda over: taken(ls, heads, opens, over))
 
-    return let(lines, lambda ls: let(F.transform(ls, heading), lambda heads: let(F.array_position(heads, F.lit(True)), lambda opens: scan(ls, heads, opens))))
+    sections = let(lines, lambda ls: let(F.transform(ls, heading), lambda heads: let(F.array_position(heads, F.lit(True)), lambda opens: scan(ls, heads, opens))))
+    return F.when(text.rlike(_SKILLS_LINE), sections).otherwise(labelled)
 
 
 def role_headers(text: Column) -> Column:
     """``##`` headings that name a role: not a section, nor about contact, education or languages."""
-    heads = F.filter(F.transform(lines_of(text), lambda x: strip(x)), lambda x: x.startswith("##"))
+    marked = F.filter(lines_of(text), lambda x: F.contains(x, F.lit("##")))
+    heads = F.filter(F.transform(marked, lambda x: strip(x)), lambda x: x.startswith("##"))
     clean = F.transform(heads, lambda x: F.regexp_replace(strip(F.regexp_replace(x, "^[# ]+", "")), r"(?U)\s+", " "))
 
     def keep(h: Column) -> Column:
@@ -144,10 +156,15 @@ def role_headers(text: Column) -> Column:
     return F.filter(clean, keep)
 
 
-def current_role(text: Column) -> Column:
-    """After the first ``current role:``, ``position:`` or ``title:``, else the first ``##`` heading; or null."""
+def current_role(text: Column, lower: Column | None = None) -> Column:
+    """After the first ``current role:``, ``position:`` or ``title:``, else the first ``##`` heading; or null.
+
+    ``lower`` is the text in lower case, where the caller has it.
+    """
+    low = F.lower(text) if lower is None else lower
+    named = F.contains(low, F.lit("role")) | F.contains(low, F.lit("position")) | F.contains(low, F.lit("title"))
     pattern = r"(?iU)(?:current\s*role|position|title)\s*:\s*([^\n]+)"
-    label = F.when(F.contains(text, F.lit(":")) & text.rlike("(?i)role|position|title"), F.regexp_extract(text, pattern, 1)).otherwise("")
+    label = F.when(F.contains(text, F.lit(":")) & named, F.regexp_extract(text, pattern, 1)).otherwise("")
     heading = F.when(F.contains(text, F.lit("##")), strip(F.regexp_extract(text, r"(?U)##\s*([^\n]+)", 1)))
     return let(label, lambda x: or_null(F.when(x != "", strip(x)).otherwise(heading)))
 
@@ -162,6 +179,12 @@ def domain_text(parts: Column) -> Column:
     return F.trim(let(joined, named))
 
 
+def tail(text: Column, most: Column) -> Column:
+    """The text from a white space before its last ``most`` characters on; the whole text where none is near."""
+    near = F.regexp_extract(F.right(text, most + 64), r"(?Us)^\S{0,63}(\s.*)", 1)
+    return F.when((F.length(text) > most + 64) & (near != ""), near).otherwise(text)
+
+
 def compact_cv(text: Column, most: int = 3500) -> Column:
     """Stripped non-blank lines with runs of blanks collapsed, cut to ``most`` characters for a prompt."""
     kept = F.filter(F.transform(lines_of(text), lambda x: strip(x)), lambda x: x != "")

@@ -15,10 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_key, has_word
+from ..functions.text import domain_text, has_key, has_word, tail
 from ..sources import versions
 from .catalog import prepared
-from .score import TEXTS
+from .score import ENDS, TEXTS
 from .term_index import IN_RANGE, best, hits, in_range, term_index, with_weights
 
 #: Vacancies whose size is measured together; a slice holds whole blocks.
@@ -76,7 +76,7 @@ def catalogue_slices(vacancies: DataFrame, top_k: int = 1, index: bool = False)
 def _met(cvs: DataFrame, vacancies: DataFrame, top_k: int | None) -> tuple[DataFrame | None, int, int]:
     """Each CV's vacancies of each slice, the ``top_k`` best or all: what isn't text of the CV, with s, o and v. Also the numbers of vacancies and slices."""
     slices, n = catalogue_slices(vacancies, top_k or 1, index=True)
-    looked_up = set(cvs.columns) >= {"cv_lower", "cv_domain"}
+    looked_up = set(cvs.columns) >= {"cv_lower", "cv_parts", "cv_domain"}
     kept = [c for c in cvs.columns if c not in TEXTS] if looked_up else cvs.columns
     whole = top_k is None or n <= top_k
     parts = []
@@ -103,9 +103,12 @@ def _met(cvs: DataFrame, vacancies: DataFrame, top_k: int | None) -> tuple[DataF
                 asked = keys if whole else F.array_intersect(asked, keys)
             rows = rows.select("*", asked.alias("_keys"))
             found = F.filter("_keys", lambda k: has_key(F.col("_low"), k))
-            domains = F.filter(every("dept_terms"), lambda t: has_word(F.col("cv_domain"), t))
-            rows = rows.select(*kept, found.alias("cv_found"), domains.alias("cv_domains"), "_chosen")
-            parts.append(rows.select(*kept, "cv_found", "cv_domains", F.posexplode_outer("_chosen").alias("_at", "_x")))
+            named = lambda c: F.filter(every("dept_terms"), lambda t: has_word(F.col(c), t))
+            longest = F.array_max(F.transform("_chosen", lambda x: F.array_max(F.transform(x["v"]["terms"], F.length))))
+            rows = rows.select("*", domain_text(F.col("cv_parts")).alias("_part_text"))
+            ends = tail(F.col("_low"), F.coalesce(longest, F.lit(0))).alias("cv_tail"), named("_part_text").alias("cv_part_domains")
+            rows = rows.select(*kept, found.alias("cv_found"), named("cv_domain").alias("cv_domains"), *ends, "_chosen")
+            parts.append(rows.select(*kept, "cv_found", "cv_domains", *ENDS, F.posexplode_outer("_chosen").alias("_at", "_x")))
         else:
             parts.append(rows.select(*kept, F.posexplode_outer("_chosen").alias("_at", "_x")))
         # An inner generator would have the optimizer repeat the whole scoring as a condition of the join.

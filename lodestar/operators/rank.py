@@ -39,6 +39,16 @@ def gate(rows: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     return rows.where("rank = 1").select("cv_key", _settled(config).alias("llm_skipped"))
 
 
+def with_gate(rows: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """Pairs with rule_score and rule_coverage, and llm_skipped of their CV in place of these."""
+    of = Window.partitionBy("cv_key")
+    w = of.orderBy(F.desc("rule_score"), "input_rank")
+    margin = F.col("rule_score") - F.coalesce(F.lead("rule_score").over(w), F.lit(0.0))
+    placed = rows.select("*", F.row_number().over(w).alias("_rank"), margin.alias("_margin"))
+    settled = (F.col("rule_coverage") >= config.skip_coverage) & (F.col("_margin") >= config.skip_margin)
+    return placed.select(*[c for c in rows.columns if c not in ("rule_score", "rule_coverage")], F.max(F.when(F.col("_rank") == 1, settled)).over(of).alias("llm_skipped"))
+
+
 def skip_report(gated: DataFrame) -> DataFrame:
     """One row of a batch's (cv_key, llm_skipped): CVs, those that needed no enrichment, and their whole percentage."""
     skipped = F.count_if(F.coalesce("llm_skipped", F.lit(False)))

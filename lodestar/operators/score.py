@@ -55,22 +55,39 @@ def with_features(cvs: DataFrame) -> DataFrame:
     """Adds what scoring takes from a CV's text alone, so that it is worked out once for all its pairs."""
     text = F.col("cv_text")
     parts = F.concat(role_headers(text), skill_lines(text))
-    rows = cvs.select("*", F.lower(text).alias("cv_lower"), current_role(text).alias("cv_role"), parts.alias("cv_parts"))
+    rows = cvs.select("*", F.lower(text).alias("cv_lower"))
+    rows = rows.select("*", current_role(text, F.col("cv_lower")).alias("cv_role"), parts.alias("cv_parts"))
     return rows.select("*", domain_text(F.concat(F.array("cv_role"), F.col("cv_parts"))).alias("cv_domain"))
 
 
 FEATURES = ("cv_lower", "cv_role", "cv_parts", "cv_domain")
 #: Columns that pairs do without once terms have been looked up.
 TEXTS = ("cv_text", "cv_lower", "cv_parts", "cv_domain")
+#: What enriched pairs look up instead of texts: the text's end, and the domains that its parts without the role name.
+ENDS = ("cv_tail", "cv_part_domains")
 
 
 def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """One scored row for each pair; the CV text itself is left behind.
 
+    Pairs that have looked up their terms need no text for an enriched score either: an answer's words follow the text after a
+    space, so a term that they bring lies in them or begins in the text's last characters.
+
     Unknown experience meets any bound and gives no requirement. Lists keep repeats; the evidence map
     holds each requirement id once, the last of equals. Where a component is unknown it doesn't count.
     A score of 100 with anything missing becomes 99; an unknown component is nothing missing.
     """
+    return _told(_judged(pairs, config), config)
+
+
+def with_rule_score(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """Adds rule_score and rule_coverage, those of ``score_pairs`` without enrichment, and keeps all columns."""
+    rows = _judged(pairs.drop("profile", "llm"), config).select("*", F.col("score").alias("rule_score"), F.bround("_coverage", 2).alias("rule_coverage"))
+    return rows.select(*[c for c in pairs.columns if c not in ("profile", "llm")], "rule_score", "rule_coverage")
+
+
+def _judged(pairs: DataFrame, config: MatchConfig) -> DataFrame:
+    """All that a score rests on, the score, and the requirements."""
     have = set(pairs.columns)
     rows = pairs
     for name, kind in (("profile", PROFILE), ("llm", LLM), ("candidate_ctc", "double"), ("candidate_experience", "double")):
@@ -84,21 +101,26 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
     education, certification = or_null(v["education_requirements"]), or_null(v["certifications"])
     enriched = bool({"profile", "llm"} & have)
     role = F.col("cv_role")
+    ends = {"cv_found", "cv_domains", *ENDS} <= have
     if enriched or "cv_found" not in have:  # otherwise terms have been looked up once per CV
-        if not have.issuperset(FEATURES):
+        if not ends and not have.issuperset(FEATURES):
             rows = with_features(rows)
-        lower, domain = F.col("cv_lower"), F.col("cv_domain")
+        lower, domain = F.col("cv_tail" if ends else "cv_lower"), F.col("cv_part_domains" if ends else "cv_domain")
         if enriched:
             role = F.coalesce(or_null(p["current_role"]), role)
             added = F.concat(_or_none(p["core_skills"]), _or_none(p["inferred_skills"]), _or_none(p["professional_domains"]), F.array(p["current_role"]), _or_none(p["education_domains"]), _or_none(p["certifications"]))
             lower = F.concat_ws(" ", lower, or_null(F.lower(F.array_join(F.filter(added, lambda x: x != ""), " "))))
             known = F.concat(F.array(role, p["current_role"]), _or_none(p["core_skills"]), _or_none(p["inferred_skills"]), _or_none(p["professional_domains"]), _or_none(m["inferred_skills"]), _or_none(m["matched_skills"]))
-            domain = domain_text(F.concat(known, F.col("cv_parts")))
+            domain = domain_text(known if ends else F.concat(known, F.col("cv_parts")))
         rows = rows.select("*", lower.alias("_text"), domain.alias("_domain_text"))
         stated = F.transform(F.filter(F.array(education, certification), lambda x: x.isNotNull()), term_key)
         asked = F.array_distinct(F.concat(skill_keys, keyword_keys, technology_keys, responsibility_keys, stated))
         found = F.filter(asked, lambda k: (k != "") & has_key(F.col("_text"), k))
         domains = F.filter(v["dept_terms"], lambda t: has_word(F.col("_domain_text"), t))
+        if ends:
+            plain = p.isNull() & m.isNull()
+            found = F.when(plain, F.col("cv_found")).otherwise(F.concat("cv_found", found))
+            domains = F.when(plain, F.col("cv_domains")).otherwise(F.concat("cv_part_domains", domains))
         rows = rows.select(*[c for c in rows.columns if c not in ("cv_found", "cv_domains", "_text", "_domain_text")], found.alias("cv_found"), domains.alias("cv_domains"))
     rows = rows.select(*[c for c in rows.columns if c != "candidate_experience"], F.coalesce(F.col("candidate_experience").cast("double"), p["relevant_experience_years"]).alias("candidate_experience"), role.alias("_current"))
     required, preferred = _or_none(v["required_skills"]), _or_none(v["preferred_keywords"])
@@ -234,13 +256,24 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
     full = sum(float(w) for w in config.weights.values())
     boost = F.when(m["semantic_fit_score"] != 0, F.least(F.lit(config.llm_max_boost), m["semantic_fit_score"] * config.llm_weight)).otherwise(0.0)
     rows = rows.select("*", (F.when(active > 0, weighted / active).otherwise(0.0) + F.coalesce(boost, F.lit(0.0))).alias("_raw"), (active / full).alias("_coverage"))
-    low_coverage = F.col("_coverage") < 0.5
-    n_failed = F.size("mandatory_failures")
+    # Counted without the requirements' sentences, so that a score alone needs none of them.
+    number = lambda condition: F.when(condition, 1).otherwise(0)
+    lacks = lambda held: lambda t: ~F.coalesce(F.array_contains(held, t), F.lit(False))
+    unmet = [number(knows_low & ~enough), number(education.isNotNull() & ~has_education), number(certification.isNotNull() & ~has_certification), number(ctc > budget)]
+    rows = rows.select("*", sum(unmet, F.size(F.filter(required, lacks("matched_skills")))).alias("_n_failed"), F.exists(preferred, lacks("matched_keywords")).alias("_unwanted"))
+    n_failed = F.col("_n_failed")
     kept = F.bround(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("_raw"))), 1)
-    flawed = (F.coalesce(F.col("_skills"), F.lit(100.0)) < 100.0) | (F.size("_absent") > 0) | (F.coalesce(F.col("_domain"), F.lit(100.0)) < 100.0)
+    flawed = (F.coalesce(F.col("_skills"), F.lit(100.0)) < 100.0) | (n_failed > 0) | F.col("_unwanted") | (F.coalesce(F.col("_domain"), F.lit(100.0)) < 100.0)
     punished = F.bround(F.greatest(F.lit(0.0), F.least(F.col("_raw") - n_failed * config.failure_penalty, F.lit(config.failure_cap))), 1)
     score = F.when(n_failed > 0, punished).when((kept >= 100.0) & flawed, 99.0).otherwise(kept)
-    rows = rows.select("*", score.alias("score"))
+    return rows.select("*", score.alias("score"))
+
+
+def _told(rows: DataFrame, config: MatchConfig) -> DataFrame:
+    """The scored rows as callers see them."""
+    p, m, v = F.col("profile"), F.col("llm"), F.col("v")
+    department = F.coalesce(or_null(v["department_name"]), or_null(v["department"]))
+    low_coverage, n_failed = F.col("_coverage") < 0.5, F.col("_n_failed")
     high, medium = F.col("score") >= config.high_threshold, F.col("score") >= config.medium_threshold
     failures = F.array_join(F.transform("mandatory_failures", lambda f: _join(f["description"], " (", f["reason"], ")")), "; ")
     reason = F.when(n_failed > 0, _join("Mandatory requirement failure(s): ", failures)).otherwise(_join("All mandatory requirements satisfied. Overall match score is ", _text(F.col("score")), "%."))
@@ -255,7 +288,7 @@ def score_pairs(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
         "potential": "Potential match — HR review recommended.",
         "weak": "Significant requirements missing — Manual HR review required (never auto-rejected).",
     }
-    internal = {"_current", "cv_found", "cv_domains", "_matched", "_missing", "_absent", "_ids", "_all", "_raw", "_coverage", "v", "cv_role", *TEXTS, "profile", "llm", "score", *(f"_{c}" for c in COMPONENTS)}
+    internal = {"_current", "cv_found", "cv_domains", "_matched", "_missing", "_absent", "_ids", "_all", "_raw", "_coverage", "_n_failed", "_unwanted", "v", "cv_role", *TEXTS, *ENDS, "profile", "llm", "score", *(f"_{c}" for c in COMPONENTS)}
     made = {"matched_skills", "missing_skills", "matched_keywords", "missing_keywords", "mandatory_requirements", "preferred_requirements", "matched_criteria", "mandatory_failures", "career_transition_detected", "career_transition_note"}
     carried = [c for c in rows.columns if c not in internal | made]
     return rows.select(

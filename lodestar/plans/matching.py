@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from ..functions.enrichment import Enricher, enrich, enrichment_rows
+from ..functions.enrichment import Enricher, answer_rows, enrich, told_of
 from ..functions.text import or_null, strip
 from ..operators.catalog import conform
 from ..operators.prefilter import all_pairs, prefilter
-from ..operators.rank import analyses, ranked
-from ..operators.score import TEXTS, score_pairs, with_features
+from ..operators.rank import analyses, gate, ranked, with_gate
+from ..operators.score import score_pairs, with_features, with_rule_score
 from ..sources import versions
 from ..sources.store import originals, reanalyzed
 
@@ -26,10 +26,10 @@ def as_cvs(cvs: DataFrame) -> DataFrame:
 
 def checked(cvs: DataFrame) -> DataFrame:
     """Adds cv_error: why a text can't be analysed, or null."""
-    bare = strip(F.coalesce("cv_text", F.lit("")))
+    text = F.coalesce("cv_text", F.lit(""))
     return cvs.withColumn(
         "cv_error",
-        F.when(bare == "", "CV text is empty.").when(F.contains("cv_text", F.lit("<!-- image -->")) & (F.length(bare) < 50), "CV holds images without readable text."),
+        F.when(~text.rlike(r"(?U)\S"), "CV text is empty.").when(F.contains("cv_text", F.lit("<!-- image -->")) & (F.length(strip(text)) < 50), "CV holds images without readable text."),
     )
 
 
@@ -58,27 +58,26 @@ def match_two_stage(
     ``answers`` (cv_key, response JSON) is an enrichment table; ``enricher`` answers prompts that it
     lacks, once for each CV, by way of the answer table at ``answer_path`` (without a path: one of this run
     alone), so a run that is started again asks only what is open. Without either, rules decide alone, in one
-    pass. With one, pairs are scored by rules once and only those of CVs with an answer again.
+    pass. With one, pairs meet their CV's answer in the shuffle that ranks them: there the score by rules alone gives the
+    gate, and each pair is then scored with what the gate lets through of the answer. Texts are read once and not shuffled.
     """
     valid = checked(as_cvs(cvs)).where("cv_error is null").drop("cv_error")
     featured = with_features(valid)
     pairs = prefilter(featured, conform(vacancies), config.prefilter_k)
     if answers is None and enricher is None:
         return ranked(score_pairs(pairs, config), config)
-    pairs = kept(pairs)
-    rules = kept(ranked(score_pairs(pairs, config), config))
-    open_cvs = rules.where("rank = 1 AND NOT llm_skipped").select("cv_key")
     if enricher is not None:
+        pairs = kept(pairs)
+        open_cvs = gate(ranked(score_pairs(pairs, config)), config).where("NOT llm_skipped").select("cv_key")
         asked = pairs.join(open_cvs, "cv_key", "left_semi")
         answers = enrich(asked, enricher, answers, featured, answer_path or versions.scratch(cvs.sparkSession))
-    profiles, matches = enrichment_rows(answers.join(open_cvs, "cv_key", "left_semi"))
-    texts = featured.select("cv_key", *TEXTS)
-    again = pairs.drop("cv_found", "cv_domains").join(profiles, "cv_key").join(texts, "cv_key")
-    again = again.withColumn("_vacancy", F.coalesce(F.col("v.vacancy_id").cast("string"), or_null(F.col("v.id"))))
-    again = again.join(matches, ["cv_key", "_vacancy"], "left").drop("_vacancy")
-    rescored = ranked(score_pairs(again, config)).withColumn("llm_skipped", F.lit(False))
-    settled = rules.join(profiles.select("cv_key"), "cv_key", "left_anti")
-    return settled.unionByName(rescored)
+    rows = with_gate(with_rule_score(pairs.join(answer_rows(answers), "cv_key", "left"), config), config)
+    answer = F.when(~F.col("llm_skipped"), F.col("answer"))
+    vacancy = F.coalesce(F.col("v.vacancy_id").cast("string"), or_null(F.col("v.id")))
+    rows = rows.withColumn("answer", answer)
+    rows = rows.select("*", F.col("answer.candidate_profile").alias("profile"), told_of(F.col("answer"), vacancy).alias("llm")).drop("answer")
+    out = ranked(score_pairs(rows, config))
+    return out.select(*[c for c in out.columns if c != "llm_skipped"], "llm_skipped")
 
 
 def match_candidates(candidates: DataFrame, texts: DataFrame, vacancies: DataFrame, limit: int, config: MatchConfig = MatchConfig()) -> DataFrame:

@@ -135,6 +135,21 @@ def test_gate_and_enrichment(spark, tmp_path):
     assert log.read_text() == "Cook\n"
 
 
+def test_answers_meet_pairs_without_texts(spark, monkeypatch):
+    """Texts are read once, no pairs are written, and a term across the end of a text and its answer counts."""
+    monkeypatch.setattr(matching, "kept", None)
+    ends = ["we hire a data", "no word here", "c", "data analyst", "x" * 200, "python\n"]
+    cvs = spark.createDataFrame([(str(k), f"## Cook\nLabel: src\n{'prose ' * (k % 2 * 60)}{e}", 1.0) for k, e in enumerate(ends)], "cv_key string, cv_text string, candidate_experience double")
+    jobs = vacancies(spark, ("1", "Nurse", "src", ["data analyst", "c++"], ["python"], 2.0), ("2", "Cook", "Finance", ["hire a data analyst"], [], None))
+    profiles = [(str(k), '{"candidate_profile": {"core_skills": ["Analyst", "++"]}, "matched_vacancies": [{"vacancy_id": "2", "semantic_reason": "a"}, {"vacancy_id": "2", "semantic_reason": "b"}]}') for k in range(5)]
+    out = matching.match_two_stage(cvs, jobs, MatchConfig(skip_margin=1000.0), spark.createDataFrame(profiles, "cv_key string, response string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line for line in plan.splitlines()) == 2 and plan.count("LogicalRDD") <= 4
+    got = {(r.cv_key, r.job_id): (r.matched_skills, r.llm_reason) for r in out.collect()}
+    assert got["0", "1"] == (["data analyst"], "") and got["0", "2"] == (["hire a data analyst"], "b")
+    assert got["1", "1"] == ([], "") and got["2", "1"] == ([], "") and got["3", "1"] == (["data analyst"], "") and got["5", "2"] == ([], "")
+
+
 def test_enricher_is_asked_once_for_each_cv(spark, tmp_path):
     cvs = spark.range(30).selectExpr("cast(id AS string) AS cv_key", "concat('## Cook\n', id) AS cv_text", "1.0D AS candidate_experience").repartition(4)
     jobs = vacancies(spark, ("1", "Python Developer", "Engineering", ["Python"], ["Git"], 2.0))
