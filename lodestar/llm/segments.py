@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -63,15 +63,29 @@ def _letters(part: str) -> str:
     return part.encode().decode("latin-1").translate(_ALPHABET)
 
 
+class Codes(dict):
+    """What ``make`` gives for a key, kept for the first ``limit`` keys."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.make(key)
+        if len(self) < self.limit:
+            self[key] = got
+        return got
+
+
 class ByteLevelEncoder:
-    """Ids of texts by a byte-level tokenizer that sees each pre-token once while the cache has room.
+    """Ids of texts by a byte-level tokenizer that sees each segment once while the cache has room.
 
-    Of up to ``cache`` segments the ids stay in memory, as little-endian unsigned 32-bit numbers. Segments of ASCII
+    Of the first ``cache`` segments, and a quarter as many pre-tokens of longer segments, the ids stay in memory, as little-endian unsigned 32-bit numbers. Segments of ASCII
     and Latin letters are cut into pre-tokens, each of which the tokenizer's model encodes; it encodes all other
     segments itself. With ``specials``, a text with a special token's string goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, specials: bool = True, cache: int = 200_000):
+    def __init__(self, path: str, specials: bool = True, cache: int = 320_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,20 +93,16 @@ class ByteLevelEncoder:
         self.tokenizer.encode_special_tokens = not specials
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.specials = re.compile("|".join(map(re.escape, added))) if specials and added else None
-        self.limit, self.known, self.parts = cache, {}, {}
+        self.known, self.parts = Codes(lambda key: self.encode_segment(segment(key)), cache), Codes(self._part, cache // 4)
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            got = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(_letters(part))])
-            if len(self.parts) < self.limit:
-                self.parts[part] = got
-        return got
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(_letters(part))])
 
     def encode_segment(self, text: str) -> bytes:
         """Ids of text that begins and ends where segments do."""
         if _PLAIN.fullmatch(text):
-            return b"".join(map(self._part, _PARTS.findall(text)))
+            found, parts = _PARTS.findall(text), self.parts
+            return b"".join([parts[part] for part in found]) if len(found) > 1 else b"".join(map(self._part, found))
         return self.encode_whole(text)
 
     def encode_whole(self, text: str) -> bytes:
@@ -104,14 +114,7 @@ class ByteLevelEncoder:
         if first:  # without the space before the text
             head = self.encode_segment(segment(keys[0])[1:]) if text else b""
             keys = keys[1:]
-        try:
-            return head + b"".join([known[k] for k in keys])
-        except KeyError:
-            fresh = {k: self.encode_segment(segment(k)) for k in dict.fromkeys(keys) if k not in known}
-        if len(known) + len(fresh) <= self.limit:
-            known |= fresh
-            fresh = known
-        return head + b"".join([fresh.get(k) or known[k] for k in keys])
+        return head + b"".join([known[k] for k in keys])
 
     def encode(self, text: str) -> bytes:
         if self.specials and self.specials.search(text):

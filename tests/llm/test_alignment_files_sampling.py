@@ -210,3 +210,15 @@ def test_empty_tables(spark, texts, tmp_path):
     assert token_files.digest(token_files.read_tokens(spark, f"{tmp_path}/none")).count() == 0
     assert resampling.resample(none, none).count() == 0
     assert resampling.resample(texts[1], none).count() == texts[1].count()
+
+
+def test_encoder_fills_its_cache_and_goes_on():
+    """A text with more new segments than there is room for: the first ones are kept, and the ids are the tokenizer's."""
+    import public_tokenizers
+
+    from lodestar.llm.segments import ByteLevelEncoder
+
+    encoder = ByteLevelEncoder(public_tokenizers.path("byte_bpe_50k.json"), cache=4)
+    for text in ("one two, three (four) five six two, seven\n\n eight", "", " ", "two, nine's \u00e9t\u00e9 \u4e2d\u6587 one"):
+        assert encoder.encode(text) == encoder.encode_whole(text)
+    assert len(encoder.known) == 4
