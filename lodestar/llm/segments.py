@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_folder
@@ -23,6 +25,10 @@ from .packing import _ALPHABET
 _RUN = re.compile(r"\s[ \n]")
 _SEGMENT = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 _BOUNDARY = re.compile(r"\S ")
+#: White space as in the patterns above, for Arrow's regular expressions.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: Bytes of segments that the tokenizer sees at once, and of the longest segment worth keeping.
+_CHUNK, _KEPT = 1 << 14, 32
 #: Characters that the two patterns below class as the tokenizer does; the Latin letters are those from U+00C0 to U+024F.
 _PLAIN = re.compile("[\n !-~\xc0-\xd6\xd8-\xf6\xf8-ɏ]+")
 _PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
@@ -80,20 +86,30 @@ class Codes(dict):
 class ByteLevelEncoder:
     """Ids of texts by a byte-level tokenizer that sees each segment once while the cache has room.
 
-    Of the first ``cache`` segments, and a quarter as many pre-tokens of longer segments, the ids stay in memory, as little-endian unsigned 32-bit numbers. Segments of ASCII
-    and Latin letters are cut into pre-tokens, each of which the tokenizer's model encodes; it encodes all other
-    segments itself. With ``specials``, a text with a special token's string goes to the tokenizer whole.
+    The distinct segments of a batch of texts are looked up among the first ``cache`` ones of up to 32 bytes, and the
+    tokenizer gets the others joined: they begin with white space, so their tokens in turn are those of each alone, and
+    the tokens' bytes tell where each ends. A segment that ends in white space ends what is joined. A text's first segment,
+    which has no space before it, and a text with a special token's string (with ``specials``) go to the tokenizer by
+    themselves. Where the bytes of tokens don't add up to the texts' bytes, texts are encoded whole.
+
+    ``encode_segment`` serves single segments: those of ASCII and Latin letters are cut into pre-tokens, each of which the
+    tokenizer's model encodes, and the first ``cache // 8`` pre-tokens stay in memory.
     """
 
-    def __init__(self, path: str, specials: bool = True, cache: int = 320_000):
+    def __init__(self, path: str, specials: bool = True, cache: int = 640_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not specials
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.specials = re.compile("|".join(map(re.escape, added))) if specials and added else None
-        self.known, self.parts = Codes(lambda key: self.encode_segment(segment(key)), cache), Codes(self._part, cache // 4)
+        added = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.specials = re.compile("|".join(map(re.escape, added.values()))) if specials and added else None
+        self.parts = Codes(self._part, cache // 8)
+        self.cache, self.chunk = cache, 1 if any(re.search(r"\s", t) for t in added.values()) else _CHUNK
+        sizes = {k: len(t) for t, k in self.tokenizer.get_vocab().items()} | {k: len(t.encode()) for k, t in added.items()}
+        self.sizes = np.zeros(max(sizes, default=0) + 1, dtype=np.int64)
+        self.sizes[list(sizes)] = list(sizes.values())
+        self.known, self.codes = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
 
     def _part(self, part: str) -> bytes:
         return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(_letters(part))])
@@ -108,18 +124,73 @@ class ByteLevelEncoder:
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _stretch(self, text: str, first: bool) -> bytes:
-        keys, known = segment_keys(text), self.known
-        head = b""
-        if first:  # without the space before the text
-            head = self.encode_segment(segment(keys[0])[1:]) if text else b""
-            keys = keys[1:]
-        return head + b"".join([known[k] for k in keys])
-
     def encode(self, text: str) -> bytes:
-        if self.specials and self.specials.search(text):
-            return self.encode_whole(text)
-        return b"".join([self._stretch(part, k == 0) for k, part in enumerate(stretches(text))])
+        return self.encode_all(pa.array([text])).values.to_numpy().astype("<u4", copy=False).tobytes()
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype=np.int32), *coded]), np.cumsum([0, *map(len, coded)])
+
+    def _keys(self, texts: pa.StringArray) -> pa.ListArray:
+        """Each text's segment keys, at least one; texts with runs of white space are cut one by one."""
+        keys = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        odd = pc.match_substring_regex(texts, rf"\A[ \n]|{_SPACE}[ \n]").to_numpy(zero_copy_only=False)
+        whole = np.array([bool(self.specials.search(t)) for t in texts.to_pylist()], dtype=bool) if self.specials else np.zeros(len(texts), dtype=bool)
+        at = np.flatnonzero(odd | whole)
+        if not len(at):
+            return keys
+        cut = []
+        for k, text in zip(at.tolist(), texts.take(pa.array(at)).to_pylist()):
+            lists = [whole_key(text)] if whole[k] else map(segment_keys, stretches(text))
+            cut.append(pa.concat_arrays([pa.array(x, pa.string()) for x in lists]))
+        own = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cut)]), pa.int32()), pa.concat_arrays(cut))
+        order = np.arange(len(texts))
+        order[at] = len(texts) + np.arange(len(at))
+        return pa.concat_arrays([keys, own]).take(pa.array(order))
+
+    def _fresh(self, keys: pa.StringArray, heads: list[str]) -> pa.ListArray | None:
+        """Ids of the keys' segments and of the heads; none if tokens don't end where those do."""
+        segs = pc.if_else(pc.match_substring_regex(keys, r"\A[ \n]"), keys, pc.binary_join_element_wise("", keys, " "))
+        ends = np.cumsum(pc.binary_length(segs).to_numpy(), dtype=np.int64)
+        data = "".join(segs.to_pylist()).encode()
+        last = pc.match_substring_regex(segs, rf"{_SPACE}\z").to_numpy(zero_copy_only=False).copy()
+        last |= np.diff(ends // self.chunk, prepend=0) > 0
+        cuts = np.unique([0, *ends[last].tolist(), len(data)]).tolist()
+        ids, at = self._ids([data[a:b].decode() for a, b in zip(cuts, cuts[1:])])
+        reached = np.append(0, np.cumsum(self.sizes[ids]))
+        marks = np.searchsorted(reached, ends)
+        own, tops = self._ids(heads)
+        bytes_own = np.append(0, np.cumsum(self.sizes[own]))[tops]
+        if reached[-1] != len(data) or (reached[marks] != ends).any() or (np.diff(bytes_own) != [len(h.encode()) for h in heads]).any():
+            return None
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], marks, len(ids) + tops[1:]]), pa.int32()), pa.array(np.concatenate([ids, own])))
+
+    def encode_all(self, texts: pa.StringArray) -> pa.ListArray:
+        """Ids of each text; a null has none."""
+        texts = pc.fill_null(texts, "")
+        keys = self._keys(texts)
+        at, flat = keys.offsets.to_numpy(), keys.flatten()
+        inner = np.ones(len(flat), dtype=bool)
+        inner[at[:-1]] = False
+        heads = [segment(k)[1:] for k in flat.filter(pa.array(~inner)).to_pylist()]
+        drawn = flat.filter(pa.array(inner)).dictionary_encode()
+        found = pc.index_in(drawn.dictionary, value_set=self.known)
+        new = found.is_null()
+        missed = drawn.dictionary.filter(new)
+        fresh = self._fresh(missed, heads)
+        if fresh is None:
+            ids, ends = self._ids(texts.to_pylist())
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        place = pc.fill_null(found, 0).to_numpy().copy()
+        place[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(missed))
+        code = np.empty(len(flat), dtype=np.int32)
+        code[inner] = place[drawn.indices.to_numpy()]
+        code[~inner] = len(self.known) + len(missed) + np.arange(len(heads))
+        ids = pa.concat_arrays([self.codes, fresh]).take(pa.array(code))
+        keep = pa.array(np.flatnonzero(pc.binary_length(missed).to_numpy() <= _KEPT)[: self.cache - len(self.known)])
+        if len(keep):
+            self.known, self.codes = pa.concat_arrays([self.known, missed.take(keep)]), pa.concat_arrays([self.codes, fresh.take(keep)])
+        return pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy()[at]), ids.values)
 
 
 @lru_cache(maxsize=2)

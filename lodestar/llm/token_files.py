@@ -16,9 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import gathered, mapped
 from .segments import encoder
 
+#: Bytes of rows that are encoded at once.
+ENCODED = 8 << 20
 FILE = "part int, doc_id long, start long, n_tokens long, ids array<int>"
 _FILE = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -36,17 +38,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fi
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
-    closing = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, start = encoder(tokenizer, True).encode, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            coded = [encode(t or "") + closing for t in batch.column(1).to_pylist()]
-            lengths = np.array([len(c) // 4 for c in coded], dtype=np.int64)
-            ends = np.cumsum(lengths)
-            ids = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(coded), part, dtype=np.int32)), batch.column(0), pa.array(start + ends - lengths), pa.array(lengths), ids], schema=_FILE)
-            start += int(lengths.sum())
+        encode, part, start = encoder(tokenizer, True).encode_all, TaskContext.get().partitionId(), 0
+        for batch in gathered(batches, ENCODED):
+            coded = encode(batch.column(1))
+            bare, n = coded.offsets.to_numpy(), np.arange(batch.num_rows + 1)
+            ids = pa.ListArray.from_arrays(pa.array(bare + n, pa.int32()), pa.array(np.insert(coded.values.to_numpy(), bare[1:], end_id)))
+            ends = (bare + n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, dtype=np.int32)), batch.column(0), pa.array(start + ends[:-1]), pa.array(np.diff(ends)), ids], schema=_FILE)
+            start += int(ends[-1])
 
     options = {"orc.stripe.size": stripe_bytes, "orc.create.index": "true", "orc.row.index.stride": stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": fpp, "compression": "zstd"}
     mapped(dealt.sortWithinPartitions(*order), run, FILE).write.options(**options).orc(path)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,58 @@ def test_encoder_fills_its_cache_and_goes_on():
     for text in ("one two, three (four) five six two, seven\n\n eight", "", " ", "two, nine's \u00e9t\u00e9 \u4e2d\u6587 one"):
         assert encoder.encode(text) == encoder.encode_whole(text)
     assert len(encoder.known) == 4
+
+
+class Counted:
+    """A tokenizer that counts the characters it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.seen = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("cache", [0, 3, 100_000])
+def test_batches_of_odd_texts_equal_tokenizer(texts, cache):
+    from tokenizers import Tokenizer
+
+    plain, fast = Tokenizer.from_file(A), segments.ByteLevelEncoder(A, cache=cache)
+    rows = [t for _, t in texts[0]]
+    for batch in (rows, rows[:1], [], rows[::-1]):
+        assert fast.encode_all(pa.array(batch, pa.string())).to_pylist() == [plain.encode(t or "", add_special_tokens=False).ids for t in batch]
+    assert len(fast.known) <= cache
+
+
+def test_tokenizer_gets_a_batch_of_missing_segments_once():
+    """With a full cache, a segment that is in every text of a batch goes to the tokenizer once, not for each text."""
+    fast = segments.ByteLevelEncoder(A, cache=0)
+    counted = fast.tokenizer = Counted(fast.tokenizer)
+    batch = [f"t {' '.join(f'word{k}, (x{k})' for k in range(50))}\n{n}" for n in range(300)]
+    got = fast.encode_all(pa.array(batch)).to_pylist()
+    assert got == [e.ids for e in counted.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+    assert counted.seen < 3000 < sum(map(len, batch)) / 50
+
+
+def test_tokens_that_do_not_add_up_are_encoded_whole(tmp_path):
+    """Normalised bytes, and a special token that spans segments."""
+    from tokenizers import AddedToken, Tokenizer, normalizers
+
+    batch = ["cafe\u0301 au lait", "stop here", "please stop", "here stop here", "no stop", " here"]
+    for name, change in (("nfc", lambda t: setattr(t, "normalizer", normalizers.NFC())), ("spaced", lambda t: t.add_special_tokens([AddedToken("stop here", special=True)]))):
+        plain = Tokenizer.from_file(A)
+        change(plain)
+        plain.save(f"{tmp_path}/{name}.json")
+        fast = segments.ByteLevelEncoder(f"{tmp_path}/{name}.json")
+        for _ in range(2):
+            assert fast.encode_all(pa.array(batch)).to_pylist() == [plain.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_token_files_gather_batches_and_cut_none(spark, tmp_path, monkeypatch):
+    """Starts run on over the gathered batches of one file."""
+    docs = spark.range(2500).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 1 + id % 7) AS text").coalesce(1)
+    monkeypatch.setattr(token_files, "ENCODED", 30_000)
+    token_files.write_tokens(docs, f"{tmp_path}/few", A, files=1)
+    got = token_files.digest(token_files.read_tokens(spark, f"{tmp_path}/few")).collect()
+    assert sorted(map(tuple, got)) == plain_files([tuple(r) for r in docs.collect()])
