@@ -12,6 +12,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,9 @@ _SEGMENT = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 _BOUNDARY = re.compile(r"\S ")
 #: White space as in the patterns above, for Arrow's regular expressions.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-#: Bytes of segments that the tokenizer sees at once, and of the longest segment worth keeping.
-_CHUNK, _KEPT = 1 << 14, 32
+#: Bytes of joined segments and of the longest segment worth keeping; characters of texts whose encodings (far larger than
+#: their ids) are held at once, and of texts that are encoded part by part.
+_CHUNK, _KEPT, _HELD, _LONG = 1 << 14, 32, 1 << 16, 1 << 22
 #: Characters that the two patterns below class as the tokenizer does; the Latin letters are those from U+00C0 to U+024F.
 _PLAIN = re.compile("[\n !-~\xc0-\xd6\xd8-\xf6\xf8-ɏ]+")
 _PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
@@ -107,7 +109,7 @@ class ByteLevelEncoder:
         self.parts = Codes(self._part, cache // 8)
         self.cache, self.chunk = cache, 1 if any(re.search(r"\s", t) for t in added.values()) else _CHUNK
         sizes = {k: len(t) for t, k in self.tokenizer.get_vocab().items()} | {k: len(t.encode()) for k, t in added.items()}
-        self.sizes = np.zeros(max(sizes, default=0) + 1, dtype=np.int64)
+        self.sizes = np.zeros(max(sizes, default=0) + 1, dtype=np.int32)
         self.sizes[list(sizes)] = list(sizes.values())
         self.known, self.codes = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
 
@@ -128,13 +130,15 @@ class ByteLevelEncoder:
         return self.encode_all(pa.array([text])).values.to_numpy().astype("<u4", copy=False).tobytes()
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        coded = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([np.zeros(0, dtype=np.int32), *coded]), np.cumsum([0, *map(len, coded)])
+        coded = [np.zeros(0, dtype=np.int32)]
+        for _, some in groupby(zip(accumulate(map(len, texts)), texts), lambda x: x[0] // _HELD):
+            coded += [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)]
+        return np.concatenate(coded), np.cumsum([len(c) for c in coded])
 
     def _keys(self, texts: pa.StringArray) -> pa.ListArray:
-        """Each text's segment keys, at least one; texts with runs of white space are cut one by one."""
+        """Each text's head, as a key, and its segments' keys; texts with runs of white space are cut one by one."""
         keys = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        odd = pc.match_substring_regex(texts, rf"\A[ \n]|{_SPACE}[ \n]").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, rf"{_SPACE}[ \n]").to_numpy(zero_copy_only=False)
         whole = np.array([bool(self.specials.search(t)) for t in texts.to_pylist()], dtype=bool) if self.specials else np.zeros(len(texts), dtype=bool)
         at = np.flatnonzero(odd | whole)
         if not len(at):
@@ -156,28 +160,26 @@ class ByteLevelEncoder:
         last = pc.match_substring_regex(segs, rf"{_SPACE}\z").to_numpy(zero_copy_only=False).copy()
         last |= np.diff(ends // self.chunk, prepend=0) > 0
         cuts = np.unique([0, *ends[last].tolist(), len(data)]).tolist()
-        ids, at = self._ids([data[a:b].decode() for a, b in zip(cuts, cuts[1:])])
-        reached = np.append(0, np.cumsum(self.sizes[ids]))
-        marks = np.searchsorted(reached, ends)
-        own, tops = self._ids(heads)
-        bytes_own = np.append(0, np.cumsum(self.sizes[own]))[tops]
-        if reached[-1] != len(data) or (reached[marks] != ends).any() or (np.diff(bytes_own) != [len(h.encode()) for h in heads]).any():
+        joined = [data[a:b].decode() for a, b in zip(cuts, cuts[1:])]
+        ids, at = self._ids(joined + heads)
+        ends = np.append(ends, len(data) + np.cumsum([len(h.encode()) for h in heads], dtype=np.int64))
+        reached = np.zeros(len(ids) + 1, dtype=np.int32)
+        np.cumsum(self.sizes[ids], out=reached[1:])
+        marks = np.append(np.searchsorted(reached, ends[: len(keys)].astype(np.int32)), at[len(joined) + 1 :]).clip(max=len(ids))
+        if (reached[marks] != ends).any():
             return None
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], marks, len(ids) + tops[1:]]), pa.int32()), pa.array(np.concatenate([ids, own])))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, marks), pa.int32()), pa.array(ids))
 
-    def encode_all(self, texts: pa.StringArray) -> pa.ListArray:
-        """Ids of each text; a null has none."""
-        texts = pc.fill_null(texts, "")
+    def _batch(self, texts: pa.StringArray) -> pa.ListArray:
         keys = self._keys(texts)
         at, flat = keys.offsets.to_numpy(), keys.flatten()
         inner = np.ones(len(flat), dtype=bool)
         inner[at[:-1]] = False
-        heads = [segment(k)[1:] for k in flat.filter(pa.array(~inner)).to_pylist()]
-        drawn = flat.filter(pa.array(inner)).dictionary_encode()
+        heads, drawn = flat.filter(pa.array(~inner)).dictionary_encode(), flat.filter(pa.array(inner)).dictionary_encode()
         found = pc.index_in(drawn.dictionary, value_set=self.known)
         new = found.is_null()
         missed = drawn.dictionary.filter(new)
-        fresh = self._fresh(missed, heads)
+        fresh = self._fresh(missed, [segment(k)[1:] for k in heads.dictionary.to_pylist()])
         if fresh is None:
             ids, ends = self._ids(texts.to_pylist())
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
@@ -185,13 +187,35 @@ class ByteLevelEncoder:
         place[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(missed))
         code = np.empty(len(flat), dtype=np.int32)
         code[inner] = place[drawn.indices.to_numpy()]
-        code[~inner] = len(self.known) + len(missed) + np.arange(len(heads))
+        code[~inner] = len(self.known) + len(missed) + heads.indices.to_numpy()
         ids = pa.concat_arrays([self.codes, fresh]).take(pa.array(code))
         keep = pa.array(np.flatnonzero(pc.binary_length(missed).to_numpy() <= _KEPT)[: self.cache - len(self.known)])
         if len(keep):
             self.known, self.codes = pa.concat_arrays([self.known, missed.take(keep)]), pa.concat_arrays([self.codes, fresh.take(keep)])
         return pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy()[at]), ids.values)
 
+    def _long(self, text: str) -> np.ndarray:
+        if self.specials and self.specials.search(text):
+            return self._ids([text])[0]
+        parts = (" " * (k > 0) + part for k, part in enumerate(stretches(text, _LONG)))
+        return np.concatenate([self._batch(pa.array([part])).values.to_numpy() for part in parts])
+
+    def encode_all(self, texts: pa.StringArray) -> pa.ListArray:
+        """Ids of each text; a null has none. Of a long text, one part at a time is cut into segments."""
+        texts = pc.fill_null(texts, "")
+        long = np.flatnonzero(pc.utf8_length(texts).to_numpy() > _LONG).tolist()
+        if not long:
+            return self._batch(texts)
+        values, sizes = [], []
+        for a, b in zip([0, *(k + 1 for k in long)], [*long, len(texts)]):
+            coded = self._batch(texts[a:b])
+            values.append(coded.values.to_numpy())
+            sizes.append(np.diff(coded.offsets.to_numpy()))
+            if b < len(texts):
+                values.append(self._long(texts[b].as_py()))
+                sizes.append([len(values[-1])])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], *sizes])), pa.int32()), pa.array(np.concatenate(values)))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, specials: bool) -> ByteLevelEncoder:

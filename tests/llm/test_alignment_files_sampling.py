@@ -278,3 +278,27 @@ def test_token_files_gather_batches_and_cut_none(spark, tmp_path, monkeypatch):
     token_files.write_tokens(docs, f"{tmp_path}/few", A, files=1)
     got = token_files.digest(token_files.read_tokens(spark, f"{tmp_path}/few")).collect()
     assert sorted(map(tuple, got)) == plain_files([tuple(r) for r in docs.collect()])
+
+
+def test_encodings_held_at_once_are_bounded(monkeypatch):
+    """Texts without spaces reach the tokenizer in small groups; empty texts reach it once."""
+    fast = segments.ByteLevelEncoder(A)
+    counted, most = Counted(fast.tokenizer), []
+    fast.tokenizer = counted
+    monkeypatch.setattr(counted, "encode_batch_fast", lambda texts, **o: most.append((len(texts), sum(map(len, texts)))) or counted.tokenizer.encode_batch_fast(texts, **o))
+    batch = [chr(0x4E00 + k % 3000) * 400 for k in range(1000)]
+    assert fast.encode_all(pa.array(batch)).to_pylist() == [e.ids for e in counted.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+    assert len(most) > 4 and max(n for _, n in most) <= segments._HELD + 400
+    most.clear()
+    assert fast.encode_all(pa.array([""] * 1000)).to_pylist() == [[]] * 1000
+    assert sum(n for n, _ in most) <= 1
+
+
+def test_long_texts_part_by_part(texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain, fast = Tokenizer.from_file(A), segments.ByteLevelEncoder(A)
+    monkeypatch.setattr(segments, "_LONG", 20)
+    rows = [t for _, t in texts[0] if t is None or len(t) < 10_000]
+    for batch in (rows, [r for r in rows if r and len(r) > 20], rows[::-1]):
+        assert fast.encode_all(pa.array(batch)).to_pylist() == [plain.encode(t or "", add_special_tokens=False).ids for t in batch]
