@@ -202,7 +202,7 @@ class ByteLevelEncoder:
 
     def encode_all(self, texts: pa.StringArray) -> pa.ListArray:
         """Ids of each text; a null has none. Of a long text, one part at a time is cut into segments."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         long = np.flatnonzero(pc.utf8_length(texts).to_numpy() > _LONG).tolist()
         if not long:
             return self._batch(texts)

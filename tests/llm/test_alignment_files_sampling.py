@@ -302,3 +302,8 @@ def test_long_texts_part_by_part(texts, monkeypatch):
     rows = [t for _, t in texts[0] if t is None or len(t) < 10_000]
     for batch in (rows, [r for r in rows if r and len(r) > 20], rows[::-1]):
         assert fast.encode_all(pa.array(batch)).to_pylist() == [plain.encode(t or "", add_special_tokens=False).ids for t in batch]
+
+
+def test_large_strings_encode_as_strings():
+    fast, batch = segments.ByteLevelEncoder(A), ["one two", None, "", "a  b\n c"]
+    assert fast.encode_all(pa.array(batch, pa.large_string())) == segments.ByteLevelEncoder(A).encode_all(pa.array(batch))
